@@ -16,7 +16,7 @@ PX = """px AS (
  FROM lineitem)"""
 FRAMES = """frames AS (
  SELECT vec_id, vec_id // 10 AS video, vec_id % 10 AS frame, label,
-  list_transform(embedding, e -> least(greatest(e::DOUBLE+5e-1,0e0),1e0)) AS plane FROM embeddings)"""
+  list_transform(embedding, lambda e: least(greatest(e::DOUBLE+5e-1,0e0),1e0)) AS plane FROM embeddings)"""
 PLANES = """planes AS (
  SELECT vec_id // 10 AS video, vec_id % 10 AS frame, i % 8 AS x, i // 8 AS y,
   least(greatest(v::DOUBLE+5e-1,0e0),1e0) AS code

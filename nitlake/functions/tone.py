@@ -1,9 +1,10 @@
 """HDR to SDR tone mapping and the two analytic inverses, on whole DataFrames.
 
 Each operator takes PQ codes and returns a BT.709 signal. An operator is a function
-``(df, codes, tag, peak) -> (df, signal)``: it lays its intermediate steps into columns
-whose names begin with ``tag``, so that luminance is computed once per pixel and not once
-per channel. :func:`tone_map` removes them again.
+``(df, codes, nits, tag, peak) -> (df, signal)``, where ``nits`` are the decoded codes held
+to the peak. It lays its intermediate steps into columns whose names begin with ``tag``, so
+that luminance is computed once per pixel and not once per channel, and light is decoded
+once for all operators of a grid. :func:`tone_map` removes these columns again.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .transfer import (
     pq_oetf_nits,
 )
 
-Operator = Callable[[DataFrame, RGB, str, float], tuple[DataFrame, RGB]]
+Operator = Callable[[DataFrame, RGB, RGB, str, float], tuple[DataFrame, RGB]]
 
 CROSSTALK = 0.10
 
@@ -37,15 +38,16 @@ LOG_CUT, LOG_SLOPE, LOG_OFFSET = 0.011, 5.37, 0.093
 LOG_A, LOG_B, LOG_C, LOG_D = 5.555556, 0.052272, 0.247190, 0.385537
 
 
-def _nits(df: DataFrame, codes: RGB, tag: str, peak: float) -> tuple[DataFrame, RGB]:
+def _nits(df: DataFrame, codes: RGB, peak: float) -> tuple[DataFrame, RGB]:
     check_peak(peak)
-    return lay(df, f"{tag}n", codes.map(lambda c: at_most(pq_eotf_nits(c), peak)))
+    return lay(df, "_tm_n", codes.map(lambda c: at_most(pq_eotf_nits(c), peak)))
 
 
 def _sdr_signal(df: DataFrame, light: RGB, tag: str) -> tuple[DataFrame, RGB]:
     """BT.2020 light, 1 = SDR white, to a clipped and encoded BT.709 signal."""
     df, light = lay(df, f"{tag}l", light)
-    return df, gamut.to_709_clipped(light).map(bt1886_inverse)
+    # The encoding clips what BT.709 cannot hold.
+    return df, gamut.to_709(light).map(bt1886_inverse)
 
 
 def _relight(colour: RGB, luminance: Column, wanted: Column) -> RGB:
@@ -55,8 +57,7 @@ def _relight(colour: RGB, luminance: Column, wanted: Column) -> RGB:
 
 
 def _by_luminance(curve: Callable[[Column, float], Column]) -> Operator:
-    def operator(df, codes, tag, peak):
-        df, nits = _nits(df, codes, tag, peak)
+    def operator(df, codes, nits, tag, peak):
         df = df.withColumn(f"{tag}y", luma_2020(nits))
         y = F.col(f"{tag}y")
         df = df.withColumn(f"{tag}z", curve(y, peak))
@@ -69,16 +70,14 @@ def _by_luminance(curve: Callable[[Column, float], Column]) -> Operator:
 def _by_channel(curve: Callable[[Column, float], Column]) -> Operator:
     """A curve from nits to SDR light, applied to each channel on its own."""
 
-    def operator(df, codes, tag, peak):
-        df, nits = _nits(df, codes, tag, peak)
+    def operator(df, codes, nits, tag, peak):
         return _sdr_signal(df, nits.map(lambda c: curve(c, peak)), tag)
 
     return operator
 
 
-def bt2446c(df, codes, tag, peak, alpha: float = CROSSTALK):
+def bt2446c(df, codes, nits, tag, peak, alpha: float = CROSSTALK):
     """Method C on the Y of XYZ, with crosstalk around it."""
-    df, nits = _nits(df, codes, tag, peak)
     df, xyz = lay(df, f"{tag}x", gamut.mix(gamut.XYZ_FROM_2020 @ gamut.crosstalk(alpha), nits))
     df = df.withColumn(f"{tag}z", curves.method_c(xyz.g, peak))
     df, relit = lay(df, f"{tag}w", _relight(xyz, xyz.g, F.col(f"{tag}z")))
@@ -86,7 +85,7 @@ def bt2446c(df, codes, tag, peak, alpha: float = CROSSTALK):
     return _sdr_signal(df, gamut.mix(back / SDR_NITS, relit), tag)
 
 
-def bt2390(df, codes, tag, peak):
+def bt2390(df, codes, nits, tag, peak):
     """Hermite roll-off in PQ code space, channel by channel."""
     source, target = pq_code_of(check_peak(peak)), pq_code_of(SDR_NITS)
     top = target / source
@@ -154,8 +153,9 @@ def tone_map(
     df: DataFrame, name: str, codes: str = "", out: str = "s", peak: float = MASTER_NITS
 ) -> DataFrame:
     """Add columns ``<out>r/g/b`` with the SDR signal of the PQ codes ``<codes>r/g/b``."""
-    laid, signal = operator_named(name)(df, rgb(codes), "_tm_", peak)
-    signal = signal.map(lambda c: clamp(c, 0.0, 1.0))
+    operator = operator_named(name)
+    laid, nits = _nits(df, rgb(codes), peak)
+    laid, signal = operator(laid, rgb(codes), nits, "_tm0_", peak)
     return laid.select(*df.columns, *(s.alias(out + c) for s, c in zip(signal, "rgb")))
 
 
@@ -168,11 +168,11 @@ def tone_grid(
     so the grid needs neither a cross join nor a second scan.
     """
     names = sorted(TONE_OPERATORS) if names is None else list(names)
-    laid = df
+    laid, nits = _nits(df, rgb(codes), peak)
     entries = []
     for index, name in enumerate(names):
-        laid, signal = operator_named(name)(laid, rgb(codes), f"_tm{index}_", peak)
-        laid, signal = lay(laid, f"_tm{index}_s", signal.map(lambda c: clamp(c, 0.0, 1.0)))
+        laid, signal = operator_named(name)(laid, rgb(codes), nits, f"_tm{index}_", peak)
+        laid, signal = lay(laid, f"_tm{index}_s", signal)
         entries.append(
             F.struct(
                 F.lit(name).alias("tmo"),
