@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import number_rows
@@ -86,14 +86,14 @@ def duplicate_keys(packed: DataFrame, key: str) -> DataFrame:
     return counts.where(F.col("n") > 1)
 
 
-def renumber(packed: DataFrame, first: int) -> DataFrame:
-    """Final shard numbers after ``first`` existing ones, in (writer, shard) order.
+def renumber(packed: DataFrame, first: Column) -> DataFrame:
+    """Final shard numbers from ``first`` on, in (writer, shard) order.
 
     One row per shard is numbered: there are as many as there are target sizes in the data.
     """
     shards = packed.select("writer", "shard").distinct()
     final = number_rows(shards, ["writer", "shard"], buckets=[F.col("writer")], out="final_shard")
-    final = final.withColumn("final_shard", F.col("final_shard") + F.lit(first).cast("bigint"))
+    final = final.withColumn("final_shard", F.col("final_shard") + first)
     return packed.join(final, ["writer", "shard"])
 
 

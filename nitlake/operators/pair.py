@@ -136,8 +136,13 @@ def manifest_ordinals(records: DataFrame, out: str = "ordinal") -> DataFrame:
     return number_rows(records, order, buckets=[coarse, fine], out=out)
 
 
-def header_mismatch(actual: DataFrame, expected: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Fields on which two one-row headers differ; null equals null."""
+def header_mismatch(
+    actual: DataFrame, expected: DataFrame, fields: Sequence[str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Fields on which headers differ; null equals null and a missing header is all null.
+
+    With ``keys`` there is one header per key, without there is one row on each side.
+    """
 
     def long(df: DataFrame, name: str) -> DataFrame:
         pairs = F.array(
@@ -146,12 +151,22 @@ def header_mismatch(actual: DataFrame, expected: DataFrame, fields: Sequence[str
                 for f in fields
             )
         )
-        return df.select(F.inline(pairs))
+        return df.select(*keys, F.inline(pairs))
 
-    joined = long(expected, "expected").join(long(actual, "actual"), "field", "left")
+    joined = long(expected, "expected").join(long(actual, "actual"), [*keys, "field"], "left")
     return joined.where(~F.col("actual").eqNullSafe(F.col("expected")))
 
 
+def flatten_variants(records: DataFrame) -> DataFrame:
+    """Picture records with a map of variants to one row per variant."""
+    return records.select(
+        "id",
+        F.coalesce("category", F.lit("pgc")).alias("category"),
+        F.col("hdr").alias("hdr_path"),
+        F.explode("sdr_variants").alias("variant", "sdr_path"),
+    )
+
+
 def shape_mismatch(pairs: DataFrame) -> DataFrame:
     """Pairs whose two sides differ in height or width."""
     same = (F.col("sdr_height") == F.col("hdr_height")) & (F.col("sdr_width") == F.col("hdr_width"))
