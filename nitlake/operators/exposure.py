@@ -37,11 +37,12 @@ def fit_gains(
         {"_yp": pq_luminance_nits(rgb("p")), "_yt": pq_luminance_nits(rgb("t"))}
     )
     valid = _finite(F.col("_yp")) & _finite(F.col("_yt")) & (F.col("_yp") > num(1e-6))
-    ratios = lit.where(valid).select(*keys, (F.col("_yt") / F.col("_yp")).alias("_ratio"))
+    ratio = F.when(valid, F.col("_yt") / F.col("_yp"))
+    ratios = lit.select(*keys, ratio.alias("_ratio"))
     medians = quantiles(ratios, keys, "_ratio", [0.5], ["_median"], discrete=True)
     contents = pixels.select(*keys).distinct()
-    gain = F.coalesce(clamp(F.col("_median"), low, high), num(1.0))
-    held = F.when(F.col("_median").isNull(), num(1.0)).otherwise(gain)
+    held = F.when(F.col("_median").isNull(), num(1.0))
+    held = held.otherwise(clamp(F.col("_median"), low, high))
     return contents.join(medians, keys, "left").select(*keys, held.alias("exposure_gain"))
 
 

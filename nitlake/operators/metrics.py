@@ -100,7 +100,7 @@ def mean_square_error(df: DataFrame, keys: Sequence[str], one: str, other: str)
     return df.groupBy(*keys).agg(F.avg(_square(F.col(one) - F.col(other))).alias("mse"))
 
 
-def feature_distance(df: DataFrame, one: Sequence[str], other: Sequence[str]) -> Column:
+def feature_distance(one: Sequence[str], other: Sequence[str]) -> Column:
     """Distance between two feature vectors, each the unit vectors of its scales end to end."""
 
     def unit(name: str) -> Column:

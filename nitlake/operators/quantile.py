@@ -19,15 +19,20 @@ SLICES = 4096
 
 
 def _octave_bucket(value: Column) -> Column:
-    """Never decreases with the value; ``OCTAVE`` steps to each power of two."""
+    """Never decreases with the value; ``OCTAVE`` steps to each power of two.
+
+    Never null either, so that no null filter is derived and pushed below the value.
+    """
     size = F.floor(F.log2(F.abs(value)) * F.lit(OCTAVE)).cast("bigint") + F.lit(1100 * OCTAVE)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
+    sign = F.when(value > 0, size).when(value < 0, -size)
+    return F.coalesce(sign, F.lit(0).cast("bigint"))
 
 
 def _slice_bucket(value: Column) -> Column:
     share = (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     index = F.least(F.floor(share * F.lit(SLICES)), F.lit(SLICES - 1).cast("bigint"))
-    return F.when(F.col("_hi") > F.col("_lo"), index).otherwise(F.lit(0).cast("bigint"))
+    split = F.when(F.col("_hi") > F.col("_lo"), index)
+    return F.coalesce(split, F.lit(0).cast("bigint"))
 
 
 def _ranks(sizes: DataFrame, probabilities: Sequence[float], discrete: bool) -> DataFrame:
@@ -61,13 +66,6 @@ def _placed(counts: DataFrame, keys: list[str], by: str) -> DataFrame:
     return counts.withColumn("_s", start)
 
 
-def _same(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -82,13 +80,13 @@ def quantiles(
     that reaches the probability, so 0.5 gives the lower median. Null values are left out.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v")
-    )
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows.withColumn("_b", _octave_bucket(F.col("_v")))
-    edges = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    # Nulls are left out by counting values and not by a filter: a filter would be pushed
+    # down to the scan and compute the value a second time.
+    edges = [F.count("_v").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
-    first = rows.groupBy(*keys, "_b").agg(*edges)
+    first = rows.groupBy(*keys, "_b").agg(*edges).where(F.col("_c") > 0)
     sizes = first.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranks = _ranks(sizes, probabilities, discrete)
     inside = (F.col("_k") >= F.col("_s")) & (F.col("_k") < F.col("_s") + F.col("_c"))
@@ -99,7 +97,7 @@ def quantiles(
     bounds = aimed.select(*keys, "_b", "_lo", "_hi").distinct()
     near = rows.join(bounds, [*keys, "_b"]).withColumn("_d", _slice_bucket(F.col("_v")))
     near = near.drop("_lo", "_hi")
-    second = near.groupBy(*keys, "_b", "_d").agg(F.count(F.lit(1)).alias("_c"))
+    second = near.groupBy(*keys, "_b", "_d").agg(F.count("_v").alias("_c"))
     aimed = _placed(second, [*keys, "_b"], "_d").join(
         aimed.drop("_lo", "_hi"), [*keys, "_b"]
     ).where(inside)
@@ -108,7 +106,7 @@ def quantiles(
     # Last pass: the few rows of an aimed slice, equal values merged before sorting.
     slices = aimed.select(*keys, "_b", "_d").distinct()
     last = near.join(slices, [*keys, "_b", "_d"]).groupBy(*keys, "_b", "_d", "_v")
-    last = last.agg(F.count(F.lit(1)).alias("_c"))
+    last = last.agg(F.count("_v").alias("_c")).where(F.col("_c") > 0)
     found = _placed(last, [*keys, "_b", "_d"], "_v").join(aimed, [*keys, "_b", "_d"]).where(inside)
     return found.groupBy(*keys).agg(
         *(

@@ -59,7 +59,7 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").selectExpr(
         "user_id AS video",
         "event_id AS ordinal",
-        "ts",
+        "CAST(ts AS TIMESTAMP) AS ts",
         "event_type AS variant",
         "value * 2D AS nits",
     )
