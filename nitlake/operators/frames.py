@@ -11,10 +11,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.spaces import PU21, PU21_PEAK
+from ..functions.common import RGB
+from ..functions.light import saturation
+from ..functions.spaces import PU21, PU21_PEAK, luma_2020
 from ..functions.transfer import C1, C2, C3, M1, M2, PQ_NITS
 
+# Type objects, not text, so that this module can be imported before a session exists.
+NUMBER, PLANE = T.DoubleType(), T.ArrayType(T.DoubleType())
+
 # The similarity window and its constants.
 SSIM_TAPS, SSIM_SIGMA = 11, 1.5
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
@@ -68,20 +74,20 @@ def _similarity(one: np.ndarray, other: np.ndarray) -> float:
     return float(np.mean(top / bottom))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(NUMBER)
 def ssim_of_units(one: pd.Series, other: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """Structural similarity of two planes of PU21 luminance over its peak."""
     return pd.Series([_similarity(a, b) for a, b in zip(_planes(one, h, w), _planes(other, h, w))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(NUMBER)
 def ssim_of_codes(one: pd.Series, other: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """As :func:`ssim_of_units`, for gray planes of PQ codes."""
     pairs = zip(_planes(one, h, w), _planes(other, h, w))
     return pd.Series([_similarity(_pu21_units(a), _pu21_units(b)) for a, b in pairs])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(PLANE)
 def log_gradient(plane: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """log(1 + Sobel magnitude); edges repeat their last value."""
 
@@ -108,7 +114,7 @@ def band_index(height: int, width: int, bands: int) -> np.ndarray:
 def spectral_bands(bands: int = 8):
     """Log of the mean spectral power in ``bands`` rings of equal width."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(PLANE)
     def run(plane: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
         rings: dict[tuple[int, int], np.ndarray] = {}
         found = []
@@ -129,7 +135,7 @@ def _taps(count: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.minimum(low + 1, count - 1), place - low
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(PLANE)
 def bilinear(
     plane: pd.Series, h: pd.Series, w: pd.Series, to_h: pd.Series, to_w: pd.Series
 ) -> pd.Series:
@@ -148,7 +154,7 @@ def bilinear(
     return _lists(one(y, int(r), int(c)) for y, (r, c) in zip(_planes(plane, h, w), sizes))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(PLANE)
 def grid_pool(
     plane: pd.Series, h: pd.Series, w: pd.Series, rows: pd.Series, columns: pd.Series
 ) -> pd.Series:
@@ -166,6 +172,21 @@ def grid_pool(
     return _lists(one(y, int(r), int(c)) for y, (r, c) in zip(_planes(plane, h, w), grid))
 
 
+def physical_maps(frames: DataFrame, planes: tuple[str, str, str]) -> DataFrame:
+    """Add planes ``luminance``, ``gradient`` and ``saturation`` of linear BT.2020 planes."""
+    pixels = F.arrays_zip(*(F.col(p).alias(c) for p, c in zip(planes, "rgb")))
+    colour = lambda p: RGB(p["r"], p["g"], p["b"])
+    frames = frames.withColumns(
+        {
+            "luminance": F.transform(pixels, lambda p: luma_2020(colour(p))),
+            "saturation": F.transform(pixels, lambda p: saturation(colour(p))),
+        }
+    )
+    return frames.withColumn(
+        "gradient", log_gradient(F.col("luminance"), F.col("height"), F.col("width"))
+    )
+
+
 def picked(plane: Column, rows: Column, columns: Column, place) -> Column:
     """A new plane of rows x columns whose pixel (y, x) is ``plane[place(y, x)]``."""
 

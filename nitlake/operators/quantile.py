@@ -1,10 +1,11 @@
 """Exact quantiles of groups of any size.
 
-Spark's exact ``percentile`` gathers every distinct value of a group in one task. Here a
-group is narrowed by counting: values fall into a fixed set of order-preserving buckets,
-the counts say in which bucket the wanted rank lies, and the next pass looks only at rows
-of that bucket. After two passes a sliver of the group is left, whose equal values are
-merged before it is sorted.
+Spark's exact ``percentile`` gathers every distinct value of a group in one task. That is
+right for groups of a bounded size, and only they go that way. A larger group is narrowed
+by counting: values fall into a fixed set of order-preserving buckets, the counts say in
+which bucket the wanted rank lies, and the next pass looks only at rows of that bucket.
+After two passes a sliver of the group is left, whose equal values are merged before it is
+sorted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Groups with more rows than this are narrowed.
+GATHERED = 1_000_000
 OCTAVE = 1024
 SLICES = 4096
 
@@ -73,14 +76,52 @@ def quantiles(
     probabilities: Sequence[float],
     names: Sequence[str],
     discrete: bool = False,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """One row per key with the named quantiles of ``value``; keys must not be null.
 
     Linear interpolation between neighbours by default; ``discrete`` takes the lowest value
-    that reaches the probability, so 0.5 gives the lower median. Null values are left out.
+    that reaches the probability, so 0.5 gives the lower median. Null values are left out,
+    and a key without any value has no row. ``gathered`` bounds the rows of one task's group.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    # One pass over the keys alone decides the plan: most data has no group that large.
+    # There is at most one large group per ``gathered`` rows.
+    sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > gathered).select(*keys)
+    if large.isEmpty():
+        return _gathered(rows, keys, probabilities, names, discrete)
+    direct = _gathered(rows.join(large, keys, "left_anti"), keys, probabilities, names, discrete)
+    hot = rows.join(large, keys, "left_semi")
+    return direct.unionByName(_narrowed(hot, keys, probabilities, names, discrete))
+
+
+def _gathered(
+    rows: DataFrame,
+    keys: list[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    discrete: bool,
+) -> DataFrame:
+    kind = "percentile_disc" if discrete else "percentile_cont"
+    found = rows.groupBy(*keys).agg(
+        *(
+            F.expr(f"{kind}({float(p)!r}D) WITHIN GROUP (ORDER BY _v)").alias(name)
+            for p, name in zip(probabilities, names)
+        ),
+        F.count("_v").alias("_c"),
+    )
+    return found.where(F.col("_c") > 0).drop("_c")
+
+
+def _narrowed(
+    rows: DataFrame,
+    keys: list[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    discrete: bool,
+) -> DataFrame:
     rows = rows.withColumn("_b", _octave_bucket(F.col("_v")))
     # Nulls are left out by counting values and not by a filter: a filter would be pushed
     # down to the scan and compute the value a second time.
