@@ -1 +1,106 @@
-"""Pending."""
+"""Streams run to their end over the tables, beside the SQL of their batch form."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.common import num, round_to
+from ..functions.spaces import pu21_encode
+from ..functions.transfer import pq_eotf_nits
+from ..operators import flicker as flick
+from ..operators import pair
+from ..operators.metrics import TEMPORAL_METRICS
+from ..session import shared_dir
+from ..sources import tables
+from ..streaming import curate as stream_curate
+from ..streaming import ema as stream_ema
+from ..streaming import flicker as stream_flicker
+from . import query
+from . import sqltext as q
+from .curation import _GRID
+from .evaluation import _FLICKER, _FLICKER_SELECT
+from .sampling import EMA_SQL
+
+
+def _stream(spark, folder, name):
+    """One table as a file stream; the folder holds other tables too."""
+    schema = tables.table(spark, folder, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    # What one key can have in a micro-batch is bounded by the batch.
+    return reader.option("maxBytesPerTrigger", str(2**30)).parquet(folder)
+
+
+def _place(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _finish(stream, place):
+    """Write a stream to the shared folder until its input is used up, and read it back."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state")
+    writer.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
+@query("flicker_stream", q.rows(*_FLICKER, select=_FLICKER_SELECT))
+def flicker_stream(spark, folder):
+    planes = tables.planes_of(_stream(spark, folder, "embeddings"))
+    units = lambda code: pu21_encode(pq_eotf_nits(code))
+    frames = planes.select(
+        "video",
+        F.lit("dimmed").alias("variant"),
+        "frame",
+        F.transform("plane", lambda c: units(c * num(0.9) + num(0.02))).alias("pred"),
+        F.transform("plane", units).alias("target"),
+    )
+    steps = stream_flicker.flicker_steps(stream_flicker.tiles(frames, 32))
+    stored = _finish(steps, _place(spark, "flicker"))
+    found = flick.flicker(stream_flicker.frame_steps(stored), ["video"])
+    return found.select(
+        "video", *(round_to(F.col(n), 5).alias(n) for n in TEMPORAL_METRICS), "temporal"
+    )
+
+
+@query(
+    "tone_ema_stream",
+    "SELECT s.video, s.ordinal, e.applied FROM (" + EMA_SQL + ") e JOIN (WITH "
+    + q.SIG
+    + " SELECT video, frame, ordinal FROM sig) s USING (video, frame)",
+)
+def tone_ema_stream(spark, folder):
+    events = tables.signal_of(_stream(spark, folder, "events"))
+    params = events.select("video", "ts", "ordinal", F.array("nits").alias("params"))
+    stored = _finish(stream_ema.smoothed(params, 0.8), _place(spark, "ema"))
+    return stored.select("video", "ordinal", round_to(F.get("applied", F.lit(0)), 5).alias("applied"))
+
+
+@query(
+    "curate_stream",
+    q.rows(
+        q.CORPUS,
+        "recs AS (SELECT video, (doc_id % 100)::INTEGER AS frame, 'train' AS split, source_dataset FROM corpus)",
+        _GRID,
+        select="SELECT video, frame, tmo, crf, sdr_key FROM grid",
+    ),
+)
+def curate_stream(spark, folder):
+    """The catalogue arrives as a stream, twice; the second time nothing is new."""
+    place = _place(spark, "curate")
+
+    def run():
+        videos = tables.corpus_of(_stream(spark, folder, "documents")).select(
+            "video",
+            (F.col("doc_id") % 100).cast("int").alias("frame"),
+            F.lit("train").alias("split"),
+            "source_dataset",
+        )
+        both = videos.unionByName(videos)
+        stream_curate.curate_stream(
+            both, pair.degrade_grid, f"{place}/manifest", f"{place}/state"
+        ).awaitTermination()
+
+    run()
+    run()
+    stored = spark.read.parquet(f"{place}/manifest")
+    return stored.select("video", "frame", "tmo", "crf", "sdr_key")

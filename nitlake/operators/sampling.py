@@ -67,9 +67,8 @@ def collate(batches: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per batch with a list per column in batch order; a batch bounds the lists."""
     packed = F.array_sort(F.collect_list(F.struct("place", *columns))).alias("_rows")
     grouped = batches.groupBy("batch_id").agg(packed)
-    return grouped.select(
-        "batch_id", *(F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns)
-    )
+    # A field of an array of structs is the array of that field.
+    return grouped.select("batch_id", *(F.col("_rows")[c].alias(c) for c in columns))
 
 
 def shared_noise(pixels: DataFrame, seed: int, video: str = "video") -> DataFrame:

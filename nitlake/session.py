@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session that did not install it."""
+    context = spark.sparkContext
+    if getattr(context, "_nitlake_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="nitlake-ship-"), "nitlake")
+    made = shutil.make_archive(archive, "zip", os.path.dirname(package), "nitlake")
+    context.addPyFile(made)
+    context._nitlake_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy.
 

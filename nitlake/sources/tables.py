@@ -41,7 +41,11 @@ def coded(pixels: DataFrame) -> DataFrame:
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """One 8x8 plane of codes per row of ``embeddings``."""
-    return table(spark, folder, "embeddings").select(
+    return planes_of(table(spark, folder, "embeddings"))
+
+
+def planes_of(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(
         F.floor(F.col("vec_id") / 10).cast("bigint").alias("video"),
         (F.col("vec_id") % 10).alias("frame"),
         F.lit(8).alias("height"),
@@ -56,7 +60,11 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def signal(spark: SparkSession, folder: str) -> DataFrame:
     """One-value frames of long sequences, not yet numbered."""
-    return table(spark, folder, "events").selectExpr(
+    return signal_of(table(spark, folder, "events"))
+
+
+def signal_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "user_id AS video",
         "event_id AS ordinal",
         "CAST(ts AS TIMESTAMP) AS ts",
@@ -74,7 +82,11 @@ def numbered_signal(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """A catalogue of videos; only names and sizes are read, never texts."""
-    return table(spark, folder, "documents").selectExpr(
+    return corpus_of(table(spark, folder, "documents"))
+
+
+def corpus_of(documents: DataFrame) -> DataFrame:
+    return documents.selectExpr(
         "doc_id",
         "source AS source_dataset",
         "lang AS category",
