@@ -159,6 +159,19 @@ def tone_map(
     return laid.select(*df.columns, *(s.alias(out + c) for s, c in zip(signal, "rgb")))
 
 
+def tone_wide(
+    df: DataFrame, names: list[str], codes: str = "", peak: float = MASTER_NITS
+) -> DataFrame:
+    """The grid side by side: columns ``<name>_r``, ``<name>_g``, ``<name>_b``."""
+    laid, nits = _nits(df, rgb(codes), peak)
+    out = []
+    for index, name in enumerate(names):
+        laid, signal = operator_named(name)(laid, rgb(codes), nits, f"_tm{index}_", peak)
+        laid, signal = lay(laid, f"_tm{index}_s", signal)
+        out += [s.alias(f"{name}_{c}") for s, c in zip(signal, "rgb")]
+    return laid.select(*df.columns, *out)
+
+
 def tone_grid(
     df: DataFrame, names: list[str] | None = None, codes: str = "", peak: float = MASTER_NITS
 ) -> DataFrame:

@@ -281,6 +281,48 @@ def to_pixels(frames: DataFrame, keep: list[str], planes: dict[str, str]) -> Dat
     )
 
 
+def spread_pixels(frames: DataFrame, keep: list[str], planes: dict[str, str]) -> DataFrame:
+    """Pixels in order, marked with ``_row`` and ``_count`` so that :func:`repack` can undo it."""
+    first = next(iter(planes.values()))
+    marked = frames.withColumns(
+        {"_row": F.monotonically_increasing_id(), "_count": F.size(first)}
+    )
+    zipped = F.arrays_zip(*(F.col(plane).alias(name) for name, plane in planes.items()))
+    spread = marked.select("_row", "_count", *keep, F.explode(zipped).alias("_z"))
+    return spread.select("_row", "_count", *keep, *(F.col(f"_z.{n}").alias(n) for n in planes))
+
+
+def repack(pixels: DataFrame, keep: list[str], planes: list[str]) -> DataFrame:
+    """Frames from pixels that are still in the partition and order they were spread in.
+
+    Only projections may lie between the two. Nothing is shuffled: a frame is closed when its
+    last pixel has arrived, and a frame that is broken up is an error, not a wrong picture.
+    """
+    types = dict(pixels.select(*keep).dtypes)
+    schema = ", ".join(f"{name} {types[name]}" for name in keep)
+    schema += "".join(f", {name} array<int>" for name in planes)
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            done = []
+            for _, rows in batch.groupby("_row", sort=False):
+                if held and held[0]["_row"].iloc[0] != rows["_row"].iloc[0]:
+                    raise ValueError("pixels of a frame are not together")
+                held.append(rows)
+                if sum(map(len, held)) == rows["_count"].iloc[0]:
+                    whole = pd.concat(held) if len(held) > 1 else held[0]
+                    values = {name: whole[name].iloc[0] for name in keep}
+                    done.append({**values, **{n: whole[n].to_numpy() for n in planes}})
+                    held = []
+            if done:
+                yield pd.DataFrame(done, columns=[*keep, *planes])
+        if held:
+            raise ValueError("pixels of a frame are missing")
+
+    return pixels.select("_row", "_count", *keep, *planes).mapInPandas(run, schema)
+
+
 def predict_frames(frames: DataFrame, fn, planes: tuple[str, str, str], out: tuple[str, str, str]):
     """Run a user's ``fn(frame: (3, h, w) array) -> (3, h, w) array`` on every frame row.
 

@@ -36,7 +36,8 @@ def discover(files: DataFrame, source: Column, path: str = "relative") -> DataFr
     A video file is a video by itself; images belong to the video of their folder.
     """
     kind = kind_of(F.col(path))
-    holder = F.when(F.col("kind") == "video", F.col(path)).otherwise(F.col("parent"))
+    folder = F.when(F.col("parent") == "", F.lit(".")).otherwise(F.col("parent"))
+    holder = F.when(F.col("kind") == "video", F.col(path)).otherwise(folder)
     found = files.withColumns({"kind": kind, "parent": labels.parent(F.col(path))})
     found = found.where(F.col("kind").isNotNull())
     return found.withColumn("video", labels.stable_hash(source, holder))
