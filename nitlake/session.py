@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles a method of more than 8,000 bytes of code. Long colour chains
+    # would be interpreted; beyond this limit Spark splits them into small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A top-k of up to this many rows per group is cut before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
@@ -51,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+TUNING = ("spark.sql.codegen.hugeMethodLimit", "spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ready a session that :func:`session` did not build."""
+    for key in TUNING:
+        spark.conf.set(key, SETTINGS[key])
+    ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of a session that did not install it."""
     context = spark.sparkContext
@@ -63,6 +76,16 @@ def ship(spark: SparkSession) -> None:
     context._nitlake_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows on every core where the input has fewer splits than the cluster has cores.
+
+    A small file is one split, and pixel work on it would leave all cores but one idle.
+    Input that is large for the cluster has more splits than cores and is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.common import rgb
 from ..functions.transfer import pq_oetf_nits
 from ..operators.numbering import number_rows
+from ..session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def px(spark: SparkSession, folder: str) -> DataFrame:
     """Paired pixels in absolute light: target ``tr tg tb``, prediction ``pr pg pb``."""
-    return table(spark, folder, "lineitem").selectExpr(
+    items = table(spark, folder, "lineitem").select(
+        *("l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"),
+        *("l_quantity", "l_discount", "l_tax"),
+    )
+    return spread(items).selectExpr(
         "l_suppkey AS video",
         "l_linenumber AS frame",
         "l_returnflag AS variant",
@@ -41,7 +46,7 @@ def coded(pixels: DataFrame) -> DataFrame:
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """One 8x8 plane of codes per row of ``embeddings``."""
-    return planes_of(table(spark, folder, "embeddings"))
+    return planes_of(spread(table(spark, folder, "embeddings")))
 
 
 def planes_of(embeddings: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def features(spark: SparkSession, folder: str) -> DataFrame:
     """Two 32-number scales per row."""
-    return table(spark, folder, "embeddings").selectExpr(
+    return spread(table(spark, folder, "embeddings")).selectExpr(
         "vec_id",
         "label",
         "transform(slice(embedding, 1, 32), e -> CAST(e AS DOUBLE)) AS s1",
