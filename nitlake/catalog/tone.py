@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, curves, spline, tone
 from ..functions.common import num, rgb, round_to
+from ..operators.attach import attach
 from ..sources import tables
 from . import query
 from . import sqltext as q
@@ -482,7 +483,7 @@ def tone_field(spark, folder):
         "y": [i / BINS for i in range(BINS + 1)],
         "d": [1.0] * (BINS + 1),
     }
-    joined = pixels.join(laid, "video", "left").withColumns(
+    joined = attach(pixels, laid, ["video"], "left").withColumns(
         {
             f"_c_{n}": F.coalesce(F.col(f"_c_{n}"), F.array(*(num(v) for v in values)))
             for n, values in flat.items()

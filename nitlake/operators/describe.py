@@ -11,6 +11,7 @@ from ..functions import light
 from ..functions.common import at_least, clamp, lay, num, rgb
 from ..functions.spaces import luma_709
 from ..functions.transfer import MASTER_NITS
+from .attach import attach
 from .quantile import quantiles
 
 
@@ -46,7 +47,7 @@ def match_maximum(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, (F.col("_tm") / at_least(F.col("_pm"), 1e-8)).alias("factor")
     )
     scaled = rgb("p").map(lambda c: clamp(c * F.col("factor"), 0.0, 1.0))
-    joined = pixels.join(factors, list(keys))
+    joined = attach(pixels, factors, keys)
     return joined.withColumns({"p" + c: code for c, code in zip("rgb", scaled)})
 
 
@@ -80,7 +81,7 @@ def anchored_pq(
 ) -> DataFrame:
     """Relative BT.709 light to PQ codes anchored frame by frame."""
     scales = anchor_scales(pixels, keys, prefix, percentile, target_nits)
-    joined = pixels.join(scales, list(keys))
+    joined = attach(pixels, scales, keys)
     nits = rgb(prefix).map(
         lambda c: clamp(at_least(c, 0.0) * F.col("anchor_scale"), 0.0, target_nits)
     )

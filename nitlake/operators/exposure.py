@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.common import RGB, clamp, num, rgb
 from ..functions.light import gained
 from ..functions.spaces import pq_luminance_nits
+from .attach import attach
 from .quantile import quantiles
 
 # The range of a gain.
@@ -48,6 +49,6 @@ def fit_gains(
 
 def calibrate(pixels: DataFrame, gains: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The pixel table with every prediction multiplied by the gain of its content."""
-    joined = pixels.join(gains, list(keys))
+    joined = attach(pixels, gains, keys)
     codes: RGB = gained(rgb("p"), F.col("exposure_gain"))
     return joined.withColumns({"p" + c: code for c, code in zip("rgb", codes)})

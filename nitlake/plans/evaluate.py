@@ -15,6 +15,7 @@ from ..functions.spaces import PU21_PEAK, luma_2020, pu21_encode
 from ..functions.transfer import pq_eotf_nits
 from ..operators import flicker as flick
 from ..operators import reduce
+from ..operators.attach import attach
 from ..operators.exposure import fit_gains
 from ..operators.frames import bilinear, predict_frames, ssim_of_units, to_pixels
 from ..operators.metrics import CORE_METRICS, pixel_scores
@@ -35,11 +36,12 @@ class Scores:
 
 
 def same_size(frames: DataFrame) -> DataFrame:
-    """Predicted planes at the size of the target, resized where they differ."""
+    """Predicted planes at the size of the target; only frames that differ are resized."""
     size = [F.col(n) for n in ("p_height", "p_width", "height", "width")]
-    return frames.withColumns({f"p{c}": bilinear(F.col(f"p{c}"), *size) for c in "rgb"}).drop(
-        "p_height", "p_width"
-    )
+    equal = (size[0] == size[2]) & (size[1] == size[3])
+    resized = {f"p{c}": bilinear(F.col(f"p{c}"), *size) for c in "rgb"}
+    both = frames.where(equal).unionByName(frames.where(~equal).withColumns(resized))
+    return both.drop("p_height", "p_width")
 
 
 def _units(side: str):
@@ -69,7 +71,7 @@ def calibrated_scores(frames: DataFrame) -> DataFrame:
     """Gain and calibrated metrics per ``ordinal`` for frames of the expert track."""
     content = ["_content", "variant"]
     gains = fit_gains(to_pixels(frames, content, PLANES), content)
-    joined = frames.join(gains, content)
+    joined = attach(frames, gains, content)
     zipped = F.arrays_zip(*(F.col("p" + c).alias(c) for c in "rgb"))
     lifted = F.transform(
         zipped,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spline
+from ..operators.attach import attach
 from ..operators.scan import smooth
 
 SEQUENCE_ALPHA = 0.8
@@ -34,6 +35,6 @@ def apply_to_pixels(
     curve = spline.lay_curve(
         params, F.col("widths"), F.col("heights"), F.col("slopes"), bins
     ).select("video", "frame", *(f"_c_{n}" for n in "whxyd"))
-    joined = pixels.join(curve, ["video", "frame"])
+    joined = attach(pixels, curve, ["video", "frame"])
     bent = spline.tone_field(joined, out="o", bins=bins, strength=strength, **options)
     return bent.drop(*(f"_c_{n}" for n in "whxyd"))

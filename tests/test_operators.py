@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from nitlake.operators.attach import attach
 from nitlake.operators import codec, frames as fr, pack, select
 from nitlake.operators.numbering import every_nth, number_rows
 from nitlake.operators.quantile import quantiles
@@ -43,6 +44,16 @@ def test_quantiles_of_nothing(spark):
         assert [tuple(r) for r in quantiles(df, ["k"], "v", [0.5], ["m"], gathered=gathered).collect()] == [(2, 3.0)]
 
 
+def test_attach_broadcasts_only_few_groups(skewed):
+    df, table = skewed
+    sums = df.groupBy("k").agg(F.count("v").alias("n"))
+    few, many = attach(df, sums, ["k"]), attach(df, sums, ["k"], broadcast_rows=3)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
+    assert few.count() == many.count() == len(table)
+    assert few.exceptAll(many).isEmpty()
+
+
 def test_number_rows(skewed):
     df, table = skewed
     expected = table.sort_values("id").groupby("k").cumcount()
