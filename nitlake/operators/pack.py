@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .numbering import number_rows
 
 SHARD_BYTES = 1_000_000_000
@@ -90,7 +91,9 @@ def renumber(packed: DataFrame, first: Column) -> DataFrame:
     """Final shard numbers from ``first`` on, in (writer, shard) order.
 
     One row per shard is numbered: there are as many as there are target sizes in the data.
+    Packing is done once; its ids and sizes are written before they are read again.
     """
+    packed = cut(packed)
     shards = packed.select("writer", "shard").distinct()
     final = number_rows(shards, ["writer", "shard"], buckets=[F.col("writer")], out="final_shard")
     final = final.withColumn("final_shard", F.col("final_shard") + first)

@@ -9,6 +9,8 @@ from nitlake.plans.describe import describe_frames, to_grid
 from nitlake.plans.evaluate import evaluate, evaluate_with, select_records
 from nitlake.plans.report import write_report
 from nitlake.plans.stabilise import apply_to_pixels, stabilise
+from nitlake.sinks.predictions import write_predictions
+from nitlake.sources.predictions import load_predictions
 
 SCHEMA = (
     "ordinal long, video string, frame_index int, variant string, track string, content_id string, "
@@ -133,3 +135,27 @@ def test_stabilise(spark):
     pixels = spark.createDataFrame([(1, 2, 0.3, 0.4, 0.5)], "video int, frame int, r double, g double, b double")
     bent = apply_to_pixels(pixels, stabilise(params, 8), 8, strength=0.0).first()
     assert (bent["or"], bent["og"], bent["ob"]) == pytest.approx((0.3, 0.4, 0.5))
+
+
+def test_stored_predictions_are_scored_again(spark, tmp_path):
+    fields = "ordinal long, id string, video string, frame_index int, variant string, track string, height int, width int, "
+    planes = ", ".join(f"{s}{c} array<double>" for s in "spt" for c in "rgb")
+    dim, bright = pq_code_of(25), pq_code_of(50)
+    flat = lambda x: [float(x)] * 64
+    rows = [
+        (i, f"r{i}", "v", i, "my / variant", "expert", 8, 8, *(flat(0.5),) * 3, *(flat(dim),) * 3, *(flat(bright),) * 3)
+        for i in range(2)
+    ]
+    frames = spark.createDataFrame(rows, fields + planes)
+    records = write_predictions(frames, str(tmp_path), "test")
+    assert {r["prediction"] for r in records.collect()} == {
+        f"predictions/{i:08d}_my_variant.png" for i in range(2)
+    }
+    assert (tmp_path / "inputs" / "00000001_my_variant.png").exists()
+    loaded = load_predictions(spark, str(tmp_path / "predictions_manifest"), str(tmp_path))
+    scores = evaluate(loaded, video_mode=True)
+    found = scores.frames.orderBy("frame_index").collect()
+    assert [r["id"] for r in found] == ["r0", "r1"]
+    assert found[0]["exposure_gain"] == pytest.approx(2.0, rel=1e-3)
+    assert found[0]["exposure_calibrated_psnr"] > found[0]["psnr"] + 20
+    assert scores.videos.first()["flicker_raw"] == 0
