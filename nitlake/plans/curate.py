@@ -138,21 +138,19 @@ def _plan_native(spark: SparkSession, source: Source) -> DataFrame:
     )
 
 
-def _decoded(spark, folder: str, names: DataFrame, path: str, depth: int | None) -> DataFrame:
-    """Pictures of the planned frames, joined to their names after decoding."""
-    wanted = names.where(F.col(path).isNotNull())
-    pictures = png.read_frames(spark, folder, depth, wanted.select(F.col(path).alias("path")))
-    plain = wanted.select(
-        "source_dataset", "split", "video", "frame", F.col(path).alias("path")
+def _decoded(names: DataFrame, path: str, depth: int | None) -> DataFrame:
+    """Pictures of the planned frames that have one in the column ``path``."""
+    wanted = names.where(F.col(path).isNotNull()).select(
+        "source_dataset", "split", "video", "frame", F.col(path).alias("_file")
     )
-    return pictures.join(plain, "path").drop("path")
+    return png.decode_named(wanted, {"": "_file"}, depth).drop("_file")
 
 
-def hdr_frames(spark: SparkSession, source: Source, plan: DataFrame, peak: float) -> DataFrame:
+def hdr_frames(source: Source, plan: DataFrame, peak: float) -> DataFrame:
     """Normalised HDR frames as 16-bit planes; native frames keep their codes."""
     if source.mode == "native_pairs":
-        return _decoded(spark, source.path, plan, "path", 16).drop("depth")
-    frames = png.as_signal(_decoded(spark, source.path, plan, "path", None)).drop("depth")
+        return _decoded(plan, "path", 16).drop("depth")
+    frames = png.as_signal(_decoded(plan, "path", None)).drop("depth")
     keys = ["source_dataset", "split", "video", "frame", "height", "width"]
     pixels = spread_pixels(frames, keys, {c: c for c in "rgb"})
     normal: RGB = normalise(rgb(""), source.format, peak)
@@ -242,7 +240,7 @@ def curate(spark: SparkSession, cfg: Curation) -> DataFrame:
     for source in (s for s in cfg.sources if s.enabled):
         plan = plan_source(spark, source)
         plan = select.without(plan, None if done is None else done.select("video").distinct())
-        hdr = hdr_frames(spark, source, plan, cfg.peak_nits)
+        hdr = hdr_frames(source, plan, cfg.peak_nits)
         label = "native" if source.mode == "native_pairs" else None
         hdr_parts.append((source, plan, hdr, label))
     if not hdr_parts:
@@ -259,11 +257,11 @@ def curate(spark: SparkSession, cfg: Curation) -> DataFrame:
     derived = stored.where(~F.col("native")).drop("native", "key")
     sdr_parts.append(degraded_frames(derived, cfg.tmos, cfg.crf_levels, cfg.peak_nits))
     for source, plan, _, label in hdr_parts:
-        given = [("sdr_path", source.sdr_path, label)] if label else []
+        given = [("sdr_path", label)] if label else []
         if source.expert_sdr_path and not label:
-            given.append(("expert_path", source.expert_sdr_path, "expert"))
-        for column, folder, tmo in given:
-            pictures = _decoded(spark, folder, plan, column, 8).drop("depth")
+            given.append(("expert_path", "expert"))
+        for column, tmo in given:
+            pictures = _decoded(plan, column, 8).drop("depth")
             sdr_parts.append(
                 pictures.withColumns(
                     {"tmo": F.lit(tmo), "crf": F.lit(None).cast("int")}

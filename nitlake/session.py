@@ -20,9 +20,6 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
-# Rows of real frames are megabytes each, so frame functions get few per Arrow batch.
-FRAME_BATCH_ROWS = "16"
-
 
 def session(app: str = "nitlake", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or fetch) a session with the settings the operators expect."""

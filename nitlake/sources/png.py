@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels
+from .files import list_files
+
 # The signature and the samples per pixel of each colour type read here.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
 
-FRAME = "path string, height int, width int, depth int, r array<int>, g array<int>, b array<int>"
+PICTURES_PER_TASK = 1_000
+PICTURES_AT_ONCE = 8
 
 
 def _unfilter(rows: np.ndarray, step: int) -> np.ndarray:
@@ -76,32 +80,62 @@ def decode_png(data: bytes) -> tuple[np.ndarray, dict[str, bytes]]:
     return picture[..., :3].transpose(2, 0, 1), chunks
 
 
-def read_frames(
-    spark: SparkSession, folder: str, depth: int | None = None, paths: DataFrame | None = None
-) -> DataFrame:
-    """Pictures below a folder as rows of integer planes, code values unchanged.
+def read_bytes(path: str) -> bytes:
+    """One file, by local path or by any URI that Arrow's file systems know."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        system, name = fs.FileSystem.from_uri(quote(path, safe=":/@?&="))
+    else:
+        system, name = fs.LocalFileSystem(), path
+    with system.open_input_stream(name) as stream:
+        return stream.read()
+
 
-    ``depth`` rejects pictures of another bit depth. ``paths`` keeps only the listed paths;
-    they are joined before any picture is decoded.
+def decode_named(names: DataFrame, columns: Mapping[str, str], depth: int | None = None):
+    """Decode the pictures that the rows of a table name, in the tasks that go on with them.
+
+    For each prefix in ``columns`` the picture named by that column is added as integer
+    planes ``<prefix>r/g/b`` with ``<prefix>height``, ``width`` and ``depth``. Only names are
+    moved to spread the work; no picture is read that no row names. ``depth`` rejects
+    pictures of another bit depth.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = files.option("pathGlobFilter", "*.png").load(folder).select("path", "content")
-    if paths is not None:
-        files = files.join(paths.select("path"), "path", "left_semi")
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, -(-names.count() // PICTURES_PER_TASK))
+    types = dict(names.dtypes)
+    schema = ", ".join(f"{name} {kind}" for name, kind in types.items())
+    for prefix in columns:
+        schema += "".join(f", {prefix}{n} int" for n in ("height", "width", "depth"))
+        schema += "".join(f", {prefix}{c} array<int>" for c in "rgb")
+
+    def one(row: dict) -> dict:
+        for prefix, column in columns.items():
+            picture, chunks = decode_png(read_bytes(row[column]))
+            found = chunks["IHDR"][8]
+            if depth is not None and found != depth:
+                raise ValueError(f"{row[column]} has {found}-bit codes, expected {depth}")
+            _, height, width = picture.shape
+            row |= {f"{prefix}height": height, f"{prefix}width": width, f"{prefix}depth": found}
+            row |= {f"{prefix}{c}": plane.ravel() for c, plane in zip("rgb", picture)}
+        return row
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                picture, chunks = decode_png(content)
-                found = chunks["IHDR"][8]
-                if depth is not None and found != depth:
-                    raise ValueError(f"{path} has {found}-bit codes, expected {depth}")
-                _, height, width = picture.shape
-                rows.append((path, height, width, found, *(p.ravel() for p in picture)))
-            yield pd.DataFrame(rows, columns=["path", "height", "width", "depth", "r", "g", "b"])
-
-    return files.mapInPandas(decode, FRAME)
+            for start in range(0, len(batch), PICTURES_AT_ONCE):
+                rows = batch.iloc[start : start + PICTURES_AT_ONCE].to_dict("records")
+                yield pd.DataFrame([one(row) for row in rows])
+
+    return names.repartition(tasks).mapInPandas(decode, schema)
+
+
+def read_frames(spark: SparkSession, folder: str, depth: int | None = None) -> DataFrame:
+    """The PNG pictures below a folder as rows of integer planes, code values unchanged."""
+    found = list_files(spark, folder).where(labels.suffix(F.col("path")) == ".png")
+    return decode_named(found.select("path"), {"": "path"}, depth)
 
 
 def as_signal(frames: DataFrame) -> DataFrame:

@@ -13,21 +13,20 @@ def load_predictions(spark: SparkSession, path: str, folder: str) -> DataFrame:
     """Frame rows for :func:`nitlake.plans.evaluate.evaluate` from a prediction manifest.
 
     ``path`` is the manifest, ``folder`` what its ``prediction`` and ``reference`` paths are
-    relative to. Records get their place as ``ordinal``. A reference that several
-    predictions share is decoded once.
+    relative to. Records get their place as ``ordinal``. Both pictures of a record are read
+    by the task that holds the record, so no picture is shuffled to meet the other.
     """
     records = manifest.read_manifest(spark, path, PREDICTIONS, ordinal="ordinal")
-    root = folder.rstrip("/")
-    pictures = png.as_signal(png.read_frames(spark, root))
-    # Spark names files by URI; what follows the folder is the name in the manifest.
-    name = F.substring_index(F.col("path"), f"{root}/", -1)
-
-    def side(letter: str, column: str, size: tuple[str, str]) -> DataFrame:
-        planes = [F.col(c).alias(letter + c) for c in "rgb"]
-        return pictures.select(
-            name.alias(column), F.col("height").alias(size[0]), F.col("width").alias(size[1]), *planes
-        )
-
-    predicted = side("p", "prediction", ("p_height", "p_width"))
-    target = side("t", "reference", ("height", "width"))
-    return records.join(predicted, "prediction").join(target, "reference")
+    root = F.lit(folder.rstrip("/") + "/")
+    files = {"_p": F.concat(root, "prediction"), "_t": F.concat(root, "reference")}
+    pictures = png.decode_named(records.withColumns(files), {"p": "_p", "t": "_t"})
+
+    def signal(side: str):
+        top = F.when(F.col(f"{side}depth") == 16, F.lit(65535.0)).otherwise(F.lit(255.0))
+        return {side + c: F.transform(side + c, lambda v: v / top) for c in "rgb"}
+
+    scaled = pictures.withColumns({**signal("p"), **signal("t")})
+    sized = scaled.withColumnsRenamed(
+        {"theight": "height", "twidth": "width", "pheight": "p_height", "pwidth": "p_width"}
+    )
+    return sized.drop("_p", "_t", "pdepth", "tdepth")
