@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from ..operators import reduce
 from ..operators.attach import attach
 from ..operators.exposure import fit_gains
 from ..operators.frames import bilinear, predict_frames, ssim_of_units, to_pixels
-from ..operators.metrics import CORE_METRICS, pixel_scores
+from ..operators.metrics import CORE_METRICS, OPTIONAL_METRICS, pixel_scores
 from ..operators.numbering import every_nth, number_rows
 from ..operators.select import too_short, variants_only
 
@@ -93,6 +95,29 @@ def calibrated_scores(frames: DataFrame) -> DataFrame:
     return renamed.join(joined.select("ordinal", "exposure_gain"), "ordinal")
 
 
+def optional_scores(frames: DataFrame, scorers: Mapping[str, Callable]) -> DataFrame:
+    """One row per ``ordinal`` with a column per scorer.
+
+    A scorer takes prediction and target as (3, height, width) arrays and returns a number.
+    """
+    schema = "ordinal bigint" + "".join(f", {name} double" for name in scorers)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                shape = (int(row["height"]), int(row["width"]))
+                sides = [
+                    np.stack([np.asarray(row[s + c], float).reshape(shape) for c in "rgb"])
+                    for s in "pt"
+                ]
+                scores = {name: float(score(*sides)) for name, score in scorers.items()}
+                rows.append({"ordinal": row["ordinal"], **scores})
+            yield pd.DataFrame(rows, columns=["ordinal", *scorers])
+
+    return frames.select("ordinal", "height", "width", *PLANES).mapInPandas(run, schema)
+
+
 def frame_flicker(frames: DataFrame) -> DataFrame:
     """Flicker per video and variant, frames in ``(frame_index, ordinal)`` order."""
     pixels = to_pixels(frames, ["video", "variant", "frame_index", "ordinal"], PLANES)
@@ -119,9 +144,13 @@ def evaluate(
     max_records: int | None = None,
     optional: bool = True,
     probes: Mapping[str, Callable[[], None]] | None = None,
+    scorers: Mapping[str, Callable] | None = None,
 ) -> Scores:
     """Score frame rows that hold a prediction and its target.
 
+    ``scorers`` supplies optional metrics by name, see :func:`optional_scores`. One whose
+    probe finds no backend is not called: its metric is null and its reason is reported.
+
     ``frames`` has ``ordinal`` (place in the manifest), ``height``, ``width``, ``p_height``,
     ``p_width``, planes ``pr pg pb tr tg tb`` of PQ codes, and any of the prediction fields
     ``id, content_id, video_id, video, sequence_id, frame_index, frame, variant, track, tmo,
@@ -129,7 +158,13 @@ def evaluate(
     """
     if max_records:
         frames = frames.orderBy("ordinal").limit(max_records)
+    scorers = dict(scorers or {})
+    unknown = sorted(set(scorers) - set(OPTIONAL_METRICS))
+    if unknown:
+        raise ValueError(f"no such optional metrics: {unknown}")
+    probes = {**{name: lambda: None for name in scorers}, **(probes or {})}
     found = reduce.availability(probes, optional, video_mode)
+    usable = {name: score for name, score in scorers.items() if found[name] is None}
     at = F.coalesce(_text(frames, "frame_index"), _text(frames, "frame"), F.col("ordinal"))
     variant = F.coalesce(_text(frames, "variant"), F.lit("precomputed"))
     row_id = F.coalesce(_text(frames, "id"), F.col("ordinal").cast("string"))
@@ -152,6 +187,8 @@ def evaluate(
     expert = calibrated_scores(named.where("_expert"))
     plain = ["ordinal", "id", "video", "frame_index", "variant", "category", "_expert"]
     rows = named.select(*plain).join(core_scores(named), "ordinal")
+    if usable:
+        rows = rows.join(optional_scores(named, usable), "ordinal")
     rows = rows.join(expert, "ordinal", "left").withColumn(
         "headline_protocol",
         F.when(F.col("_expert"), "exposure_calibrated").otherwise("raw"),

@@ -9,7 +9,7 @@ from nitlake.plans.curate import curate, plan_source
 from nitlake.plans.epoch import training_epoch
 from nitlake.sources.files import conversion_inputs, list_files, reference_csv, video_hashes
 from nitlake.sources.manifest import is_shard_manifest, read_header, read_manifest
-from nitlake.sources.spec import Curation, Source, from_mapping
+from nitlake.sources.spec import Curation, Source, from_mapping, from_yaml
 
 HEX = ["%032x" % i for i in range(8)]
 
@@ -146,6 +146,13 @@ def test_settings_are_checked(tmp_path):
             from_mapping({**good, **change})
 
 
+def test_yaml(tmp_path):
+    path = tmp_path / "corpus.yaml"
+    path.write_text("out_dir: out\nsources:\n  - {name: a, path: x, holdout_count: 10, category: ugc}\n")
+    cfg = from_yaml(str(path))
+    assert cfg.out_dir == "out" and cfg.sources[0].holdout_count == 10 and cfg.sources[0].dataset == "a"
+
+
 def test_strict_scan_and_kinds(spark, tmp_path, put):
     mixed = tmp_path / "manifest.jsonl"
     mixed.write_text('{"type": "header", "format": "x"}\n\n{"id": "1", "hdr": "a.png"}\n{"hdr_shard": "s"}\n')

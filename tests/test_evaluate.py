@@ -81,6 +81,23 @@ def test_callable(spark):
     assert len(found) == 2 and all(r["psnr"] > 150 for r in found)
 
 
+def test_optional_scorers(spark):
+    df = spark.createDataFrame([row(0, 0.3, 0.5), row(1, 0.3, 0.4)], SCHEMA)
+
+    def gap(prediction, target):
+        return np.abs(prediction - target).max()
+
+    def missing():
+        raise reduce.Unavailable("hdr_vdp3", "no tool")
+
+    scores = evaluate(df, scorers={"hdr_lpips": gap, "hdr_vdp3": gap}, probes={"hdr_vdp3": missing})
+    assert [r["hdr_lpips"] for r in scores.frames.orderBy("ordinal").collect()] == pytest.approx([0.2, 0.1])
+    assert "hdr_vdp3" not in scores.frames.columns and scores.availability["hdr_vdp3"] == "no tool"
+    assert scores.overall.where("variant = 'ALL'").first()["hdr_lpips"] == pytest.approx(0.15)
+    with pytest.raises(ValueError, match="no such optional"):
+        evaluate(df, scorers={"odd": gap})
+
+
 def test_availability():
     calls = []
 
