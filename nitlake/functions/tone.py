@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def bt2446c(df, codes, nits, tag, peak, alpha: float = CROSSTALK):
     df, xyz = lay(df, f"{tag}x", gamut.mix(gamut.XYZ_FROM_2020 @ gamut.crosstalk(alpha), nits))
     df = df.withColumn(f"{tag}z", curves.method_c(xyz.g, peak))
     df, relit = lay(df, f"{tag}w", _relight(xyz, xyz.g, F.col(f"{tag}z")))
-    back = gamut.np.linalg.inv(gamut.crosstalk(alpha)) @ gamut.XYZ_TO_2020
+    back = np.linalg.inv(gamut.crosstalk(alpha)) @ gamut.XYZ_TO_2020
     return _sdr_signal(df, gamut.mix(back / SDR_NITS, relit), tag)
 
 
@@ -215,7 +216,7 @@ def invert_bt2446c(
     )
     laid = laid.withColumn(f"{tag}z", curves.method_c_inverse(xyz.g, peak))
     laid, relit = lay(laid, f"{tag}w", _relight(xyz, xyz.g, F.col(f"{tag}z")))
-    back = gamut.np.linalg.inv(gamut.crosstalk(alpha)) @ gamut.XYZ_TO_2020
+    back = np.linalg.inv(gamut.crosstalk(alpha)) @ gamut.XYZ_TO_2020
     codes = gamut.mix(back, relit).map(lambda c: pq_oetf_nits(clamp(c, 0.0, peak)))
     return laid.select(*df.columns, *(s.alias(out + c) for s, c in zip(codes, "rgb")))
 

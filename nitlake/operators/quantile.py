@@ -10,11 +10,14 @@ sorted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .attach import BROADCAST_ROWS
+
 # Groups with more rows than this are narrowed.
 GATHERED = 1_000_000
 OCTAVE = 1024
@@ -89,12 +92,17 @@ def quantiles(
     # One pass over the keys alone decides the plan: most data has no group that large.
     # There is at most one large group per ``gathered`` rows.
     sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > gathered).select(*keys)
-    if large.isEmpty():
+    large = cut(sizes.where(F.col("_n") > gathered).select(*keys))
+    found = large.count()
+    if not found:
         return _gathered(rows, keys, probabilities, names, discrete)
+    # Each large group is met by at most two rows per quantile in the joins that follow.
+    few = found * 2 * len(probabilities) <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda side: side)
+    large = hint(large)
     direct = _gathered(rows.join(large, keys, "left_anti"), keys, probabilities, names, discrete)
     hot = rows.join(large, keys, "left_semi")
-    return direct.unionByName(_narrowed(hot, keys, probabilities, names, discrete))
+    return direct.unionByName(_narrowed(hot, keys, probabilities, names, discrete, hint))
 
 
 def _gathered(
@@ -121,6 +129,7 @@ def _narrowed(
     probabilities: Sequence[float],
     names: Sequence[str],
     discrete: bool,
+    hint: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     rows = rows.withColumn("_b", _octave_bucket(F.col("_v")))
     # Nulls are left out by counting values and not by a filter: a filter would be pushed
@@ -136,7 +145,7 @@ def _narrowed(
 
     # Second pass: only rows of an aimed bucket, cut into slices between its extremes.
     bounds = aimed.select(*keys, "_b", "_lo", "_hi").distinct()
-    near = rows.join(bounds, [*keys, "_b"]).withColumn("_d", _slice_bucket(F.col("_v")))
+    near = rows.join(hint(bounds), [*keys, "_b"]).withColumn("_d", _slice_bucket(F.col("_v")))
     near = near.drop("_lo", "_hi")
     second = near.groupBy(*keys, "_b", "_d").agg(F.count("_v").alias("_c"))
     aimed = _placed(second, [*keys, "_b"], "_d").join(
@@ -146,7 +155,7 @@ def _narrowed(
 
     # Last pass: the few rows of an aimed slice, equal values merged before sorting.
     slices = aimed.select(*keys, "_b", "_d").distinct()
-    last = near.join(slices, [*keys, "_b", "_d"]).groupBy(*keys, "_b", "_d", "_v")
+    last = near.join(hint(slices), [*keys, "_b", "_d"]).groupBy(*keys, "_b", "_d", "_v")
     last = last.agg(F.count("_v").alias("_c")).where(F.col("_c") > 0)
     found = _placed(last, [*keys, "_b", "_d"], "_v").join(aimed, [*keys, "_b", "_d"]).where(inside)
     return found.groupBy(*keys).agg(

@@ -218,14 +218,35 @@ def evaluate_with(
     variants: Sequence[str] | None = None,
     subsample: int = 1,
     video_mode: bool = False,
+    max_records: int | None = None,
     **options,
 ) -> Scores:
     """Run ``predict`` (SDR frame to HDR frame) on every selected row and score the result.
 
-    ``frames`` has SDR planes ``sr sg sb`` of height ``height`` and width ``width`` and the
-    target planes ``tr tg tb`` of the same size. Records are chosen before any is predicted.
+    ``frames`` has SDR planes ``sr sg sb`` of height ``height`` and width ``width``, the
+    target planes ``tr tg tb`` of the same size, and fields as for :func:`evaluate`; a
+    variant that is not given is named after ``tmo`` and ``crf``. The first ``max_records``
+    (0 is none) are subsampled, then filtered by variant; only then is anything predicted.
     """
-    chosen = variants_only(select_records(frames, subsample, video_mode), variants)
+    if max_records is not None:
+        frames = frames.orderBy("ordinal").limit(max_records)
+    label = labels.variant_label(_text(frames, "tmo"), _text(frames, "crf"))
+    named = frames.withColumn("variant", F.coalesce(_text(frames, "variant"), label))
+    chosen = variants_only(select_records(named, subsample, video_mode), variants)
+    at = F.coalesce(_text(named, "frame_index"), _text(named, "frame"), F.col("ordinal"))
+    video = labels.video_id(
+        *(_text(named, n) for n in ("video_id", "video", "sequence_id", "id")), required=False
+    )
+    chosen = chosen.withColumns(
+        {
+            "id": F.coalesce(
+                _text(named, "id"), F.concat_ws(":", video, at.cast("string"), "variant")
+            ),
+            "category": F.coalesce(
+                _text(named, "category"), _text(named, "source_dataset"), F.lit("pgc")
+            ),
+        }
+    )
     planes, out = ("sr", "sg", "sb"), ("pr", "pg", "pb")
     predicted = predict_frames(chosen, predict, planes, out).drop(*planes)
     sized = predicted.withColumnsRenamed({"out_height": "p_height", "out_width": "p_width"})

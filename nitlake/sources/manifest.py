@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
@@ -21,7 +21,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("value") != "")
 
 
-def _is_header(value) -> F.Column:
+def _is_header(value: Column) -> Column:
     return F.coalesce(F.get_json_object(value, "$.type") == "header", F.lit(False))
 
 

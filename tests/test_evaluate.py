@@ -79,6 +79,12 @@ def test_callable(spark):
     scores = evaluate_with(df, lambda frame: np.kron(frame * 2, np.ones((1, 2, 2))), variants=["a"])
     found = scores.frames.collect()
     assert len(found) == 2 and all(r["psnr"] > 150 for r in found)
+    assert {r["id"] for r in found} == {"v:0:a", "v:1:a"} and found[0]["category"] == "pgc"
+    double = lambda frame: frame * 2
+    assert evaluate_with(df, double, max_records=0).frames.count() == 0
+    assert evaluate_with(df, double, max_records=2, subsample=2).frames.count() == 1
+    grid = df.drop("variant").selectExpr("*", "'reinhard' AS tmo", "23 AS crf")
+    assert evaluate_with(grid, double).frames.first()["variant"] == "reinhard_crf23"
 
 
 def test_optional_scorers(spark):
