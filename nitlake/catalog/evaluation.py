@@ -219,14 +219,9 @@ _PL, _TL = ([f"({c}/1e3)" for c in side] for side in (_P, _T))
     ),
 )
 def recon_losses(spark, folder):
-    pixels = _pixels(spark, folder)
-    losses = metrics.reconstruction_losses(pixels, KEYS)
-    flow = pixels.select(
-        *KEYS,
-        *((pq_eotf_nits(F.col(n)) / num(1000)).alias(n) for n in ("pr", "tr")),
-    )
-    velocity = metrics.mean_square_error(flow, KEYS, "pr", "tr").withColumnRenamed("mse", "velocity")
-    joined = losses.join(velocity, KEYS)
+    flow = [pq_eotf_nits(F.col(n)) / num(1000) for n in ("pr", "tr")]
+    velocity = metrics.mean_square_error(*flow).alias("velocity")
+    joined = metrics.reconstruction_losses(_pixels(spark, folder), KEYS, also=[velocity])
     return _rounded(joined, KEYS, ["luma_l1", "rgb_l1", "recon_total", "velocity"], 8)
 
 

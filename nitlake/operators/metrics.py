@@ -81,8 +81,12 @@ def reconstruction_losses(
     keys: Sequence[str],
     weights: tuple[float, float] = (1.0, 0.5),
     peak: float = MASTER_NITS,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """Mean absolute luminance and channel error in light relative to the peak, and their sum."""
+    """Mean absolute luminance and channel error in light relative to the peak, and their sum.
+
+    ``also`` are further aggregates of the same pixels, made in the same pass.
+    """
     if peak <= 0:
         raise ValueError("peak must be positive")
     laid, predicted, target = lay_light(pixels)
@@ -91,13 +95,15 @@ def reconstruction_losses(
     means = laid.groupBy(*keys).agg(
         F.avg(F.abs(luma_2020(one) - luma_2020(other))).alias("luma_l1"),
         F.avg((gaps[0] + gaps[1] + gaps[2]) / num(3)).alias("rgb_l1"),
+        *also,
     )
     total = num(weights[0]) * F.col("luma_l1") + num(weights[1]) * F.col("rgb_l1")
     return means.withColumn("recon_total", total)
 
 
-def mean_square_error(df: DataFrame, keys: Sequence[str], one: str, other: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(_square(F.col(one) - F.col(other))).alias("mse"))
+def mean_square_error(one: Column, other: Column) -> Column:
+    """An aggregate: the velocity loss of predicted and wanted values."""
+    return F.avg(_square(one - other))
 
 
 def feature_distance(one: Sequence[str], other: Sequence[str]) -> Column:
