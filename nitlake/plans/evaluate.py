@@ -23,6 +23,7 @@ from ..operators.frames import bilinear, predict_frames, ssim_of_units, to_pixel
 from ..operators.metrics import CORE_METRICS, OPTIONAL_METRICS, pixel_scores
 from ..operators.numbering import every_nth, number_rows
 from ..operators.select import too_short, variants_only
+from ..session import stored
 
 PLANES = {s + c: s + c for s in "pt" for c in "rgb"}
 
@@ -249,5 +250,7 @@ def evaluate_with(
     )
     planes, out = ("sr", "sg", "sb"), ("pr", "pg", "pb")
     predicted = predict_frames(chosen, predict, planes, out).drop(*planes)
+    # The model runs once; scoring passes over its frames several times.
+    predicted = stored(predicted, "predicted")
     sized = predicted.withColumnsRenamed({"out_height": "p_height", "out_width": "p_width"})
     return evaluate(sized, video_mode, **options)

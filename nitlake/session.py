@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,6 +84,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    For what is costly to make and read more than once: later passes read only the columns
+    they need, and never decode or predict again.
+    """
+    place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy.
 

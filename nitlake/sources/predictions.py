@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PREDICTIONS
+from ..session import stored
 from . import manifest, png
 
 
@@ -14,12 +15,14 @@ def load_predictions(spark: SparkSession, path: str, folder: str) -> DataFrame:
 
     ``path`` is the manifest, ``folder`` what its ``prediction`` and ``reference`` paths are
     relative to. Records get their place as ``ordinal``. Both pictures of a record are read
-    by the task that holds the record, so no picture is shuffled to meet the other.
+    by the task that holds the record, so no picture is shuffled to meet the other; the
+    decoded codes are stored, because scoring passes over them several times.
     """
     records = manifest.read_manifest(spark, path, PREDICTIONS, ordinal="ordinal")
     root = F.lit(folder.rstrip("/") + "/")
     files = {"_p": F.concat(root, "prediction"), "_t": F.concat(root, "reference")}
-    pictures = png.decode_named(records.withColumns(files), {"p": "_p", "t": "_t"})
+    decoded = png.decode_named(records.withColumns(files), {"p": "_p", "t": "_t"})
+    pictures = stored(decoded, "predictions")
 
     def signal(side: str):
         top = F.when(F.col(f"{side}depth") == 16, F.lit(65535.0)).otherwise(F.lit(255.0))
