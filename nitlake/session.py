@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # A top-k of up to this many rows per group is cut before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Rows with a text or a picture each go to Python in batches of a few megabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -52,7 +54,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-TUNING = ("spark.sql.codegen.hugeMethodLimit", "spark.sql.optimizer.windowGroupLimitThreshold")
+TUNING = (
+    "spark.sql.codegen.hugeMethodLimit",
+    "spark.sql.optimizer.windowGroupLimitThreshold",
+    "spark.sql.execution.arrow.maxRecordsPerBatch",
+)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -92,7 +98,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
+    table = df.sparkSession.read.parquet(place)
+    table._nitlake_place = place
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what :func:`stored` wrote, once all that reads it has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._nitlake_place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
