@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, urls
+from . import chat, licences, simhash, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,9 @@ def url_filter(spark, folder):
 def chat_rotation(spark, folder):
     """Every conversation from the view of each of its participants."""
     return chat.rotate(table(spark, folder, "conversations"))
+
+
+@query("op6_simhash")
+def simhash_near(spark, folder):
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
