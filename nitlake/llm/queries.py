@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, simhash, urls
+from . import chat, licences, simhash, suffixes, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,9 @@ def chat_rotation(spark, folder):
 def simhash_near(spark, folder):
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark, folder):
+    """What every document loses to earlier repeats of 100 bytes and more."""
+    return suffixes.removal_digests(table(spark, folder, "documents"))
