@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, simhash, suffixes, urls
+from . import chat, licences, quality, simhash, suffixes, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,9 @@ def simhash_near(spark, folder):
 def suffix_dedup(spark, folder):
     """What every document loses to earlier repeats of 100 bytes and more."""
     return suffixes.removal_digests(table(spark, folder, "documents"))
+
+
+@query("op3_quality")
+def quality_rules(spark, folder):
+    """Rule counts, perplexity and verdict of every document."""
+    return quality.quality(table(spark, folder, "documents"))
