@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, quality, simhash, suffixes, urls
+from . import chat, licences, packing, planes, quality, simhash, suffixes, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,15 @@ def suffix_dedup(spark, folder):
 def quality_rules(spark, folder):
     """Rule counts, perplexity and verdict of every document."""
     return quality.quality(table(spark, folder, "documents"))
+
+
+@query("op4_packing")
+def pack(spark, folder):
+    """Every piece of every document, and where it lies in which sequence."""
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query("op9_bit_planes")
+def bit_planes(spark, folder):
+    """Every document's ids as read back from files of bit planes."""
+    return planes.file_digests(table(spark, folder, "documents"))
