@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, packing, planes, quality, simhash, suffixes, urls
+from . import chat, licences, packing, planes, quality, simhash, suffixes, templates, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,9 @@ def pack(spark, folder):
 def bit_planes(spark, folder):
     """Every document's ids as read back from files of bit planes."""
     return planes.file_digests(table(spark, folder, "documents"))
+
+
+@query("op1_template_leaks")
+def template_leaks(spark, folder):
+    """Documents that hold a benchmark item, also with other numbers, names and units."""
+    return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
