@@ -21,6 +21,7 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Rows with a text or a picture each go to Python in batches of a few megabytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -58,6 +59,7 @@ TUNING = (
     "spark.sql.codegen.hugeMethodLimit",
     "spark.sql.optimizer.windowGroupLimitThreshold",
     "spark.sql.execution.arrow.maxRecordsPerBatch",
+    "spark.sql.execution.arrow.maxBytesPerBatch",
 )
 
 
