@@ -7,13 +7,15 @@ Suffixes are sampled by content: every window of LENGTH bytes has one anchor, th
 among its KEY-byte strings. Equal windows have their anchors at the same place, so only suffixes
 at anchors (one in about thirty) need to be indexed. Their sorted keys are the suffix arrays:
 
-* Documents come in batches by id. A batch's array is written sorted in buckets of its key. It is
-  merge-joined, bucket by bucket and without a shuffle, with the array of every level there is:
-  keys that meet start possible long matches. Then it becomes a level itself, and two levels of
-  the same rank are merged into one of the next, so that a suffix is written once per rank.
-* Suffixes whose key occurs twice are resolved exactly: they go with their text to the task of
-  their key, where all windows of a key are compared. A key with very many different surroundings
-  does not go to one task: its windows are spread, and grouped window by window.
+* Documents come in batches by id. A batch's array is written sorted in buckets of its key, and
+  becomes a level. Two levels of the same rank are merged into one of the next, so that a suffix
+  is written once per rank; levels of other ranks are scanned. Both are merge joins, bucket by
+  bucket and without a shuffle. Keys that meet start possible long matches.
+* Suffixes whose key occurs twice are resolved exactly. An anchor's span is all of its windows'
+  bytes. A span that occurred before goes as a whole. Of a key with spans of several kinds, the
+  first of each kind is fetched with its text, and their windows are compared one by one.
+* A key with very many kinds of spans does not go to one task: its spans and windows are spread,
+  and grouped span by span and window by window.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ from .filters import key_filter, passes
 from .words import BLOCK, Block, Rolling, blocks, column, mixed, ranges
 
 LENGTH = 100
-KEY = 48
+KEY = 32
 BATCHES = 4
-#: A key with more surroundings than this is resolved window by window.
+#: The spans of a key with more kinds than this are spread over tasks.
 HOT = 20_000
 _PLACE = np.uint64((1 << 22) - 1)
 
@@ -132,10 +134,8 @@ class Family:
         return table
 
     def add(self, array: DataFrame) -> list[DataFrame]:
-        """Scan a batch's array (key, n, spans) against every level, then let it in.
-        Gives the keys of the batch that a level holds too."""
-        met = [array.join(level.select("key"), "key", "left_semi").select("key") for _, level in self.levels]
-        met = [stored(keys, "met") for keys in met]
+        """Let a batch's array (key, n, spans) in. Merging adds up the occurrences of keys; levels
+        that are not merged now are scanned, and the keys of the batch that they hold are returned."""
         self.levels.append((0, array))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, other) = self.levels.pop(), self.levels.pop()
@@ -143,7 +143,19 @@ class Family:
             total = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
             merged = both.select("key", total("n1", "n").alias("n"), total("s1", "spans").alias("spans"))
             self.levels.append((rank + 1, self.sorted(merged)))
-        return met
+        met = [array.join(level.select("key"), "key", "left_semi").select("key") for _, level in self.levels[:-1]]
+        return [stored(keys, "met") for keys in met]
+
+    def repeated(self, met: list[DataFrame]) -> DataFrame:
+        """Keys that occur twice or more: within a level, or where a scan met."""
+        return _union([level.where("n > 1").select("key") for _, level in self.levels] + met)
+
+    def frequent(self, more: int) -> DataFrame:
+        """Keys with more than ``more`` kinds of spans over all levels."""
+        share = more // len(self.levels)  # in one level at least
+        parts = _union([level.where(F.col("spans") > share).select("key") for _, level in self.levels]).distinct()
+        found = _union([level.join(parts, "key", "left_semi").select("key", "spans") for _, level in self.levels])
+        return found.groupBy("key").agg(F.sum("spans").alias("spans")).where(F.col("spans") > more).select("key")
 
     def close(self) -> None:
         for table in self.tables:
@@ -151,141 +163,184 @@ class Family:
         discard(*self.tables)
 
 
+ROW = "deal bigint, id bigint, start bigint, end bigint, key bigint, span bigint, apart boolean"
+_NAMES = ["deal", "id", "start", "end", "key", "span", "apart"]
+
+
 def _candidates(repeated, hot):
-    """Suffixes whose key may be repeated, with their text; what repeats within the batch is settled here."""
+    """Spans whose key may be repeated; what repeats within a block is settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("_id").to_numpy(zero_copy_only=False)
-            data, offsets = column(batch, "_text")
-            for block, before in pieces(data, offsets):
-                runs = Runs(block)
-                pick = np.flatnonzero(passes(repeated.value, runs.key))
-                if not len(pick):
-                    continue
-                text = runs.text[pick]
-                own = ids[block.rows][text]
-                first, end = runs.first[pick], runs.last[pick] + LENGTH
-                order = np.lexsort((first, own))
-                key, own, first, end, text = runs.key[pick][order], own[order], first[order], end[order], text[order]
-                at = first - block.start[text] + before
-                span = runs.rolling.spans(first, end)
-                _, head, of = np.unique(span, return_index=True, return_inverse=True)
-                head = head[of]
-                later = (own != own[head]) | (at != at[head])
-                yield _intervals(own[later], at[later], (at + end - first)[later])
-                # A repeated row has its first occurrence in the same place: it is neither later nor new.
-                new = np.flatnonzero(head == np.arange(len(head)))
-                sizes = end[new] - first[new]
-                held = pa.Array.from_buffers(
-                    pa.binary(), len(new),
-                    [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                     pa.py_buffer(block.data[ranges(first[new], sizes)].tobytes())],
-                )
-                apart = passes(hot.value, key[new])
-                deal = np.where(apart, mixed(own[new].astype(np.int64).view(np.uint64)), key[new])
-                yield _rows(deal.view(np.int64), own[new], at[new], at[new] + sizes, key[new].view(np.int64), apart, held)
+        for block, before, ids in _blocks(batches):
+            runs = Runs(block)
+            pick = np.flatnonzero(passes(repeated.value, runs.key))
+            if not len(pick):
+                continue
+            span, text = runs.spans()[pick], runs.text[pick]
+            own, key = ids[text], runs.key[pick]
+            at = runs.first[pick] - block.start[text] + before
+            end = at + runs.last[pick] - runs.first[pick] + LENGTH
+            order = np.lexsort((at, own))
+            own, at, end, key, span = (x[order] for x in (own, at, end, key, span))
+            new, later = _first(own, at, span ^ key)
+            yield _intervals(own[later], at[later], end[later])
+            own, at, end, key, span = (x[new] for x in (own, at, end, key, span))
+            apart = passes(hot.value, key)
+            deal = np.where(apart, _place(own, at), key)
+            yield _rows(deal, own, at, end, key, span, apart)
 
     return run
 
 
-ROW = "deal bigint, id bigint, start bigint, end bigint, key bigint, apart boolean, span binary"
-_NAMES = ["deal", "id", "start", "end", "key", "apart", "span"]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, int, np.ndarray]]:
+    for batch in batches:
+        ids = batch.column("_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+        for block, before in pieces(*column(batch, "_text")):
+            yield block, before, ids[block.rows]
+
+
+def _place(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed(mixed(own.view(np.uint64)) + at.view(np.uint64))
 
 
-def _rows(deal, own, start, end, key, apart, span) -> pa.RecordBatch:
-    fixed = [pa.array(x, pa.int64()) for x in (deal, own, start, end, key)]
-    return pa.RecordBatch.from_arrays([*fixed, pa.array(apart, pa.bool_()), span], names=_NAMES)
+def _first(own: np.ndarray, at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of (own, at): the first of each ``what``, and those that come after it. A row
+    that is repeated has its first occurrence in the same place, and is neither."""
+    _, head, of = np.unique(what, return_index=True, return_inverse=True)
+    first = head[of]
+    return first == np.arange(len(what)), (own != own[first]) | (at != at[first])
+
+
+def _rows(deal, own, start, end, key, span, apart) -> pa.RecordBatch:
+    fixed = [pa.array(x.view(np.int64) if x is not None else None, pa.int64()) for x in (deal, own, start, end, key, span) if x is not None]
+    if span is None:  # settled: a byte span to remove
+        fixed.append(pa.nulls(len(own), pa.int64()))
+    return pa.RecordBatch.from_arrays([*fixed, pa.array(apart, pa.bool_())], names=_NAMES)
 
 
 def _intervals(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Settled removals, sorted by (id, start), those that touch merged."""
+    """Settled removals, from spans sorted by (id, start); those that touch are merged."""
     if len(own):
-        reach = end.copy()
         new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] > end[:-1])])
         head = np.flatnonzero(new)
-        own, start, end = own[head], start[head], np.maximum.reduceat(reach, head)
-    none = pa.nulls(len(own), pa.binary())
-    deal = mixed(own.astype(np.int64).view(np.uint64)).view(np.int64)
-    return _rows(deal, own, start, end, np.zeros(len(own), np.int64), np.zeros(len(own), bool), none)
+        own, start, end = own[head], start[head], np.maximum.reduceat(end, head)
+    return _rows(_place(own, start), own, start, end, np.zeros(len(own), np.int64), None, np.zeros(len(own), bool))
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: the windows of each key compared; settled and spread rows go through."""
+def _by_key(batches: Iterator[pa.RecordBatch], settle, own=None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, worked on by ``settle`` some thousands at a time, the rows of a key together."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        own = pc.and_(pc.is_valid(batch.column("span")), pc.invert(batch.column("apart")))
-        through = batch.filter(pc.invert(own))
-        if through.num_rows:
-            yield through
-        batch = batch.filter(own)
+        if own is not None:
+            mine = own(batch)
+            through = batch.filter(pc.invert(mine))
+            if through.num_rows:
+                yield through
+            batch = batch.filter(mine)
         if not batch.num_rows:
             continue
         held.append(batch)
         size += batch.num_rows
-        if size >= 8_000:
+        if size >= 30_000:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             keys = whole.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
             if cut:
-                yield _settle(whole.slice(0, cut))
+                yield from settle(whole.slice(0, cut))
                 whole = whole.slice(cut)
             held, size = [whole], whole.num_rows
     if size:
-        yield _settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans sorted by key. Out come removals, and the first of each kind under a key of several
+    kinds; settled and spread rows go through."""
+    return _by_key(batches, _settle_spans, lambda b: pc.and_(pc.is_valid(b.column("span")), pc.invert(b.column("apart"))))
 
 
-def _settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-    own, start, end = (batch.column(c).to_numpy() for c in ("id", "start", "end"))
-    key = batch.column("key").to_numpy().view(np.uint64)
+def _settle_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    own, start, end, key, span = (batch.column(c).to_numpy() for c in ("id", "start", "end", "key", "span"))
     order = np.lexsort((start, own))
-    data, offsets = column(batch, "span")
-    rolling = Rolling(data)
-    begin, size = offsets[:-1], np.diff(offsets)
-    whole = rolling.spans(begin, begin + size) ^ key
-    own, start, key, begin, size, whole = (x[order] for x in (own, start, key, begin, size, whole))
-    _, head, of = np.unique(whole, return_index=True, return_inverse=True)
-    head = head[of]
-    later = (own != own[head]) | (start != start[head])
-    found = [(own[later], start[later], (start + size)[later])]
-    # First of their kind, under a key with several kinds: window by window.
-    new = head == np.arange(len(head))
+    own, start, end, key, span = (x[order] for x in (own, start, end, key, span))
+    new, later = _first(own, start, span ^ key)
+    yield _intervals(own[later], start[later], end[later])
     _, of, kinds = np.unique(key[new], return_inverse=True, return_counts=True)
     rows = np.flatnonzero(new)[kinds[of] > 1]
-    if len(rows):
-        windows = size[rows] - LENGTH + 1
-        row = np.repeat(np.arange(len(rows)), windows)
-        at = ranges(begin[rows], windows)
-        place = ranges(start[rows], windows)
-        hashes = mixed(rolling.every(LENGTH)[at] + key[rows][row])
-        by = np.argsort(hashes, kind="stable")  # rows are in order of (id, start), so the first is the earliest
-        lead = np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])
-        first = np.empty(len(by), np.int64)
-        first[by] = by[np.maximum.accumulate(np.where(lead, np.arange(len(by)), 0))]
-        mine = own[rows][row]
-        again = np.flatnonzero((mine != mine[first]) | (place != place[first]))
-        found.append((mine[again], place[again], place[again] + LENGTH))
-    own, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, own))
-    return _intervals(own[order], start[order], end[order])
+    own, start, end, key, span = (x[rows] for x in (own, start, end, key, span))
+    yield _rows(_place(own, start), own, start, end, key, span, np.zeros(len(own), bool))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of spread rows, one row each, under two independent 64-bit hashes."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own, start = (batch.column(c).to_numpy() for c in ("id", "start"))
-        data, offsets = column(batch, "span")
-        windows = np.diff(offsets) - LENGTH + 1
-        at = ranges(offsets[:-1], windows)
+        yield pa.RecordBatch.from_arrays([pa.array(_place(own, start).view(np.int64))], names=["place"])
+
+
+_TEXT = "id bigint, start bigint, key bigint, apart boolean, text binary"
+
+
+def _fetched(repeated, wanted, hot):
+    """The text of wanted spans (and of a few others that the filters let through)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, before, ids in _blocks(batches):
+            runs = Runs(block)
+            own, at = ids[runs.text], runs.first - block.start[runs.text] + before
+            place = _place(own, at)
+            pick = np.flatnonzero(passes(repeated.value, runs.key) & passes(wanted.value, place))
+            if not len(pick):
+                continue
+            sizes = runs.last[pick] - runs.first[pick] + LENGTH
+            text = pa.Array.from_buffers(
+                pa.binary(), len(pick),
+                [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                 pa.py_buffer(block.data[ranges(runs.first[pick], sizes)].tobytes())],
+            )
+            fixed = [pa.array(x[pick].view(np.int64)) for x in (own, at, runs.key)]
+            yield pa.RecordBatch.from_arrays(
+                [*fixed, pa.array(passes(hot.value, runs.key[pick])), text], names=["id", "start", "key", "apart", "text"]
+            )
+
+    return run
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of spans sorted by key: windows that occurred before under the same key."""
+    for made in _by_key(batches, _settle_windows):
+        yield made.select(["id", "start", "end"])
+
+
+def _settle_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    hashes, key, own, place = _window_rows(batch)
+    order = np.lexsort((place, own))
+    hashes, key, own, place = (x[order] for x in (hashes, key, own, place))
+    _, later = _first(own, place, mixed(hashes + key.view(np.uint64)))
+    yield _intervals(own[later], place[later], place[later] + LENGTH)
+
+
+def _window_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    data, offsets = column(batch, "text")
+    windows = np.diff(offsets) - LENGTH + 1
+    own, start, key = (np.repeat(batch.column(c).to_numpy(), windows) for c in ("id", "start", "key"))
+    within = ranges(np.zeros(len(windows), np.int64), windows)
+    hashes = Rolling(data).every(LENGTH)[np.repeat(offsets[:-1], windows) + within]
+    return hashes, key, own, start + within
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(Rolling(data, 1).every(LENGTH)[at].view(np.int64)),
-                pa.array(Rolling(data, 2).every(LENGTH)[at].view(np.int64)),
-                pa.array(np.repeat(own, windows)), pa.array(ranges(start, windows)),
-            ],
-            names=["one", "two", "id", "start"],
-        )
+            [pa.array(x.view(np.int64)) for x in _window_rows(batch)], names=["window", "key", "id", "start"]
+        )
+
+
+def _after_first(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Spread rows: the first of each kind, and the rows that come after it. Spark combines minima
+    before it shuffles, and can split the join's large keys."""
+    least = rows.groupBy(*by).agg(F.min(F.struct("id", "start")).alias("least"))
+    return least, rows.join(least, by).where(F.struct("id", "start") != F.col("least"))
 
 
 def removals(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -295,30 +350,37 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: i
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 26))
     cuts = rows.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.02)
-    batch = sum([(F.col("_id") > c).cast("int") for c in sorted(set(cuts))], F.lit(0))
+    batch = sum([F.coalesce((F.col("_id") > c).cast("int"), F.lit(0)) for c in sorted(set(cuts))], F.lit(0))
     keys = rows.select(batch.alias("_batch"), "_text").mapInArrow(_keys, "batch int, key bigint, n bigint, spans bigint")
     family = Family(spark, buckets)
-    summed = keys.groupBy("batch", "key").agg(F.sum("n").alias("n"), F.sum("spans").alias("spans"))
-    arrays = family.sorted(summed.repartition(buckets, "key"))
+    summed = keys.repartition(buckets, "key").groupBy("batch", "key").agg(F.sum("n").alias("n"), F.sum("spans").alias("spans"))
+    arrays = family.sorted(summed)
     met: list[DataFrame] = []
     for i in range(len(set(cuts)) + 1):
         met += family.add(arrays.where(F.col("batch") == i).select("key", "n", "spans"))
-    inside = arrays.where("n > 1").select("key")
-    repeated = stored(inside.unionByName(_union(met)) if met else inside, "repeated")
-    hot = arrays.groupBy("key").agg(F.sum("spans").alias("spans")).where(F.col("spans") > HOT).select("key")
-    often = stored(hot, "often")
-    known = key_filter(repeated, "key", repeated.count())
-    spread = key_filter(often, "key", often.count())
+    repeated, often = stored(family.repeated(met), "repeated"), stored(family.frequent(HOT), "often")
+    known, hot = key_filter(repeated, "key", repeated.count()), key_filter(often, "key", often.count())
     family.close()
     discard(*met, repeated, often)
-    found = rows.mapInArrow(_candidates(known, spread), ROW)
-    dealt = found.repartition(buckets, "deal").sortWithinPartitions("key")
+
+    dealt = rows.mapInArrow(_candidates(known, hot), ROW).repartition(buckets, "deal").sortWithinPartitions("key")
     settled = stored(dealt.mapInArrow(_resolved, ROW), "settled")
-    done = settled.where(F.col("span").isNull()).select("id", "start", "end")
-    windows = settled.where("apart").mapInArrow(_windows, "one bigint, two bigint, id bigint, start bigint")
-    least = windows.groupBy("one", "two").agg(F.min(F.struct("id", "start")).alias("least"))
-    again = windows.join(least, ["one", "two"]).where(F.struct("id", "start") != F.col("least"))
-    return done.unionByName(again.select("id", "start", (F.col("start") + LENGTH).alias("end")))
+    done = [settled.where(F.col("span").isNull()).select("id", "start", "end")]
+    spread = settled.where(F.col("apart") & F.col("span").isNotNull())
+    first, again = _after_first(spread, ["key", "span"])
+    done.append(again.select("id", "start", "end"))
+    wanted = settled.where(~F.col("apart") & F.col("span").isNotNull()).select("id", "start")
+    wanted = stored(wanted.unionByName(first.select("least.id", "least.start")).mapInArrow(_places, "place bigint"), "wanted")
+    chosen = key_filter(wanted, "place", wanted.count())
+    discard(wanted)
+
+    texts = stored(rows.mapInArrow(_fetched(known, chosen, hot), _TEXT), "spans")
+    close = texts.where("not apart").repartition(buckets, "key").sortWithinPartitions("key")
+    done.append(close.mapInArrow(_compared, "id bigint, start bigint, end bigint"))
+    windows = texts.where("apart").mapInArrow(_windows, "window bigint, key bigint, id bigint, start bigint")
+    _, again = _after_first(windows, ["key", "window"])
+    done.append(again.select("id", "start", (F.col("start") + LENGTH).alias("end")))
+    return _union(done)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
