@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, packing, planes, quality, simhash, suffixes, templates, urls
+from . import chat, licences, packing, planes, quality, simhash, suffixes, templates, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def bit_planes(spark, folder):
 def template_leaks(spark, folder):
     """Documents that hold a benchmark item, also with other numbers, names and units."""
     return templates.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_toxicity")
+def toxicity_scores(spark, folder):
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
