@@ -2,13 +2,14 @@
 
 Each word comes with word inputs and character inputs. Word inputs: the log odds of the word in
 toxic against other labelled texts, and an embedding that is learnt, both by hashed word. Character
-inputs: the largest and the mean log odds of the word's character trigrams, its length, and the
+inputs: the largest and the mean log odds of the word's runs of five bytes, its length, and the
 shares of capitals, digits and signs. Two gated recurrent layers read a window forwards and
 backwards, attention weighs their states, and a logistic unit scores the window.
 
 All overlapping windows of a text are scored; the text's score is that of its worst window. The
 log odds come from all labelled training texts by Spark; the network is fitted on a bounded sample
-of them, in one task. Tasks then share the weights, which have a fixed size.
+of them, in one task, where a text sees the log odds that the other half of the texts gives.
+Tasks then share the weights, which have a fixed size.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .words import SPACE, Block, Rolling, blocks, column, mixed
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBEDDED = 8, 4
-WORD_BITS, CHAR_BITS = 18, 16
+WORD_BITS, CHAR_BITS = 18, 18
 #: The network is fitted on at most about this many labelled texts, half of them toxic if there are enough.
-TRAINED_ON = 2_400
+TRAINED_ON = 4_000
 ROUNDS, RATE, SEED = 5, 0.01, 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,7 +41,7 @@ FEATURES = 8
 
 
 class Words:
-    """Hashed words and trigrams of a block, without case and outer signs."""
+    """Hashed words and character runs of a block, without case and outer signs."""
 
     def __init__(self, block: Block):
         self.starts, self.ends, self.text = block.words()
@@ -52,21 +53,22 @@ class Words:
         core = np.where(some, inner[np.minimum(a, last)], self.starts) if len(inner) else self.starts
         stop = np.where(some, inner[np.minimum(np.maximum(b - 1, 0), last)] + 1, self.ends) if len(inner) else self.ends
         self.word = (Rolling(data).spans(core, stop) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        # Trigrams with the bytes around the word counted in, so that every word has one at least.
-        wide = data.astype(np.int64)
-        pad = np.concatenate([[0], wide, [0]])
-        gram = (pad[:-2] * 65_537 + pad[1:-1] * 257 + pad[2:]).astype(np.uint64)
+        # Five bytes from the one before, so that beginnings are told from middles, and every word has some.
+        pad = np.concatenate([[32], data, [32, 32, 32]]).astype(np.uint64)
+        gram = pad[:-4]
+        for i in range(1, 5):
+            gram = gram << np.uint64(8) | pad[i : len(pad) - 4 + i]
         self.gram = (mixed(gram) >> np.uint64(64 - CHAR_BITS)).astype(np.int64)
         self.raw = block.data
 
 
-def inputs(words: Words, word_odds: np.ndarray, char_odds: np.ndarray) -> np.ndarray:
+def inputs(words: Words, odds: np.ndarray) -> np.ndarray:
     """FEATURES numbers for every word; the embedding is looked up by the network."""
     if not len(words.starts):
         return np.zeros((0, FEATURES), np.float32)
     size = (words.ends - words.starts).astype(np.float32)
     share = lambda mask: _within(mask.astype(np.float32), words) / size
-    odds = char_odds[words.gram]
+    word_odds, odds = odds[: 1 << WORD_BITS], odds[1 << WORD_BITS :][words.gram]
     bounds = np.stack([words.starts, words.ends], 1).ravel()
     most = np.maximum.reduceat(np.append(odds, np.float32(0)), bounds)[::2]
     return np.stack(
@@ -201,16 +203,18 @@ def scored_windows(network: Network, words: Words, features: np.ndarray, texts:
     return out, start, size, of
 
 
-def fitted(texts: list[bytes], label: np.ndarray, word_odds: np.ndarray, char_odds: np.ndarray) -> Network:
-    """Each round, every text teaches by its worst window as scored now, and a text that is not
+def fitted(texts: list[bytes], label: np.ndarray, fold: np.ndarray, odds: list[np.ndarray]) -> Network:
+    """A network from texts sorted by fold. Each round, every text teaches by its worst window as scored now, and a text that is not
     toxic by one more, drawn from all its windows. Steps by Adam."""
     network, rng = Network.fresh(), np.random.default_rng(SEED)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     held = []
-    for block in blocks(data, offsets):
-        words = Words(block)
-        held.append((words, inputs(words, word_odds, char_odds), block.texts, label[block.rows]))
+    for part in (0, 1):
+        mine = np.flatnonzero(fold == part)
+        data = np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in mine])]).astype(np.int64)
+        for block in blocks(data, offsets):
+            words = Words(block)
+            held.append((words, inputs(words, odds[1 + part]), block.texts, label[mine][block.rows]))
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())) * len(label)
     weight = np.split(weight, np.cumsum([h[2] for h in held])[:-1])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.w.items()}
@@ -252,41 +256,48 @@ def held_out(id: str) -> Column:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that hold each hashed word and trigram, by label."""
+    """Texts that hold each hashed word and character run, by label."""
     for batch in batches:
-        toxic = batch.column("label").to_numpy()
-        sums = np.zeros((2, (1 << WORD_BITS) + (1 << CHAR_BITS)), np.int64)
+        kind = batch.column("label").to_numpy() + 2 * batch.column("fold").to_numpy()
+        sums = np.zeros((4, (1 << WORD_BITS) + (1 << CHAR_BITS)), np.int64)
         for block in blocks(*column(batch, "_text")):
             words = Words(block)
             owner = np.repeat(words.text, words.ends - words.starts)
             at = np.flatnonzero(~SPACE[block.data])
             for bucket, text in ((words.word, words.text), (words.gram[at] + (1 << WORD_BITS), owner)):
-                pair = np.unique(text << 20 | bucket)
-                np.add.at(sums, (toxic[block.rows][pair >> 20], pair & ((1 << 20) - 1)), 1)
-        label, bucket = np.nonzero(sums)
+                pair = np.unique(text << 20 | bucket)  # buckets take fewer than 20 bits
+                np.add.at(sums, (kind[block.rows][pair >> 20], pair & ((1 << 20) - 1)), 1)
+        kind, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(label.astype(np.int32)), pa.array(bucket), pa.array(sums[label, bucket])], names=["label", "bucket", "n"]
+            [pa.array(kind.astype(np.int32)), pa.array(bucket), pa.array(sums[kind, bucket])], names=["kind", "bucket", "n"]
         )
 
 
-def log_odds(labelled: DataFrame, strength: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of hashed words and trigrams in toxic texts, drawn to zero where they are rare. Counted
-    over all labelled rows; the driver gets one row per bucket and label, of a fixed number of buckets."""
+def log_odds(labelled: DataFrame, strength: float = 4.0) -> list[np.ndarray]:
+    """Log odds of hashed words and character runs in toxic texts, drawn to zero where they are rare:
+    of all labelled rows, and of those outside fold 0 and outside fold 1. The driver gets one row
+    per bucket, label and fold, of a fixed number of buckets."""
     size = (1 << WORD_BITS) + (1 << CHAR_BITS)
-    found = labelled.mapInArrow(_seen, "label int, bucket bigint, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    totals = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    counts = np.zeros((2, size))
-    counts[found["label"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"]
-    part = np.array([totals.get(0, 0), totals.get(1, 0)]) + 1.0
-    share = part / part.sum()
-    odds = np.log((counts[1] + strength * share[1]) / (counts[0] + strength * share[0]) * part[0] / part[1]).astype(np.float32)
-    return odds[: 1 << WORD_BITS], odds[1 << WORD_BITS :]
-
-
-def _fit_one(word_odds, char_odds):
+    found = labelled.mapInArrow(_seen, "kind int, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    totals = np.zeros(4)
+    for row in labelled.groupBy("label", "fold").count().collect():
+        totals[row["label"] + 2 * row["fold"]] = row["count"]
+    counts = np.zeros((4, size))
+    counts[found["kind"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"]
+    out = []
+    for some in (counts[:2] + counts[2:], totals[:2] + totals[2:]), (counts[2:], totals[2:]), (counts[:2], totals[:2]):
+        part = some[1] + 1.0
+        share = part / part.sum()
+        odds = np.log((some[0][1] + strength * share[1]) / (some[0][0] + strength * share[0]) * part[0] / part[1])
+        out.append(odds.astype(np.float32))
+    return out
+
+
+def _fit_one(odds):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["_order", "_text"])
-        network = fitted([t.encode() for t in frame["_text"]], frame["label"].to_numpy(), word_odds.value, char_odds.value)
+        frame = frame.sort_values(["fold", "_order", "_text"])
+        texts = [t.encode() for t in frame["_text"]]
+        network = fitted(texts, frame["label"].to_numpy(), frame["fold"].to_numpy(), odds.value)
         held = io.BytesIO()
         np.savez(held, **network.w)
         return pd.DataFrame({"weights": [held.getvalue()]})
@@ -297,8 +308,8 @@ def _fit_one(word_odds, char_odds):
 class Scorer:
     """The network's weights and the log odds, and texts' scores by them."""
 
-    def __init__(self, network: Network, word_odds: np.ndarray, char_odds: np.ndarray):
-        self.network, self.word_odds, self.char_odds = network, word_odds, char_odds
+    def __init__(self, network: Network, odds: np.ndarray):
+        self.network, self.odds = network, odds
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
@@ -308,28 +319,29 @@ class Scorer:
         marks = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("label")).where("label is not null")
         marks = marks.where(~held_out("_id")).groupBy("_id").agg(F.max("label").alias("label"))
         rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        train = rows.join(marks, "_id")
-        word_odds, char_odds = log_odds(train.select("label", "_text"))
+        fold = F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(2)).cast("int")
+        train = rows.join(marks, "_id").withColumn("fold", fold)
+        odds = log_odds(train.select("label", "fold", "_text"))
         # A bounded sample by hash, toxic texts and others alike; very long texts stay out of it.
         short = train.where(F.octet_length("_text") <= 20_000)
         order = F.xxhash64(F.lit("sample"), "_id")
         sizes = {r["label"]: r["count"] for r in short.groupBy("label").count().collect()}
         share = lambda kind: min(1.0, TRAINED_ON / 2 / max(1, sizes.get(kind, 0)))
         lucky = F.pmod(order, F.lit(1 << 20)) < F.when(F.col("label") == 1, int(share(1) * (1 << 20))).otherwise(int(share(0) * (1 << 20)))
-        sample = short.where(lucky).select(order.alias("_order"), "label", "_text")
-        sent = [spark.sparkContext.broadcast(x) for x in (word_odds, char_odds)]
-        made = sample.groupBy(F.lit(1).alias("_all")).applyInPandas(_fit_one(*sent), "weights binary").collect()
+        sample = short.where(lucky).select(order.alias("_order"), "label", "fold", "_text")
+        sent = spark.sparkContext.broadcast(odds)
+        made = sample.groupBy(F.lit(1).alias("_all")).applyInPandas(_fit_one(sent), "weights binary").collect()
         if not made:
-            return cls(Network.fresh(), word_odds, char_odds)
+            return cls(Network.fresh(), odds[0])
         held = np.load(io.BytesIO(bytes(made[0]["weights"])))
-        return cls(Network({k: held[k] for k in held.files}), word_odds, char_odds)
+        return cls(Network({k: held[k] for k in held.files}), odds[0])
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The score of each text: its worst window's. A text without words has the score 0."""
         out = []
         for block in blocks(data, offsets):
             words = Words(block)
-            logit, _, _, of = scored_windows(self.network, words, inputs(words, self.word_odds, self.char_odds), block.texts)
+            logit, _, _, of = scored_windows(self.network, words, inputs(words, self.odds), block.texts)
             worst = np.full(block.texts, -np.inf)
             np.maximum.at(worst, of, logit)
             out.append(1 / (1 + np.exp(-np.maximum(worst, -700.0))) * (worst > -np.inf))
