@@ -447,7 +447,7 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def passages_by_text(docs: DataFrame, found: DataFrame, id: str = "doc_id") -> DataFrame:
+def passages_by_text(found: DataFrame) -> DataFrame:
     """(id, spans) of the texts that lose something; a text has no more spans than bytes."""
     return found.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -459,7 +459,7 @@ def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     repeat an id and text are one document: they lose the same and none of it to each other. Other
     columns are ignored. Only texts that lose something are shuffled.
     """
-    spans = stored(passages_by_text(docs, removals(docs, id, text)), "spans")
+    spans = stored(passages_by_text(removals(docs, id, text)), "spans")
     touched = key_filter(spans.select(F.xxhash64("id").alias("key")), "key", spans.count())
     rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     light = rows.mapInArrow(_lighten(touched), "_id bigint, n_bytes bigint, digest string, _text binary")
@@ -471,26 +471,27 @@ def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
-        for row in batch.select(["_text", "_spans"]).to_pylist():
-            if row["_text"] is None or not row["_spans"]:
-                kept.append(row["_text"])
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            if text is None or not found:
+                kept.append(text)
                 continue
-            held, spans = row["_text"].encode(), []
-            for start, end in _merged(row["_spans"]):
+            held, spans = text.encode(), []
+            for start, end in _merged(found):
                 while start < end and held[start] & 0xC0 == 0x80:
                     start += 1
                 while end > start and end < len(held) and held[end] & 0xC0 == 0x80:
                     end -= 1
                 spans.append((start, end))
             kept.append(cut_out(held, spans).decode())
-        place = batch.schema.get_field_index("_text")
-        yield batch.set_column(place, "_text", pa.array(kept, batch.schema.field(place).type)).drop_columns(["_spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, batch.column("text").type)], names=["row", "text"])
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the same columns, repeated passages removed from ``text`` in whole characters."""
-    spans = passages_by_text(docs, removals(docs, id, text), id).select(F.col("id").alias("_of"), F.col("spans").alias("_spans"))
-    rows = docs.withColumnRenamed(text, "_text")
-    joined = rows.join(spans, F.col(id).cast("bigint") == F.col("_of"), "left").drop("_of")
-    made = joined.mapInArrow(_whole_characters, rows.schema)
-    return made.withColumnRenamed("_text", text).select(*docs.columns)
+    """``docs`` with the same columns, repeated passages removed from ``text`` in whole characters:
+    a character that is removed in part stays. Nulls, short and repeated rows as in :func:`removal_digests`."""
+    spans = stored(passages_by_text(removals(docs, id, text)), "spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(id).cast("bigint").alias("own"), F.col(text).alias("text"))
+    joined = rows.join(spans, F.col("own") == F.col("id"), "left").select("row", "text", "spans")
+    made = joined.mapInArrow(_whole_characters, rows.select("row", "text").schema)
+    return made.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
