@@ -13,7 +13,8 @@ at anchors (one in about thirty) need to be indexed. Their sorted keys are the s
   bucket and without a shuffle. Keys that meet start possible long matches.
 * Suffixes whose key occurs twice are resolved exactly. An anchor's span is all of its windows'
   bytes. A span that occurred before goes as a whole. Of a key with spans of several kinds, the
-  first of each kind is fetched with its text, and their windows are compared one by one.
+  first of each kind may share windows with others. It can only with those that it shares the bytes
+  on one side of the key with; where it does, it is fetched with its text, and windows are compared.
 * A key with very many kinds of spans does not go to one task: its spans and windows are spread,
   and grouped span by span and window by window.
 """
@@ -39,7 +40,10 @@ LENGTH = 100
 KEY = 32
 BATCHES = 4
 #: The spans of a key with more kinds than this are spread over tasks.
-HOT = 20_000
+HOT = 4_000
+#: Windows that begin at most this far before their anchor hold the HALF bytes behind its key; others
+#: hold as many before it and one more.
+HALF = (LENGTH - KEY) // 2
 _PLACE = np.uint64((1 << 22) - 1)
 
 
@@ -64,7 +68,7 @@ class Runs:
         at = ranges(block.start, sizes)
         if not len(at):
             self.key, self.text = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.first = self.last = self.text
+            self.first = self.last = self.anchor = self.text
             return
         hashes = self.rolling.every(KEY)
         packed = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
@@ -77,7 +81,8 @@ class Runs:
             wide = np.minimum(wide[: len(wide) - (width - reach)], wide[width - reach :])
         anchor = (wide[at] & _PLACE).astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        self.key = hashes[anchor[begin]]
+        self.anchor = anchor[begin]
+        self.key = hashes[self.anchor]
         self.first = at[begin]
         self.last = at[np.concatenate([begin[1:], [len(at)]]) - 1]
         self.text = block.owner(self.first)
@@ -85,6 +90,19 @@ class Runs:
     def spans(self) -> np.ndarray:
         return self.rolling.spans(self.first, self.last + LENGTH)
 
+    def sides(self, pick: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the key with what is before it, and with what is behind it; where no window of
+        the span holds that, a hash that nothing else has."""
+        at, out = self.anchor[pick], []
+        for holds, start, end in (
+            (self.first[pick] < at - HALF, at - HALF - 1, at + KEY),
+            (self.last[pick] >= at - HALF, at, at + KEY + HALF),
+        ):
+            found = mixed(self.rolling.inverse[at] + pick.astype(np.uint64))
+            found[holds] = self.rolling.spans(start[holds], end[holds])
+            out.append(found)
+        return out
+
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch of documents: the keys of its anchors, with occurrences and different surroundings."""
@@ -163,8 +181,8 @@ class Family:
         discard(*self.tables)
 
 
-ROW = "deal bigint, id bigint, start bigint, end bigint, key bigint, span bigint, apart boolean"
-_NAMES = ["deal", "id", "start", "end", "key", "span", "apart"]
+ROW = "deal bigint, id bigint, start bigint, end bigint, key bigint, span bigint, left bigint, right bigint, apart boolean"
+_NAMES = ["deal", "id", "start", "end", "key", "span", "left", "right", "apart"]
 
 
 def _candidates(repeated, hot):
@@ -181,13 +199,13 @@ def _candidates(repeated, hot):
             at = runs.first[pick] - block.start[text] + before
             end = at + runs.last[pick] - runs.first[pick] + LENGTH
             order = np.lexsort((at, own))
-            own, at, end, key, span = (x[order] for x in (own, at, end, key, span))
+            own, at, end, key, span, pick = (x[order] for x in (own, at, end, key, span, pick))
             new, later = _first(own, at, span ^ key)
             yield _intervals(own[later], at[later], end[later])
             own, at, end, key, span = (x[new] for x in (own, at, end, key, span))
             apart = passes(hot.value, key)
             deal = np.where(apart, _place(own, at), key)
-            yield _rows(deal, own, at, end, key, span, apart)
+            yield _rows(apart, deal, own, at, end, key, span, *runs.sides(pick[new]))
 
     return run
 
@@ -211,10 +229,9 @@ def _first(own: np.ndarray, at: np.ndarray, what: np.ndarray) -> tuple[np.ndarra
     return first == np.arange(len(what)), (own != own[first]) | (at != at[first])
 
 
-def _rows(deal, own, start, end, key, span, apart) -> pa.RecordBatch:
-    fixed = [pa.array(x.view(np.int64) if x is not None else None, pa.int64()) for x in (deal, own, start, end, key, span) if x is not None]
-    if span is None:  # settled: a byte span to remove
-        fixed.append(pa.nulls(len(own), pa.int64()))
+def _rows(apart: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    fixed = [pa.array(x.view(np.int64)) for x in values]
+    fixed += [pa.nulls(len(apart), pa.int64())] * (len(_NAMES) - 1 - len(fixed))
     return pa.RecordBatch.from_arrays([*fixed, pa.array(apart, pa.bool_())], names=_NAMES)
 
 
@@ -224,7 +241,7 @@ def _intervals(own: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Record
         new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] > end[:-1])])
         head = np.flatnonzero(new)
         own, start, end = own[head], start[head], np.maximum.reduceat(end, head)
-    return _rows(_place(own, start), own, start, end, np.zeros(len(own), np.int64), None, np.zeros(len(own), bool))
+    return _rows(np.zeros(len(own), bool), _place(own, start), own, start, end, np.zeros(len(own), np.int64))
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], settle, own=None) -> Iterator[pa.RecordBatch]:
@@ -255,21 +272,24 @@ def _by_key(batches: Iterator[pa.RecordBatch], settle, own=None) -> Iterator[pa.
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans sorted by key. Out come removals, and the first of each kind under a key of several
-    kinds; settled and spread rows go through."""
+    """Spans sorted by key. Out come removals, and the first of each kind that shares a side with
+    another kind; settled and spread rows go through."""
     return _by_key(batches, _settle_spans, lambda b: pc.and_(pc.is_valid(b.column("span")), pc.invert(b.column("apart"))))
 
 
 def _settle_spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    own, start, end, key, span = (batch.column(c).to_numpy() for c in ("id", "start", "end", "key", "span"))
-    order = np.lexsort((start, own))
-    own, start, end, key, span = (x[order] for x in (own, start, end, key, span))
+    names = ("id", "start", "end", "key", "span", "left", "right")
+    held = [batch.column(c).to_numpy() for c in names]
+    order = np.lexsort((held[1], held[0]))
+    own, start, end, key, span, left, right = held = [x[order] for x in held]
     new, later = _first(own, start, span ^ key)
     yield _intervals(own[later], start[later], end[later])
-    _, of, kinds = np.unique(key[new], return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(new)[kinds[of] > 1]
-    own, start, end, key, span = (x[rows] for x in (own, start, end, key, span))
-    yield _rows(_place(own, start), own, start, end, key, span, np.zeros(len(own), bool))
+    shared = np.zeros(int(new.sum()), bool)
+    for side in (left, right):
+        _, of, kinds = np.unique(side[new], return_inverse=True, return_counts=True)
+        shared |= kinds[of] > 1
+    held = [x[new][shared] for x in held]
+    yield _rows(np.zeros(len(held[0]), bool), _place(held[0], held[1]), *held)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,10 +387,16 @@ def removals(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: i
     settled = stored(dealt.mapInArrow(_resolved, ROW), "settled")
     done = [settled.where(F.col("span").isNull()).select("id", "start", "end")]
     spread = settled.where(F.col("apart") & F.col("span").isNotNull())
-    first, again = _after_first(spread, ["key", "span"])
+    _, again = _after_first(spread, ["key", "span"])
     done.append(again.select("id", "start", "end"))
+    kinds = spread.groupBy("key", "span").agg(
+        F.min(F.struct("id", "start")).alias("least"), F.min("left").alias("left"), F.min("right").alias("right")
+    )
+    sides = kinds.select("least", F.explode(F.array("left", "right")).alias("side"))
+    common = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
+    shared = sides.join(common, "side", "left_semi").select("least.id", "least.start").distinct()
     wanted = settled.where(~F.col("apart") & F.col("span").isNotNull()).select("id", "start")
-    wanted = stored(wanted.unionByName(first.select("least.id", "least.start")).mapInArrow(_places, "place bigint"), "wanted")
+    wanted = stored(wanted.unionByName(shared).mapInArrow(_places, "place bigint"), "wanted")
     chosen = key_filter(wanted, "place", wanted.count())
     discard(wanted)
 
