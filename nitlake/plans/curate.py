@@ -25,7 +25,7 @@ from ..operators.numbering import first_rows, number_rows
 from ..schemas import HEADER_FIELDS, SHARD_KEYS
 from ..sinks.manifest import header_row, write_manifest
 from ..sources import files, manifest, png
-from ..sources.spec import Curation, Source
+from ..sources.spec import Choice, Curation, Source
 
 PLAN = ("source_dataset", "split", "video", "frame", "path", "sdr_path", "expert_path")
 
@@ -34,49 +34,49 @@ def _names(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "video string")
 
 
-def _allowed(spark: SparkSession, source: Source) -> DataFrame | None:
+def _allowed(spark: SparkSession, choice: Choice) -> DataFrame | None:
     listed = included = None
-    if source.reference_csv is not None:
-        listed = files.reference_csv(
-            spark,
-            source.reference_csv,
-            source.reference_hash_column,
-            source.reference_filter_column,
-            source.reference_filter_value,
-        )
-    if source.include_video_hashes is not None:
-        included = _names(spark, source.include_video_hashes)
+    if choice.listed is not None:
+        held = choice.listed
+        listed = files.reference_csv(spark, held.path, held.column, held.flag, held.value)
+    if choice.only is not None:
+        included = _names(spark, list(choice.only))
     return select.both_lists(listed, included)
 
 
+def _readable(found: DataFrame, name: str) -> DataFrame:
+    """Only PNG is decoded; anything else is refused by name, before a task meets it."""
+    if not found.where(F.col("kind") == "video").isEmpty():
+        raise NotImplementedError(f"{name} holds video containers; decode them to pictures first")
+    pictures = found.where(F.col("kind") == "image")
+    other = pictures.where(~F.lower("relative").endswith(".png")).select("relative").orderBy("relative").limit(5).collect()
+    if other:
+        raise NotImplementedError(f"{name} holds pictures other than PNG: {[r['relative'] for r in other]}")
+    return pictures
+
+
 def plan_source(spark: SparkSession, source: Source, holdout: bool = True) -> DataFrame:
     """The frames of one source as a table of names (columns of ``PLAN``)."""
-    if source.mode == "native_pairs":
+    if source.natives is not None:
         return _plan_native(spark, source)
+    choice = source.choice
     found = files.discover(files.list_files(spark, source.path), F.lit(source.name))
-    if not found.where(F.col("kind") == "video").isEmpty():
-        raise NotImplementedError(
-            f"{source.name} holds video containers; decode them to pictures first"
-        )
-    frames = files.sequences(found.where(F.col("kind") == "image"))
-    frames = first_rows(frames, "frame", source.max_frames_per_video)
-    frames = select.allowed_only(frames, _allowed(spark, source))
-    if source.exclude_video_hashes:
-        frames = select.without(frames, _names(spark, source.exclude_video_hashes))
-    if holdout and source.holdout_count:
+    frames = files.sequences(_readable(found, source.name))
+    frames = first_rows(frames, "frame", choice.frames)
+    frames = select.allowed_only(frames, _allowed(spark, choice))
+    if choice.never:
+        frames = select.without(frames, _names(spark, list(choice.never)))
+    if holdout and choice.held_out is not None:
         frames = frames.withColumn("_source", F.lit(source.name))
         videos = frames.select("_source", "video").distinct()
-        select.enough(videos, "_source", source.holdout_count)
-        held = select.drawn(
-            videos, "_source", "video", source.holdout_count, source.holdout_seed
-        )
+        select.enough(videos, "_source", choice.held_out.count)
+        held = select.drawn(videos, "_source", "video", choice.held_out.count, choice.held_out.seed)
         frames = select.without(frames, held)
-    experts = F.lit(None).cast("string")
-    if source.expert_sdr_path is not None:
-        listed = files.list_files(spark, source.expert_sdr_path)
-        listed = listed.select("relative", F.col("path").alias("expert"))
-        frames = pair.expert_match(frames, listed)
-        experts = F.col("expert")
+    expert = F.lit(None).cast("string")
+    if source.experts is not None:
+        listed = files.list_files(spark, source.experts.path)
+        frames = pair.expert_match(frames, listed.select("relative", F.col("path").alias("expert")))
+        expert = F.col("expert")
     plan = frames.select(
         F.lit(source.dataset).alias("source_dataset"),
         F.lit(source.split).alias("split"),
@@ -84,29 +84,23 @@ def plan_source(spark: SparkSession, source: Source, holdout: bool = True) -> Da
         F.col("frame").cast("int").alias("frame"),
         "path",
         F.lit(None).cast("string").alias("sdr_path"),
-        experts.alias("expert_path"),
+        expert.alias("expert_path"),
     )
-    if source.expert_sdr_path is None:
+    if source.experts is None:
         return plan
-    # Expert pictures pair by position, ``frame_offset`` frames later.
     slots = plan.select("video", "frame", F.col("expert_path").alias("expert"))
-    paired = pair.offset_pairs(
-        plan.select("video", "frame"), slots, source.frame_offset
-    )
+    paired = pair.offset_pairs(plan.select("video", "frame"), slots, source.experts.offset)
     renamed = paired.select("video", "frame", F.col("expert").alias("expert_path"))
     return plan.drop("expert_path").join(renamed, ["video", "frame"], "left").select(*PLAN)
 
 
 def _plan_native(spark: SparkSession, source: Source) -> DataFrame:
-    if source.sdr_path is None:
-        raise ValueError(f"native-pair source {source.name} needs sdr_path")
-
     def side(folder: str, name: str) -> DataFrame:
         listed = files.list_files(spark, folder)
-        kept = listed.where(files.kind_of(F.col("relative")) == "image")
+        kept = _readable(listed.withColumn("kind", files.kind_of(F.col("relative"))), source.name)
         return kept.select("relative", F.col("path").alias(name))
 
-    hdr, sdr = side(source.path, "path"), side(source.sdr_path, "sdr_path")
+    hdr, sdr = side(source.path, "path"), side(source.natives.path, "sdr_path")
     if hdr.isEmpty():
         raise ValueError(f"no supported pictures in {source.path}")
     lost = pair.native_mismatch(hdr, sdr)
@@ -121,11 +115,10 @@ def _plan_native(spark: SparkSession, source: Source) -> DataFrame:
             f"missing HDR={shown['hdr']}"
         )
     pairs = pair.native_pairs(hdr, sdr).withColumn("source_dataset", F.lit(source.dataset))
-    if source.max_pairs is not None:
-        select.enough(pairs, "source_dataset", source.max_pairs)
-        chosen = select.drawn(
-            pairs, "source_dataset", "relative", source.max_pairs, source.pair_seed, "native_pairs"
-        )
+    drawn = source.natives.drawn
+    if drawn is not None:
+        select.enough(pairs, "source_dataset", drawn.count)
+        chosen = select.drawn(pairs, "source_dataset", "relative", drawn.count, drawn.seed, "native_pairs")
         pairs = pairs.join(chosen, ["source_dataset", "relative"], "left_semi")
     return pairs.select(
         "source_dataset",
@@ -148,12 +141,12 @@ def _decoded(names: DataFrame, path: str, depth: int | None) -> DataFrame:
 
 def hdr_frames(source: Source, plan: DataFrame, peak: float) -> DataFrame:
     """Normalised HDR frames as 16-bit planes; native frames keep their codes."""
-    if source.mode == "native_pairs":
+    if source.natives is not None:
         return _decoded(plan, "path", 16).drop("depth")
     frames = png.as_signal(_decoded(plan, "path", None)).drop("depth")
     keys = ["source_dataset", "split", "video", "frame", "height", "width"]
     pixels = spread_pixels(frames, keys, {c: c for c in "rgb"})
-    normal: RGB = normalise(rgb(""), source.format, peak)
+    normal: RGB = normalise(rgb(""), source.signal, peak)
     coded = pixels.withColumns(
         {c: codes.quantise(v, codes.HDR_CODES) for c, v in zip("rgb", normal)}
     )
@@ -241,7 +234,7 @@ def curate(spark: SparkSession, cfg: Curation) -> DataFrame:
         plan = plan_source(spark, source)
         plan = select.without(plan, None if done is None else done.select("video").distinct())
         hdr = hdr_frames(source, plan, cfg.peak_nits)
-        label = "native" if source.mode == "native_pairs" else None
+        label = "native" if source.natives is not None else None
         hdr_parts.append((source, plan, hdr, label))
     if not hdr_parts:
         raise ValueError("no source is enabled")
@@ -258,7 +251,7 @@ def curate(spark: SparkSession, cfg: Curation) -> DataFrame:
     sdr_parts.append(degraded_frames(derived, cfg.tmos, cfg.crf_levels, cfg.peak_nits))
     for source, plan, _, label in hdr_parts:
         given = [("sdr_path", label)] if label else []
-        if source.expert_sdr_path and not label:
+        if source.experts is not None and not label:
             given.append(("expert_path", "expert"))
         for column, tmo in given:
             pictures = _decoded(plan, column, 8).drop("depth")

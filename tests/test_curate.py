@@ -9,7 +9,7 @@ from nitlake.plans.curate import curate, plan_source
 from nitlake.plans.epoch import training_epoch
 from nitlake.sources.files import conversion_inputs, list_files, reference_csv, video_hashes
 from nitlake.sources.manifest import is_shard_manifest, read_header, read_manifest
-from nitlake.sources.spec import Curation, Source, from_mapping, from_yaml
+from nitlake.sources.spec import Curation, from_mapping, from_yaml, source as made
 
 HEX = ["%032x" % i for i in range(8)]
 
@@ -24,7 +24,7 @@ def folders(tmp_path, put):
 
 
 def sources(root):
-    return [Source(name=n, path=str(root / n), category=n) for n in ("pgc", "ugc")]
+    return [made({"name": n, "path": str(root / n)}) for n in ("pgc", "ugc")]
 
 
 def test_grid_manifest_and_resume(spark, folders):
@@ -73,8 +73,8 @@ def test_expert_offset(spark, tmp_path, put):
         put(tmp_path / "hdr" / "v" / f"{frame}.png", np.full((3, 4, 4), code))
     for frame, code in enumerate((11, 22)):
         put(tmp_path / "sdr" / "v" / f"{frame}.png", np.full((3, 4, 4), code), 8)
-    source = Source(
-        name="s", path=str(tmp_path / "hdr"), expert_sdr_path=str(tmp_path / "sdr"), frame_offset=1
+    source = made(
+        {"name": "s", "path": str(tmp_path / "hdr"), "expert_sdr_path": str(tmp_path / "sdr"), "frame_offset": 1}
     )
     cfg = Curation(sources=[source], out_dir=str(tmp_path / "out"), tmos=["reinhard"], crf_levels=[23])
     records = curate(spark, cfg)
@@ -90,9 +90,8 @@ def test_native_pairs_keep_codes(spark, tmp_path, put):
     sdr = np.arange(8 * 9 * 3).reshape(3, 8, 9) % 256
     put(tmp_path / "hdr" / "a.png", sdr * 257)
     put(tmp_path / "sdr" / "a.png", sdr, 8)
-    source = Source(
-        name="n", path=str(tmp_path / "hdr"), sdr_path=str(tmp_path / "sdr"), mode="native_pairs"
-    )
+    settings = {"name": "n", "path": str(tmp_path / "hdr"), "sdr_path": str(tmp_path / "sdr"), "mode": "native_pairs"}
+    source = made(settings)
     cfg = Curation(sources=[source], out_dir=str(tmp_path / "out"))
     (row,) = curate(spark, cfg).collect()
     assert row["tmo"] == "native" and row["crf"] is None and row["sdr_key"].endswith("/0/native/none")
@@ -103,7 +102,7 @@ def test_native_pairs_keep_codes(spark, tmp_path, put):
     with pytest.raises(ValueError, match=r"missing HDR=\['b.png'\]"):
         plan_source(spark, source)
     put(tmp_path / "bad" / "a.png", sdr, 8)
-    bad = Source(**{**source.__dict__, "path": str(tmp_path / "bad"), "sdr_path": str(tmp_path / "hdr")})
+    bad = made({**settings, "path": str(tmp_path / "bad"), "sdr_path": str(tmp_path / "hdr")})
     with pytest.raises(Exception, match="8-bit codes, expected 16"):
         curate(spark, Curation(sources=[bad], out_dir=str(tmp_path / "out2")))
 
@@ -112,11 +111,12 @@ def test_selection_and_holdout(spark, tmp_path, put):
     for name in HEX:
         put(tmp_path / "hdr" / name / "0.png", np.full((3, 2, 2), 9))
     (tmp_path / "list.csv").write_text("Video,ref\n" + "".join(f"{h} ,{i % 2}\n" for i, h in enumerate(HEX)))
-    source = Source(name="s", path=str(tmp_path / "hdr"))
+    settings = {"name": "s", "path": str(tmp_path / "hdr")}
+    source = made(settings)
     assert [r["video"] for r in video_hashes(list_files(spark, source.path), "s").collect()] == HEX
 
     def videos(**change):
-        plan = plan_source(spark, Source(**{**source.__dict__, **change}))
+        plan = plan_source(spark, made({**settings, **change}))
         return sorted(r["video"] for r in plan.collect())
 
     listed = videos(reference_csv=str(tmp_path / "list.csv"))
@@ -141,6 +141,8 @@ def test_settings_are_checked(tmp_path):
         ({"sources": [{"name": "a", "path": "x", "mode": "odd"}]}, "unknown source modes"),
         ({"sources": [{"name": "a", "path": "x", "frame_offset": -1}]}, "must not be negative"),
         ({"colour": 1}, "unknown settings"),
+        ({"sources": [{"name": "a", "path": "x", "fps": 1}]}, "without effect"),
+        ({"sources": [{"name": "a", "path": "x", "mode": "native_pairs"}]}, "needs sdr_path"),
     ):
         with pytest.raises(ValueError, match=text):
             from_mapping({**good, **change})
@@ -148,9 +150,9 @@ def test_settings_are_checked(tmp_path):
 
 def test_yaml(tmp_path):
     path = tmp_path / "corpus.yaml"
-    path.write_text("out_dir: out\nsources:\n  - {name: a, path: x, holdout_count: 10, category: ugc}\n")
+    path.write_text("out_dir: out\nsources:\n  - {name: a, path: x, holdout_count: 10}\n")
     cfg = from_yaml(str(path))
-    assert cfg.out_dir == "out" and cfg.sources[0].holdout_count == 10 and cfg.sources[0].dataset == "a"
+    assert cfg.out_dir == "out" and cfg.sources[0].choice.held_out.count == 10 and cfg.sources[0].dataset == "a"
 
 
 def test_strict_scan_and_kinds(spark, tmp_path, put):
@@ -165,3 +167,10 @@ def test_strict_scan_and_kinds(spark, tmp_path, put):
         put(tmp_path / "in" / name, np.zeros((3, 1, 1)), 8)
     found = conversion_inputs(list_files(spark, str(tmp_path / "in")), 5)
     assert [r["relative"] for r in found.collect()] == ["a.png", "b.PNG"]
+
+
+def test_other_pictures_are_refused_by_name(spark, tmp_path, put):
+    put(tmp_path / "in" / "v" / "0.png", np.zeros((3, 1, 1)), 8)
+    (tmp_path / "in" / "v" / "1.tiff").write_bytes(b"II*")
+    with pytest.raises(NotImplementedError, match="1.tiff"):
+        plan_source(spark, made({"name": "s", "path": str(tmp_path / "in")}))
