@@ -28,8 +28,8 @@ def _stream(spark, folder, name):
     """One table as a file stream; the folder holds other tables too."""
     schema = tables.table(spark, folder, name).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    # What one key can have in a micro-batch is bounded by the batch.
-    return reader.option("maxBytesPerTrigger", str(2**30)).parquet(folder)
+    # Files are in no order of time, so what is there is one micro-batch, sorted by its keys.
+    return reader.parquet(folder)
 
 
 def _place(spark, name):

@@ -27,11 +27,20 @@ SLICES = 4096
 def _octave_bucket(value: Column) -> Column:
     """Never decreases with the value; ``OCTAVE`` steps to each power of two.
 
-    Never null either, so that no null filter is derived and pushed below the value.
+    The infinities and NaN, which Spark orders last, have outermost buckets of their own. Never
+    null, so that no null filter is derived and pushed below the value.
     """
     size = F.floor(F.log2(F.abs(value)) * F.lit(OCTAVE)).cast("bigint") + F.lit(1100 * OCTAVE)
-    sign = F.when(value > 0, size).when(value < 0, -size)
-    return F.coalesce(sign, F.lit(0).cast("bigint"))
+    outer = F.lit(4000 * OCTAVE).cast("bigint")
+    infinite = F.lit(float("inf"))
+    bucket = (
+        F.when(F.isnan(value), outer + 1)
+        .when(value == infinite, outer)
+        .when(value == -infinite, -outer)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+    )
+    return F.coalesce(bucket, F.lit(0).cast("bigint"))
 
 
 def _slice_bucket(value: Column) -> Column:
@@ -85,7 +94,7 @@ def quantiles(
 
     Linear interpolation between neighbours by default; ``discrete`` takes the lowest value
     that reaches the probability, so 0.5 gives the lower median. Null values are left out,
-    and a key without any value has no row. ``gathered`` bounds the rows of one task's group.
+    infinities are values, NaN is one above all others, and a key without any value has no row. ``gathered`` bounds the rows of one task's group.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))

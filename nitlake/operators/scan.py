@@ -27,12 +27,21 @@ def smooth(
         raise ValueError("alpha must lie in [0, 1)")
     if alpha == 0.0:
         return df
-    keys = list(keys)
-    # Within a chunk weights alpha^-i must stay far from the limits of a double.
-    chunk = max(1, min(1024, int(230 / -math.log(alpha))))
-    # Chunks further back than this weigh less than 1e-30.
-    reach = max(1, math.ceil(69.1 / (-math.log(alpha) * chunk)))
+    share = F.when(F.col(number) == 0, F.lit(1.0)).otherwise(F.lit(1.0 - alpha))
+    fed = df.withColumns({value: F.col(value) * share for value in values})
+    return _scanned(fed, list(keys), number, values, alpha)
+
+
+# Weights up to e^230 apart are summed in one window, far from the limits of a double; below
+# e^-745 a weight is zero as a double.
+_SPAN, _NOTHING = 230.0, 745.2
+#: Chunk ends that reach this far or less are added up directly.
+_DIRECT = 64
 
+
+def _scanned(df: DataFrame, keys: list[str], number: str, values: Sequence[str], alpha: float) -> DataFrame:
+    """y = x + alpha * previous y for the columns in ``values``, along ``number`` within a key."""
+    chunk = max(1, min(1024, int(_SPAN / -math.log(alpha))))
     df = df.withColumns(
         {
             "_g": F.floor(F.col(number) / chunk).cast("bigint"),
@@ -40,24 +49,16 @@ def smooth(
         }
     )
     grow = F.pow(F.lit(alpha), -F.col("_i"))
-    share = F.when(F.col(number) == 0, F.lit(1.0)).otherwise(F.lit(1.0 - alpha))
     inside = Window.partitionBy(*keys, "_g").orderBy(number)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns(
         {
-            value: F.sum(F.col(value) * share * grow).over(running)
-            * F.pow(F.lit(alpha), F.col("_i"))
+            value: F.sum(F.col(value) * grow).over(running) * F.pow(F.lit(alpha), F.col("_i"))
             for value in values
         }
     )
     ends = df.where(F.col("_i") == chunk - 1).select(*keys, "_g", *values)
-    ahead = ends.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-    decay = F.pow(F.lit(alpha), (F.col("_j") - 1).cast("double") * chunk)
-    carried = (
-        ahead.withColumn("_g", F.col("_g") + F.col("_j"))
-        .groupBy(*keys, "_g")
-        .agg(*(F.sum(F.col(value) * decay).alias(f"_p_{value}") for value in values))
-    )
+    carried = _carried(ends, keys, values, -math.log(alpha) * chunk)
     joined = df.join(carried, [*keys, "_g"], "left")
     fade = F.pow(F.lit(alpha), F.col("_i") + 1)
     return joined.withColumns(
@@ -66,3 +67,20 @@ def smooth(
             for value in values
         }
     ).drop("_g", "_i", *(f"_p_{value}" for value in values))
+
+
+def _carried(ends: DataFrame, keys: list[str], values: Sequence[str], fall: float) -> DataFrame:
+    """What all chunks before chunk ``_g`` leave behind, each decayed by e^-fall per chunk. Chunk
+    ends are such a sequence themselves, so where many of them still weigh, they are scanned alike."""
+    names = [F.col(value).alias(f"_p_{value}") for value in values]
+    reach = int(_NOTHING / fall) + 1
+    if reach > _DIRECT:
+        sums = _scanned(ends.withColumnRenamed("_g", "_chunk"), keys, "_chunk", values, math.exp(-fall))
+        return sums.select(*keys, (F.col("_chunk") + 1).alias("_g"), *names)
+    ahead = ends.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    decay = F.exp((1 - F.col("_j")).cast("double") * fall)
+    return (
+        ahead.withColumn("_g", F.col("_g") + F.col("_j"))
+        .groupBy(*keys, "_g")
+        .agg(*(F.sum(F.col(value) * decay).alias(f"_p_{value}") for value in values))
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
@@ -17,8 +18,9 @@ def smoothed(params: DataFrame, alpha: float, quiet_ms: int | None = None) -> Da
     """A stream of applied parameters; the state of a video is what was applied last.
 
     ``params`` is a stream of ``video, ts, ordinal, params`` whose rows of a video arrive in
-    order from one micro-batch to the next. In a stream that never ends, ``quiet_ms`` closes
-    a video that has sent nothing for that long.
+    order from one micro-batch to the next; the state keeps the last place, and a row that comes
+    after a later one is an error, as what was applied in between cannot be taken back. In a
+    stream that never ends, ``quiet_ms`` closes a video that has sent nothing for that long.
     """
     if not 0.0 <= alpha < 1.0:
         raise ValueError("alpha must lie in [0, 1)")
@@ -29,20 +31,27 @@ def smoothed(params: DataFrame, alpha: float, quiet_ms: int | None = None) -> Da
         if state.hasTimedOut:
             state.remove()
             return
-        last = list(state.get[0]) if state.exists else None
         arrived = pd.concat(list(batches)).sort_values(["ts", "ordinal"])
-        applied = []
-        for current in arrived["params"]:
-            if last is None:
-                last = [float(x) for x in current]
-            else:
-                last = [alpha * a + (1 - alpha) * float(x) for a, x in zip(last, current)]
-            applied.append(last)
-        state.update((last,))
+        places = list(zip(arrived["ts"].astype("int64"), arrived["ordinal"]))
+        block = np.array(arrived["params"].tolist(), float)
+        start = 0
+        if state.exists:
+            last, *place = state.get
+            if places[0] <= tuple(place):
+                raise ValueError(f"row {places[0]} of video {key[0]} came after row {tuple(place)}")
+            last = np.array(last)
+        else:
+            last, start = block[0].copy(), 1
+        for row in block[start:]:  # in place: row by row, all parameters of a row at once
+            row *= 1 - alpha
+            row += alpha * last
+            last = row
+        state.update((block[-1].tolist(), int(places[-1][0]), int(places[-1][1])))
+        applied = list(block)
         if quiet_ms is not None:
             state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({"video": key[0], "ordinal": arrived["ordinal"], "applied": applied})
 
     return params.groupBy("video").applyInPandasWithState(
-        step, APPLIED, "applied array<double>", "append", timeout_for(quiet_ms)
+        step, APPLIED, "applied array<double>, ts bigint, ordinal bigint", "append", timeout_for(quiet_ms)
     )

@@ -189,3 +189,34 @@ def test_codec_floor(spark):
     rows = {r["crf"]: r for r in codec.codec_loss(df).collect()}
     assert rows[None]["r"] == picture[0].astype(int).ravel().tolist()
     assert rows[23]["r"] == codec.frame_loss(picture, 75)[0].ravel().tolist()
+
+
+@pytest.mark.parametrize("discrete", [False, True])
+def test_quantiles_of_odd_numbers(spark, discrete):
+    """Both paths agree on NaN, infinities, zeros of both signs and subnormal numbers."""
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        0: [*range(19), nan, nan, nan], 1: [*range(19), inf, inf, inf], 2: [-inf, -inf, *range(7), inf],
+        3: [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 2.0], 4: [nan] * 9, 5: [-inf, inf] * 5, 6: [1.0, None, nan, None, -inf, 3.5],
+    }
+    rows = [(g, None if v is None else float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g long, v double")
+    ask = [0.0, 0.25, 0.5, 0.9, 0.995, 1.0]
+    names = [f"q{i}" for i in range(len(ask))]
+    one, other = (
+        quantiles(df, ["g"], "v", ask, names, discrete, gathered=n).orderBy("g").toPandas() for n in (10**6, 2)
+    )
+    np.testing.assert_allclose(one[names], other[names], rtol=1e-12, equal_nan=True)
+    assert one["g"].tolist() == sorted(groups)
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.8, 0.99, 0.9995])
+def test_smoothing_forgets_nothing(spark, alpha):
+    """Long sequences over many chunks, with one value that outweighs all others."""
+    values = [1e60 if n == 3 else float(n % 7) for n in range(6_000)]
+    df = spark.createDataFrame([(0, n, v) for n, v in enumerate(values)], "g long, n long, x double")
+    got = [r["x"] for r in smooth(df, ["g"], "n", ["x"], alpha).orderBy("n").collect()]
+    want = [values[0]]
+    for value in values[1:]:
+        want.append(alpha * want[-1] + (1 - alpha) * value)
+    np.testing.assert_allclose(got, want, rtol=1e-7)

@@ -58,14 +58,16 @@ def test_ema_stream_equals_batch(spark, tmp_path):
     np.testing.assert_allclose(got["x"], want["x"], rtol=1e-9)
 
 
-def test_curation_stream_takes_each_video_once(spark, tmp_path):
-    df = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("c", 1)], "video string, _part int")
+def test_curation_stream_takes_each_frame_once(spark, tmp_path):
+    """Videos of several frames over several micro-batches, run twice on one checkpoint and once on another."""
+    rows = [(v, f, f % 2) for v in "abc" for f in range(3)] + [("a", 0, 1), ("d", 7, 1)]
+    df = spark.createDataFrame(rows, "video string, frame int, _part int")
     stream = arriving(spark, df, tmp_path / "in", 2)
-    for _ in range(2):
-        query = curate_stream(stream, lambda b: b.withColumn("tmo", F.lit("x")), str(tmp_path / "m"), str(tmp_path / "s"))
+    for state in ("s", "s", "other"):
+        query = curate_stream(stream, lambda b: b.withColumn("tmo", F.lit("x")), str(tmp_path / "m"), str(tmp_path / state))
         assert query.awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "m")).collect()
-    assert sorted(r["video"] for r in rows) == ["a", "b", "c"]
+        got = sorted((r["video"], r["frame"]) for r in spark.read.parquet(str(tmp_path / "m")).collect())
+        assert got == sorted({(v, f) for v, f, _ in rows})
 
 
 def test_frames_are_written_as_they_arrive(spark, tmp_path):
@@ -78,6 +80,15 @@ def test_frames_are_written_as_they_arrive(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "png").iterdir()) == [f"hdr_{n:06d}.png" for n in range(3)]
 
 
+def test_late_parameters_are_an_error(spark, tmp_path):
+    """Smoothing depends on the order: rows that come after later ones must not pass unnoticed."""
+    rows = [(0, n, [float(n)], n < 3) for n in range(6)]
+    df = spark.createDataFrame(rows, "video long, ordinal long, params array<double>, early boolean")
+    df = df.select("video", F.timestamp_seconds("ordinal").alias("ts"), "ordinal", "params", F.col("early").cast("int").alias("_part"))
+    with pytest.raises(Exception, match="came after"):
+        run(smoothed(arriving(spark, df, tmp_path / "in", 2), 0.8), tmp_path / "out")
+
+
 def test_bad_alpha(spark):
     with pytest.raises(ValueError):
         smoothed(spark.range(1), 1.0)
