@@ -14,12 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
-import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 
+# The vocabulary's pre-tokens (public_tokenizers.PATTERN), spelt out for the characters
+# that are not sent to the library: there, numbers are digits and the six signs below.
+_PRETOKEN = re.compile(
+    r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+)
 #: Separators and control characters, and anything beyond the scripts below, where libraries differ.
 _UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u0300-\u036f\u0530-\U0010ffff]")
 #: Common signs beyond that border that all libraries class as neither letter, number nor white space.
@@ -35,7 +39,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = _PRETOKEN.findall
         self.known: dict[str, bytes] = {}
         line = self.whole("\n")
         self.line = line[0] if len(line) == 1 else None
@@ -51,9 +55,9 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in known]
+        new = set(parts).difference(known)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
 
     def _learn(self, parts: list[str]) -> None:
