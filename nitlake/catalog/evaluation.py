@@ -265,24 +265,15 @@ _FLICKER_SELECT = (
 )
 
 
-def unit_pixels(spark, folder):
-    """Plane pixels in PU21 units: a dimmed copy against the original."""
-    pixels = fr.to_pixels(tables.frames(spark, folder), ["video", "frame"], {"code": "plane"})
-    units = lambda code: pu21_encode(pq_eotf_nits(code))
-    return pixels.select(
-        "video",
-        "frame",
-        "y",
-        "x",
-        units(F.col("code") * num(0.9) + num(0.02)).alias("pred"),
-        units(F.col("code")).alias("target"),
-    )
-
-
 @query("flicker", q.rows(*_FLICKER, select=_FLICKER_SELECT))
 def flicker(spark, folder):
-    steps = flick.transitions(unit_pixels(spark, folder), ["video"], "frame", ["y", "x"])
-    found = flick.flicker(steps, ["video"])
+    pixels = fr.spread_pixels(tables.frames(spark, folder), ["video", "frame"], {"code": "plane"})
+    units = lambda code: pu21_encode(pq_eotf_nits(code))
+    lit = pixels.withColumns(
+        {"pred": units(F.col("code") * num(0.9) + num(0.02)), "target": units(F.col("code"))}
+    )
+    planes = fr.repack(lit, ["video", "frame"], ["pred", "target"], "double")
+    found = flick.flicker(flick.tile_transitions(planes, ["video"], "frame", 32), ["video"])
     return found.select(
         "video",
         *(round_to(F.col(n), 5).alias(n) for n in metrics.TEMPORAL_METRICS),

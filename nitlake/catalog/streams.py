@@ -54,7 +54,7 @@ def flicker_stream(spark, folder):
         F.transform("plane", lambda c: units(c * num(0.9) + num(0.02))).alias("pred"),
         F.transform("plane", units).alias("target"),
     )
-    steps = stream_flicker.flicker_steps(stream_flicker.tiles(frames, 32))
+    steps = stream_flicker.flicker_steps(flick.tiles(frames, size=32))
     stored = _finish(steps, _place(spark, "flicker"))
     found = flick.flicker(stream_flicker.frame_steps(stored), ["video"])
     return found.select(

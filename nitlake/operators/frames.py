@@ -292,7 +292,7 @@ def spread_pixels(frames: DataFrame, keep: list[str], planes: dict[str, str]) ->
     return spread.select("_row", "_count", *keep, *(F.col(f"_z.{n}").alias(n) for n in planes))
 
 
-def repack(pixels: DataFrame, keep: list[str], planes: list[str]) -> DataFrame:
+def repack(pixels: DataFrame, keep: list[str], planes: list[str], kind: str = "int") -> DataFrame:
     """Frames from pixels that are still in the partition and order they were spread in.
 
     Only projections may lie between the two. Nothing is shuffled: a frame is closed when its
@@ -300,7 +300,7 @@ def repack(pixels: DataFrame, keep: list[str], planes: list[str]) -> DataFrame:
     """
     types = dict(pixels.select(*keep).dtypes)
     schema = ", ".join(f"{name} {types[name]}" for name in keep)
-    schema += "".join(f", {name} array<int>" for name in planes)
+    schema += "".join(f", {name} array<{kind}>" for name in planes)
 
     def run(batches):
         held: list[pd.DataFrame] = []

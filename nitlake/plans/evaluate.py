@@ -19,9 +19,9 @@ from ..operators import flicker as flick
 from ..operators import reduce
 from ..operators.attach import attach
 from ..operators.exposure import fit_gains
-from ..operators.frames import bilinear, predict_frames, ssim_of_units, to_pixels
+from ..operators.frames import bilinear, predict_frames, repack, spread_pixels, ssim_of_units, to_pixels
 from ..operators.metrics import CORE_METRICS, OPTIONAL_METRICS, pixel_scores
-from ..operators.numbering import every_nth, number_rows
+from ..operators.numbering import every_nth, first_rows, number_rows
 from ..operators.select import too_short, variants_only
 from ..session import stored
 
@@ -121,18 +121,17 @@ def optional_scores(frames: DataFrame, scorers: Mapping[str, Callable]) -> DataF
 
 def frame_flicker(frames: DataFrame) -> DataFrame:
     """Flicker per video and variant, frames in ``(frame_index, ordinal)`` order."""
-    pixels = to_pixels(frames, ["video", "variant", "frame_index", "ordinal"], PLANES)
-    lit = pixels.select(
-        "video",
-        "variant",
-        F.struct("frame_index", "ordinal").alias("_at"),
-        "y",
-        "x",
-        pu21_encode(luma_2020(rgb("p").map(pq_eotf_nits))).alias("pred"),
-        pu21_encode(luma_2020(rgb("t").map(pq_eotf_nits))).alias("target"),
+    keep = ["video", "variant", "frame_index", "ordinal"]
+    pixels = spread_pixels(frames, keep, PLANES)
+    lit = pixels.withColumns(
+        {
+            "pred": pu21_encode(luma_2020(rgb("p").map(pq_eotf_nits))),
+            "target": pu21_encode(luma_2020(rgb("t").map(pq_eotf_nits))),
+        }
     )
+    planes = repack(lit, keep, ["pred", "target"], "double").withColumn("_at", F.struct("frame_index", "ordinal"))
     keys = ["video", "variant"]
-    return flick.flicker(flick.transitions(lit, keys, "_at", ["y", "x"]), keys)
+    return flick.flicker(flick.tile_transitions(planes, keys, "_at"), keys)
 
 
 def _text(frames: DataFrame, name: str):
@@ -158,7 +157,7 @@ def evaluate(
     category``. A ``max_records`` of 0 is no cap.
     """
     if max_records:
-        frames = frames.orderBy("ordinal").limit(max_records)
+        frames = of_names(frames, capped(frames.select("ordinal"), max_records))
     scorers = dict(scorers or {})
     unknown = sorted(set(scorers) - set(OPTIONAL_METRICS))
     if unknown:
@@ -201,9 +200,24 @@ def evaluate(
     return Scores(rows, videos, reduce.overall(videos), found)
 
 
+#: Ordinals that are numbered in one task.
+_BUCKET = 2**20
+
+
+def capped(names: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows by ``ordinal``."""
+    numbered = number_rows(names, ["ordinal"], (), [F.floor(F.col("ordinal") / _BUCKET)])
+    return first_rows(numbered, "n", most).drop("n")
+
+
+def of_names(frames: DataFrame, names: DataFrame) -> DataFrame:
+    """Frames whose ``ordinal`` is among ``names``: choices are made on names, pictures come after."""
+    return frames.join(names.select("ordinal"), "ordinal", "left_semi")
+
+
 def select_records(records: DataFrame, subsample: int, video_mode: bool) -> DataFrame:
     """Every nth record by ``ordinal``, globally or per video; short videos are an error."""
-    block = [F.floor(F.col("ordinal") / 2**20)]
+    block = [F.floor(F.col("ordinal") / _BUCKET)]
     keys = ["video"] if video_mode else []
     kept = every_nth(number_rows(records, ["ordinal"], keys, block), "n", subsample).drop("n")
     if video_mode:
@@ -229,11 +243,12 @@ def evaluate_with(
     variant that is not given is named after ``tmo`` and ``crf``. The first ``max_records``
     (0 is none) are subsampled, then filtered by variant; only then is anything predicted.
     """
-    if max_records is not None:
-        frames = frames.orderBy("ordinal").limit(max_records)
     label = labels.variant_label(_text(frames, "tmo"), _text(frames, "crf"))
     named = frames.withColumn("variant", F.coalesce(_text(frames, "variant"), label))
-    chosen = variants_only(select_records(named, subsample, video_mode), variants)
+    names = named.select(*(c for c, kind in named.dtypes if not kind.startswith("array")))
+    if max_records is not None:
+        names = capped(names, max_records)
+    chosen = of_names(named, variants_only(select_records(names, subsample, video_mode), variants))
     at = F.coalesce(_text(named, "frame_index"), _text(named, "frame"), F.col("ordinal"))
     video = labels.video_id(
         *(_text(named, n) for n in ("video_id", "video", "sequence_id", "id")), required=False

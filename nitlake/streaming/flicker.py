@@ -10,22 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Pixels of a plane that share a state row. A video is spread over its tiles, so that one
-# long video is worked on by many tasks.
-TILE = 16_384
-
 STEP = "video bigint, variant string, tile int, frame bigint, pred double, target double"
 _STATE = "frame bigint, pred binary, target binary"
 
 
-def tiles(frames: DataFrame, size: int = TILE) -> DataFrame:
-    """Frames with unit planes ``pred`` and ``target`` cut into pieces of at most ``size``."""
-    count = F.ceil(F.size("pred") / F.lit(size)).cast("int")
-    spread = frames.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("tile"))
-    cut = lambda name: F.slice(name, F.col("tile") * size + 1, size)
-    return spread.withColumns({"pred": cut("pred"), "target": cut("target")})
-
-
 def flicker_steps(frames: DataFrame, quiet_ms: int | None = None) -> DataFrame:
     """A stream of per-tile changes; sums over tiles are those of the batch form.
 

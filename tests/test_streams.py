@@ -8,7 +8,8 @@ from nitlake.operators import flicker as flick
 from nitlake.operators.scan import smooth
 from nitlake.streaming.curate import curate_stream
 from nitlake.streaming.ema import smoothed
-from nitlake.streaming.flicker import flicker_steps, frame_steps, tiles
+from nitlake.operators.flicker import tiles
+from nitlake.streaming.flicker import flicker_steps, frame_steps
 from nitlake.streaming.pictures import write_frames
 
 
@@ -37,7 +38,7 @@ def test_flicker_stream_equals_batch(spark, tmp_path):
     ] + [(9, "m", 0, [1.0] * 50, [1.0] * 50, 0)]
     df = spark.createDataFrame(rows, "video long, variant string, frame long, pred array<double>, target array<double>, _part int")
     stream = arriving(spark, df, tmp_path / "in", 3)
-    stored = run(flicker_steps(tiles(stream, 16)), tmp_path / "out")
+    stored = run(flicker_steps(tiles(stream, size=16)), tmp_path / "out")
     keys = ["video", "variant"]
     got = flick.flicker(frame_steps(stored), keys).orderBy("video").toPandas()
     pixels = df.select("video", "variant", "frame", F.posexplode(F.arrays_zip("pred", "target")).alias("x", "z"))
