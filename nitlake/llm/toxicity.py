@@ -276,14 +276,18 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_odds(labelled: DataFrame, strength: float = 4.0) -> list[np.ndarray]:
     """Log odds of hashed words and character runs in toxic texts, drawn to zero where they are rare:
     of all labelled rows, and of those outside fold 0 and outside fold 1. The driver gets one row
-    per bucket, label and fold, of a fixed number of buckets."""
+    per bucket, of a fixed number of buckets."""
     size = (1 << WORD_BITS) + (1 << CHAR_BITS)
-    found = labelled.mapInArrow(_seen, "kind int, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    totals = np.zeros(4)
+    seen = labelled.mapInArrow(_seen, "kind int, bucket bigint, n bigint")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("float")
+    found = seen.groupBy(F.col("bucket").cast("int").alias("bucket")).agg(*[of(kind).alias(f"n{kind}") for kind in range(4)]).toPandas()
+    totals = np.zeros(4, np.float32)
     for row in labelled.groupBy("label", "fold").count().collect():
         totals[row["label"] + 2 * row["fold"]] = row["count"]
-    counts = np.zeros((4, size))
-    counts[found["kind"].to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"]
+    counts = np.zeros((4, size), np.float32)
+    for kind in range(4):
+        counts[kind, found["bucket"].to_numpy(np.int32)] = found[f"n{kind}"].to_numpy(np.float32)
+    del found
     out = []
     for some in (counts[:2] + counts[2:], totals[:2] + totals[2:]), (counts[2:], totals[2:]), (counts[:2], totals[:2]):
         part = some[1] + 1.0
