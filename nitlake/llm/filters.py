@@ -23,9 +23,9 @@ def key_filter(keys: DataFrame, key: str, rows: int) -> Broadcast:
         F.shiftrightunsigned(place, 6).cast("int").alias("word"),
         F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"),
     ).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = words.toPandas()
     made = np.zeros(1 << (bits - 6), np.uint64)
-    made[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    for batch in words.toArrow().to_batches():
+        made[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(made)
 
 
