@@ -116,11 +116,6 @@ def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK) -> Iterator
         row = to
 
 
-def per_text(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-    """Sums of ``values`` by text, as integers."""
-    return np.bincount(text, values, texts).astype(np.int64)
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each length, laid end to end."""
     total = int(lengths.sum())
