@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -678,7 +680,7 @@ def manifest_json(spark, folder):
 )
 def manifest_scan(spark, folder):
     """The records written as JSON lines in manifest order and read back with their places."""
-    target = f"{shared_dir(spark)}/manifest-{spark.sparkContext.applicationId}"
+    target = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     write_manifest(_all_records(spark, folder), target)
     back = manifest.read_manifest(spark, f"{target}/records", ordinal="ordinal")
     return back.drop("hdr_shard", "sdr_shard")

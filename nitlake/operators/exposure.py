@@ -40,11 +40,10 @@ def fit_gains(
     valid = _finite(F.col("_yp")) & _finite(F.col("_yt")) & (F.col("_yp") > num(1e-6))
     ratio = F.when(valid, F.col("_yt") / F.col("_yp"))
     ratios = lit.select(*keys, ratio.alias("_ratio"))
-    medians = quantiles(ratios, keys, "_ratio", [0.5], ["_median"], discrete=True)
-    contents = pixels.select(*keys).distinct()
+    medians = quantiles(ratios, keys, "_ratio", [0.5], ["_median"], discrete=True, empty=True)
     held = F.when(F.col("_median").isNull(), num(1.0))
     held = held.otherwise(clamp(F.col("_median"), low, high))
-    return contents.join(medians, keys, "left").select(*keys, held.alias("exposure_gain"))
+    return medians.select(*keys, held.alias("exposure_gain"))
 
 
 def calibrate(pixels: DataFrame, gains: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -89,12 +89,14 @@ def quantiles(
     names: Sequence[str],
     discrete: bool = False,
     gathered: int = GATHERED,
+    empty: bool = False,
 ) -> DataFrame:
     """One row per key with the named quantiles of ``value``; keys must not be null.
 
     Linear interpolation between neighbours by default; ``discrete`` takes the lowest value
     that reaches the probability, so 0.5 gives the lower median. Null values are left out,
-    infinities are values, NaN is one above all others, and a key without any value has no row. ``gathered`` bounds the rows of one task's group.
+    infinities are values, NaN is one above all others. A key without any value has no row, or
+    with ``empty`` one of nulls. ``gathered`` bounds the rows of one task's group.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
@@ -104,14 +106,17 @@ def quantiles(
     large = cut(sizes.where(F.col("_n") > gathered).select(*keys))
     found = large.count()
     if not found:
-        return _gathered(rows, keys, probabilities, names, discrete)
+        return _gathered(rows, keys, probabilities, names, discrete, empty)
     # Each large group is met by at most two rows per quantile in the joins that follow.
     few = found * 2 * len(probabilities) <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda side: side)
     large = hint(large)
-    direct = _gathered(rows.join(large, keys, "left_anti"), keys, probabilities, names, discrete)
+    direct = _gathered(rows.join(large, keys, "left_anti"), keys, probabilities, names, discrete, empty)
     hot = rows.join(large, keys, "left_semi")
-    return direct.unionByName(_narrowed(hot, keys, probabilities, names, discrete, hint))
+    narrowed = _narrowed(hot, keys, probabilities, names, discrete, hint)
+    if empty:
+        narrowed = large.join(narrowed, keys, "left")
+    return direct.unionByName(narrowed)
 
 
 def _gathered(
@@ -120,6 +125,7 @@ def _gathered(
     probabilities: Sequence[float],
     names: Sequence[str],
     discrete: bool,
+    empty: bool,
 ) -> DataFrame:
     kind = "percentile_disc" if discrete else "percentile_cont"
     found = rows.groupBy(*keys).agg(
@@ -129,7 +135,7 @@ def _gathered(
         ),
         F.count("_v").alias("_c"),
     )
-    return found.where(F.col("_c") > 0).drop("_c")
+    return (found if empty else found.where(F.col("_c") > 0)).drop("_c")
 
 
 def _narrowed(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from .attach import attach
 from .numbering import number_rows
 
 
@@ -30,7 +31,7 @@ def balanced_draw(
     many = counts.agg(F.count(F.lit(1))).scalar()
     size = records.sparkSession.range(records.count()).withColumnRenamed("id", "draw")
     first = draws.below(draws.ticket(f"{seed}:category", F.col("draw")), many)
-    drawn = size.withColumn("_rank", first).join(ranked, "_rank")
+    drawn = attach(size.withColumn("_rank", first), ranked, ["_rank"])
     second = draws.below(draws.ticket(f"{seed}:record", F.col("draw")), F.col("_size"))
     placed = F.when(many == 1, F.col("draw")).otherwise(second)
     chosen = drawn.withColumn("_place", placed).drop("_rank", "_size")
