@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import HDR_CODES, SDR_CODES
 from ..functions.labels import padded
-from ..sources.png import SIGNATURE
+from ..sources.png import SIGNATURE, opened
 
 # Colour tag for PQ, BT.2020, RGB, full range.
 PQ_TAG = bytes([9, 16, 0, 1])
@@ -60,23 +60,26 @@ def to_png(frames: DataFrame, depth: int, tag_pq: bool = False, name: str = "nam
 def write_files(pictures: DataFrame, folder: str, name: str = "name") -> DataFrame:
     """Write every picture as its own file, from the tasks; returns names and sizes.
 
-    ``folder`` must be reachable from every executor. A file is written beside its place
-    and renamed, so a task that runs twice leaves one whole file.
+    ``folder`` is a path or URI that every executor can reach. A file is written beside its
+    place and moved there, so a task that runs twice leaves one whole file.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        system, root = opened(folder)
+        made = set()
         for batch in batches:
             for file_name, data in zip(batch[name], batch["png"]):
-                target = os.path.join(folder, file_name)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                target = f"{root.rstrip('/')}/{file_name}"
+                place = target.rpartition("/")[0]
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
                 partial = f"{target}.{uuid.uuid4().hex}"
-                with open(partial, "wb") as handle:
+                with system.open_output_stream(partial) as handle:
                     handle.write(data)
-                os.replace(partial, target)
+                system.move(partial, target)
             yield pd.DataFrame({name: batch[name], "bytes": [len(d) for d in batch["png"]]})
 
     return pictures.mapInPandas(write, f"{name} string, bytes bigint")
