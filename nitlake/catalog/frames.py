@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import codes, draws
 from ..functions.common import num, round_to
 from ..operators import codec, frames as fr
-from ..sources import tables
+from ..session import shared_dir
+from ..sinks.png import to_png, write_files
+from ..sources import png, tables
 from . import query
 from . import sqltext as q
 
@@ -336,3 +340,48 @@ def codec_loss(spark, folder):
     )
 
 
+
+
+@query(
+    "png_round_trip",
+    q.rows(
+        q.PLANES,
+        select="SELECT video, frame, d.depth, y::BIGINT AS y, x::BIGINT AS x,"
+        + ",".join(
+            f" round_even(({v})*(CASE WHEN d.depth=16 THEN 65535e0 ELSE 255e0 END), 0)::BIGINT AS {c}"
+            for c, v in zip("rgb", ("code", "1e0-code", "code*5e-1"))
+        )
+        + ", CASE WHEN d.depth=16 THEN '09100001' END AS tag FROM planes, (VALUES (8),(16)) AS d(depth)",
+    ),
+)
+def png_round_trip(spark, folder):
+    """Frames as PNG files of 8 and 16 bits in the shared folder, and their codes read back."""
+    planes = tables.frames(spark, folder)
+    colours = {"r": F.col("plane"), "g": F.transform("plane", lambda v: 1 - v), "b": F.transform("plane", lambda v: v * 0.5)}
+    named = planes.withColumns(colours | {"name": F.concat_ws("_", "video", "frame")})
+    named = named.withColumn("name", F.concat("name", F.lit(".png")))
+    place = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    parts = []
+    for depth in (8, 16):
+        written = write_files(to_png(named, depth, depth == 16), f"{place}/{depth}")
+        written.write.format("noop").mode("overwrite").save()
+        names = planes.select(*KEYS, F.concat(F.lit(f"{place}/{depth}/"), F.concat_ws("_", *KEYS), F.lit(".png")).alias("path"))
+        found = png.decode_named(names, {"": "path"}, depth)
+        spread = found.select(*KEYS, "depth", "path", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "c"))
+        tags = spread.select(
+            *KEYS, "depth", F.floor(F.col("i") / 8).cast("bigint").alias("y"), (F.col("i") % 8).cast("bigint").alias("x"),
+            *(F.col(f"c.{c}").cast("bigint").alias(c) for c in "rgb"),
+        )
+        parts.append(tags.join(_tags(names), KEYS))
+    return parts[0].unionByName(parts[1])
+
+
+def _tags(names):
+    """The colour tag of every named picture, as hexadecimal digits; null without one."""
+
+    def run(batches):
+        for batch in batches:
+            found = [png.decode_png(png.read_bytes(path))[1].get("cICP") for path in batch["path"]]
+            yield batch[KEYS].assign(tag=[None if t is None else t.hex() for t in found])
+
+    return names.mapInPandas(run, "video bigint, frame bigint, tag string")

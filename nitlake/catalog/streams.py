@@ -104,3 +104,29 @@ def curate_stream(spark, folder):
     run()
     stored = spark.read.parquet(f"{place}/manifest")
     return stored.select("video", "frame", "tmo", "crf", "sdr_key")
+
+
+@query(
+    "curate_stream_turns",
+    q.rows(
+        "recs AS (SELECT DISTINCT conv_id::VARCHAR AS video, turn::INTEGER AS frame, 'train' AS split,"
+        " 'turns' AS source_dataset FROM conversations)",
+        _GRID,
+        select="SELECT video, frame, tmo, crf, sdr_key FROM grid",
+    ),
+)
+def curate_stream_turns(spark, folder):
+    """Several frames per video, in arbitrary order and twice, on two checkpoints into one manifest."""
+    place = _place(spark, "curate")
+    for state in ("one", "two"):
+        turns = _stream(spark, folder, "conversations").select(
+            F.col("conv_id").cast("string").alias("video"),
+            F.col("turn").cast("int").alias("frame"),
+            F.lit("train").alias("split"),
+            F.lit("turns").alias("source_dataset"),
+        )
+        stream_curate.curate_stream(
+            turns.unionByName(turns), pair.degrade_grid, f"{place}/manifest", f"{place}/{state}"
+        ).awaitTermination()
+    stored = spark.read.parquet(f"{place}/manifest")
+    return stored.select("video", "frame", "tmo", "crf", "sdr_key")
