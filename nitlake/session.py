@@ -20,8 +20,7 @@ SETTINGS = {
     # A top-k of up to this many rows per group is cut before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Rows with a text or a picture each go to Python in batches of a few megabytes.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
@@ -58,7 +57,6 @@ def shared_dir(spark: SparkSession) -> str:
 TUNING = (
     "spark.sql.codegen.hugeMethodLimit",
     "spark.sql.optimizer.windowGroupLimitThreshold",
-    "spark.sql.execution.arrow.maxRecordsPerBatch",
     "spark.sql.execution.arrow.maxBytesPerBatch",
 )
 
