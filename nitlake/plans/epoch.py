@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, draws, labels
 from ..operators import frames as fr
+from ..operators.attach import attach
 from ..operators.pair import must_match
 from ..operators.sampling import epoch_batches
 
@@ -24,37 +25,38 @@ def training_epoch(
     """Shuffled batches of cut, flipped and scaled pairs.
 
     ``records`` is a manifest; ``hdr`` and ``sdr`` hold integer planes ``r g b`` by ``key``.
-    Records are shuffled and batched while they are only names; frames are joined after.
-    Cut and flip are drawn per record, the same for both sides.
+    Records are shuffled and batched while they are only names. Cut and flip are drawn per
+    record, the same for both sides, so frames are cut where they are read: an SDR frame by its
+    own key, an HDR frame once for every record that wants it. Only cuts are joined.
     """
     chosen = epoch_batches(records, ["sdr_key"], seed, epoch, batch)
+    ticket = lambda tag: draws.ticket(f"{seed}:{epoch}:{tag}", F.col("sdr_key"))
+    flipped = F.lit(flip) & (draws.uniform(ticket("flip")) < 0.5)
 
     def side(frames: DataFrame, name: str) -> DataFrame:
         planes = [F.col(c).alias(f"{name}_{c}") for c in "rgb"]
         size = [F.col(n).alias(f"{name}_{n}") for n in ("height", "width")]
         return frames.select(F.col("key").alias(f"{name}_key"), *size, *planes)
 
-    pairs = must_match(chosen.join(side(sdr, "sdr"), "sdr_key").join(side(hdr, "hdr"), "hdr_key"))
-    h, w = F.col("sdr_height"), F.col("sdr_width")
-    ticket = lambda tag: draws.ticket(f"{seed}:{epoch}:{tag}", F.col("sdr_key"))
-    pairs = pairs.withColumn("flipped", F.lit(flip) & (draws.uniform(ticket("flip")) < 0.5))
-    side_h, side_w = (F.lit(crop), F.lit(crop)) if crop else (h, w)
-    if crop:
-        pairs = pairs.withColumns(
-            {
-                "_top": fr.crop_offset(ticket("top"), h, crop),
-                "_left": fr.crop_offset(ticket("left"), w, crop),
-            }
-        )
-    planes = {}
-    for name, top in (("sdr", codes.SDR_CODES), ("hdr", codes.HDR_CODES)):
-        for c in "rgb":
-            plane = F.col(f"{name}_{c}")
-            if crop:
-                plane = fr.crop(plane, h, w, F.col("_top"), F.col("_left"), crop)
-            turned = F.when(F.col("flipped"), fr.mirrored(plane, side_h, side_w)).otherwise(plane)
-            planes[f"{name}_{c}"] = _scaled(turned, top)
-    pairs = pairs.withColumns(planes)
+    def cut(frames: DataFrame, name: str, top: int) -> DataFrame:
+        h, w = F.col(f"{name}_height"), F.col(f"{name}_width")
+        planes = {f"{name}_{c}": F.col(f"{name}_{c}") for c in "rgb"}
+        side_h, side_w = (F.lit(crop), F.lit(crop)) if crop else (h, w)
+        if crop:
+            at = fr.crop_offset(ticket("top"), h, crop), fr.crop_offset(ticket("left"), w, crop)
+            planes = {n: fr.crop(p, h, w, *at, crop) for n, p in planes.items()}
+        turned = {n: F.when(flipped, fr.mirrored(p, side_h, side_w)).otherwise(p) for n, p in planes.items()}
+        return frames.withColumns({n: _scaled(p, top) for n, p in turned.items()})
+
+    # A frame is wanted by as many records as it has variants.
+    wants = chosen.groupBy("hdr_key").agg(F.collect_list("sdr_key").alias("_wants"))
+    wanted = attach(side(hdr, "hdr"), wants, ["hdr_key"])
+    wanted = wanted.withColumn("sdr_key", F.explode("_wants")).drop("_wants", "hdr_key")
+    pairs = chosen.join(cut(side(sdr, "sdr"), "sdr", codes.SDR_CODES), "sdr_key")
+    pairs = must_match(pairs.join(cut(wanted, "hdr", codes.HDR_CODES), "sdr_key"))
+    pairs = pairs.withColumn("flipped", flipped)
+    side_h, side_w = (F.lit(crop), F.lit(crop)) if crop else (F.col("sdr_height"), F.col("sdr_width"))
+    planes = [f"{name}_{c}" for name in ("sdr", "hdr") for c in "rgb"]
     row_id = F.concat_ws(":", "video", F.col("frame").cast("string"))
     label = labels.variant_label(F.col("tmo"), F.col("crf"))
     return pairs.select(
