@@ -39,8 +39,10 @@ from .words import BLOCK, Block, Rolling, blocks, column, mixed, ranges
 LENGTH = 100
 KEY = 32
 BATCHES = 4
-#: The spans of a key with more kinds than this are spread over tasks.
-HOT = 4_000
+#: The spans of a key with more kinds than this are spread over tasks, which costs a row per window;
+#: up to this many are compared in one task, some offsets from the anchor at a time.
+HOT = 50_000
+OFFSETS = 18
 #: Windows that begin at most this far before their anchor hold the HALF bytes behind its key; others
 #: hold as many before it and one more.
 HALF = (LENGTH - KEY) // 2
@@ -259,7 +261,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], settle, own=None) -> Iterator[pa.
             continue
         held.append(batch)
         size += batch.num_rows
-        if size >= 30_000:
+        if size >= 20_000:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             keys = whole.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
@@ -298,7 +300,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_place(own, start).view(np.int64))], names=["place"])
 
 
-_TEXT = "id bigint, start bigint, key bigint, apart boolean, text binary"
+_TEXT = "id bigint, start bigint, key bigint, anchor bigint, apart boolean, text binary"
 
 
 def _fetched(repeated, wanted, hot):
@@ -318,9 +320,10 @@ def _fetched(repeated, wanted, hot):
                 [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                  pa.py_buffer(block.data[ranges(runs.first[pick], sizes)].tobytes())],
             )
-            fixed = [pa.array(x[pick].view(np.int64)) for x in (own, at, runs.key)]
+            fixed = [pa.array(x[pick].view(np.int64)) for x in (own, at, runs.key, runs.anchor - runs.first)]
             yield pa.RecordBatch.from_arrays(
-                [*fixed, pa.array(passes(hot.value, runs.key[pick])), text], names=["id", "start", "key", "apart", "text"]
+                [*fixed, pa.array(passes(hot.value, runs.key[pick])), text],
+                names=["id", "start", "key", "anchor", "apart", "text"],
             )
 
     return run
@@ -333,27 +336,37 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    hashes, key, own, place = _window_rows(batch)
-    order = np.lexsort((place, own))
-    hashes, key, own, place = (x[order] for x in (hashes, key, own, place))
-    _, later = _first(own, place, mixed(hashes + key.view(np.uint64)))
-    yield _intervals(own[later], place[later], place[later] + LENGTH)
-
-
-def _window_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Equal windows lie at the same offset from their anchor, so offsets are worked on in turn."""
     data, offsets = column(batch, "text")
-    windows = np.diff(offsets) - LENGTH + 1
+    hashes = Rolling(data).every(LENGTH)
+    for low in range(0, LENGTH - KEY + 1, OFFSETS):
+        at, key, own, place = _window_rows(batch, offsets, low, low + OFFSETS)
+        if not len(at):
+            continue
+        order = np.lexsort((place, own))
+        at, key, own, place = (x[order] for x in (at, key, own, place))
+        _, later = _first(own, place, mixed(hashes[at] + key.view(np.uint64)))
+        yield _intervals(own[later], place[later], place[later] + LENGTH)
+
+
+def _window_rows(batch: pa.RecordBatch, offsets: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+    """(place in the batch, key, id, place in the text) of windows that begin ``low`` to ``high`` bytes
+    (the latter not included) before their anchor."""
+    anchor = batch.column("anchor").to_numpy()
+    first = np.maximum(anchor - high + 1, 0)
+    last = np.minimum(anchor - low, np.diff(offsets) - LENGTH)
+    windows = np.maximum(last - first + 1, 0)
     own, start, key = (np.repeat(batch.column(c).to_numpy(), windows) for c in ("id", "start", "key"))
-    within = ranges(np.zeros(len(windows), np.int64), windows)
-    hashes = Rolling(data).every(LENGTH)[np.repeat(offsets[:-1], windows) + within]
-    return hashes, key, own, start + within
+    within = ranges(first, windows)
+    return np.repeat(offsets[:-1], windows) + within, key, own, start + within
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x.view(np.int64)) for x in _window_rows(batch)], names=["window", "key", "id", "start"]
-        )
+        data, offsets = column(batch, "text")
+        at, key, own, place = _window_rows(batch, offsets, 0, LENGTH)
+        found = Rolling(data).every(LENGTH)[at].view(np.int64), key, own, place
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["window", "key", "id", "start"])
 
 
 def _after_first(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
