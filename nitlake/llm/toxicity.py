@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import discard, shared_dir, stored
+from .filters import key_filter, passes
 from .words import SPACE, Block, Rolling, blocks, column, mixed
 
 WINDOW, STRIDE = 32, 24
@@ -309,6 +310,15 @@ def _fit_one(odds):
     return run
 
 
+def _may_have(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = passes(known.value, batch.column("_key").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(keep)).select(["_id", "_text"])
+
+    return run
+
+
 class Scorer:
     """The network's weights and the log odds, and texts' scores by them."""
 
@@ -321,10 +331,15 @@ class Scorer:
         without a label teach nothing; without labelled rows the network stays as drawn."""
         spark = docs.sparkSession
         marks = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("label")).where("label is not null")
-        marks = marks.where(~held_out("_id")).groupBy("_id").agg(F.max("label").alias("label"))
+        marks = stored(marks.where(~held_out("_id")).groupBy("_id").agg(F.max("label").alias("label")), "marks")
         rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        # Only texts that may have a label are shuffled to meet it, and once.
+        keys = marks.select(F.xxhash64("_id").alias("key"))
+        known = key_filter(keys, "key", keys.count())
+        kind = rows.schema["_id"].dataType.simpleString()
+        some = rows.withColumn("_key", F.xxhash64("_id")).mapInArrow(_may_have(known), f"_id {kind}, _text string")
         fold = F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(2)).cast("int")
-        train = rows.join(marks, "_id").withColumn("fold", fold)
+        train = stored(some.join(marks.hint("merge"), "_id").withColumn("fold", fold), "labelled")
         odds = log_odds(train.select("label", "fold", "_text"))
         # A bounded sample by hash, toxic texts and others alike; very long texts stay out of it.
         short = train.where(F.octet_length("_text") <= 20_000)
@@ -337,6 +352,7 @@ class Scorer:
         made = sample.groupBy(F.lit(1).alias("_all")).applyInPandas(_fit_one(sent), "weights binary").collect()
         if not made:
             return cls(Network.fresh(), odds[0])
+        discard(marks, train)
         held = np.load(io.BytesIO(bytes(made[0]["weights"])))
         return cls(Network({k: held[k] for k in held.files}), odds[0])
 
