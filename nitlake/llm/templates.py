@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates.
 
 Words become typed templates: numbers, quantities (a number with its unit in one word), units after
-a number, and names (capitals inside a sentence) turn into placeholders, everything else is a
-literal without case and outer punctuation. Windows of SIZE template words are joined by hash with
-those of the benchmark. Along an alignment of a document with an item the placeholders must be
+a number, and names (capitals inside a sentence) turn into placeholders. Everything else is a
+literal without case and outer punctuation, single letters and words all in capitals too. Windows
+of SIZE template words are joined by hash with those of the benchmark. Along an alignment of a document with an item the placeholders must be
 consistent: one value of the item is one value of the document wherever it comes up. So a question
 with other numbers or names in it is found, and two texts of the same mould by chance are not.
 """
@@ -88,6 +88,11 @@ class Template:
         gap = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         opening = new | (stops[starts] - stops[np.where(new, starts, gap)] > 0)
         capital = ((data[starts] >= 65) & (data[starts] <= 90)) | latin[np.minimum(starts + 1, max(n - 1, 0))] if n else new
+        # One letter, or capitals only, are no name.
+        wide = latin[np.minimum(starts + 1, max(n - 1, 0))] if n else new
+        second = starts + 1 + wide
+        inner = data[np.minimum(second, max(n - 1, 0))] if n else starts
+        capital = capital & (second < ends) & ~((inner >= 65) & (inner <= 90))
         has_digit, has_letter = digits[ends] > digits[starts], letters[ends] > letters[starts]
         kind = np.zeros(len(starts), np.int64)
         kind[capital & ~opening & ~has_digit] = NAME
