@@ -3,9 +3,10 @@
 Words become typed templates: numbers, quantities (a number with its unit in one word), units after
 a number, and names (capitals inside a sentence) turn into placeholders. Everything else is a
 literal without case and outer punctuation, single letters and words all in capitals too. Windows
-of SIZE template words are joined by hash with those of the benchmark. Along an alignment of a document with an item the placeholders must be
-consistent: one value of the item is one value of the document wherever it comes up. So a question
-with other numbers or names in it is found, and two texts of the same mould by chance are not.
+of SIZE template words are joined by hash with those of the benchmark. Along an alignment of a
+document with an item the placeholders must be consistent: one value of the item is one value of
+the document wherever it comes up. So a question with other numbers or names in it is found, and
+two texts of the same mould by chance are not.
 """
 
 from __future__ import annotations
