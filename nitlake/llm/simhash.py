@@ -133,15 +133,23 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[str, int, int,
     Rows are filed under the exact value of each segment and look up all values in its radius. What
     meets is verified on all words."""
     words = [c for c in prints.columns if c != "node"]
-    filed, balls = [], []
-    for i, (word, shift, width, own) in enumerate(segments):
-        key = _key(F.col(word), i, shift, width)
-        filed.append(key)
-        flips = [f for r in range(own + 1) for f in combinations(range(width), r)]
-        balls += [key.bitwiseXOR(F.lit(sum(1 << bit for bit in f))) for f in flips]
-    homes = prints.select("node", *words, F.explode(F.array(*filed)).alias("key"))
+    # A row per segment, then a row per flip: a few dozen expressions however many keys they make.
+    parts = F.array(
+        *(
+            F.struct(_key(F.col(word), i, shift, width).alias("key"), F.lit(1 << width).cast("bigint").alias("top"), F.lit(own).alias("own"))
+            for i, (word, shift, width, own) in enumerate(segments)
+        )
+    )
+    widest, most = max(width for *_, width, _ in segments), max(own for *_, own in segments)
+    flips = [sum(1 << bit for bit in f) for r in range(most + 1) for f in combinations(range(widest), r)]
+    homes = prints.select("node", *words, F.inline(parts)).drop("top", "own")
     few = len(words) == 1  # one word travels with its row; more are joined to what has met
-    probes = prints.select("node", *(words if few else []), F.explode(F.array(*balls)).alias("key"))
+    carried = ["node", *(words if few else [])]
+    spread = prints.select(*carried, F.inline(parts)).select(
+        *carried, "key", "top", "own", F.explode(F.array(*(F.lit(f).cast("bigint") for f in flips))).alias("flip")
+    )
+    inside = (F.col("flip") < F.col("top")) & (F.bit_count("flip") <= F.col("own"))
+    probes = spread.where(inside).select(*carried, F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
     hot = stored(homes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > JOINED), "hot")
     # No hint: Spark broadcasts the hot keys where their size allows, and joins by key otherwise.
     cold = homes.join(hot, "key", "left_anti")
