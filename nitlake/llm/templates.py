@@ -2,7 +2,9 @@
 
 Words become typed templates: numbers, quantities (a number with its unit in one word), units after
 a number, and names (capitals inside a sentence) turn into placeholders. Everything else is a
-literal without case and outer punctuation, single letters and words all in capitals too. Windows
+literal without case and outer punctuation, single letters and words all in capitals too. A capital
+that opens a sentence may be a name or not, so every text is read twice: with all of these as
+literals, and with all of them as names. The readings are matched and judged apart. Windows
 of SIZE template words are joined by hash with those of the benchmark. Along an alignment of a
 document with an item the placeholders must be consistent: one value of the item is one value of
 the document wherever it comes up. So a question with other numbers or names in it is found, and
@@ -41,6 +43,8 @@ UNITS = (
 ).split()
 
 LITERAL, NUMBER, QUANTITY, UNIT, NAME = range(5)
+#: Readings of a text: capitals that open a sentence are literals, or names.
+PLAIN, NAMED = READINGS = range(2)
 _TYPE = mixed(np.arange(101, 106, dtype=np.uint64))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -61,7 +65,7 @@ _UNIT_HASHES = _unit_hashes()
 
 
 class Template:
-    """Template words of a block's texts: ``hash``, ``kind``, ``value`` and ``text`` of each."""
+    """Words of a block's texts, and what does not depend on how they are read."""
 
     def __init__(self, block: Block):
         data, n = block.data, len(block.data)
@@ -95,18 +99,28 @@ class Template:
         inner = data[np.minimum(second, max(n - 1, 0))] if n else starts
         capital = capital & (second < ends) & ~((inner >= 65) & (inner <= 90))
         has_digit, has_letter = digits[ends] > digits[starts], letters[ends] > letters[starts]
-        kind = np.zeros(len(starts), np.int64)
-        kind[capital & ~opening & ~has_digit] = NAME
-        kind[has_digit & has_letter & _DIGIT[data[starts]]] = QUANTITY
-        kind[has_digit & ~has_letter] = NUMBER
-        counted = np.concatenate([[False], kind[:-1] == NUMBER]) & ~new
+        self.starts, self.ends, self.text, self.value, self.new, self.rolling = starts, ends, text, value, new, rolling
+        self.name, self.opening = capital & ~has_digit, opening
+        self.kind = np.zeros(len(starts), np.int64)
+        self.kind[has_digit & has_letter & _DIGIT[data[starts]]] = QUANTITY
+        self.kind[has_digit & ~has_letter] = NUMBER
+
+
+class Reading:
+    """Template words of a block's texts: ``hash``, ``kind``, ``value`` and ``text`` of each."""
+
+    def __init__(self, words: Template, reading: int):
+        starts, ends, value, new = words.starts, words.ends, words.value, words.new
+        self.reading, kind = reading, words.kind.copy()
+        kind[words.name & ((reading == NAMED) | ~words.opening)] = NAME
+        counted = np.concatenate([[False], kind[:-1] == NUMBER])[: len(kind)] & ~new
         kind[counted & (kind == LITERAL) & np.isin(value, _UNIT_HASHES)] = UNIT
-        # Names of several words are one name.
-        more = np.concatenate([[False], kind[:-1] == NAME]) & (kind == NAME) & ~new
+        # Names of several words are one name, which does not reach into the next sentence.
+        more = np.concatenate([[False], kind[:-1] == NAME])[: len(kind)] & (kind == NAME) & ~words.opening
         head = np.flatnonzero(~more)
         last = np.concatenate([head[1:], [len(kind)]]) - 1 if len(head) else head
-        self.kind, self.text = kind[head], text[head]
-        self.value = np.where(last > head, rolling.spans(starts[head], ends[last]), value[head])
+        self.kind, self.text = kind[head], words.text[head]
+        self.value = np.where(last > head, words.rolling.spans(starts[head], ends[last]), value[head])
         self.hash = np.where(self.kind == LITERAL, self.value, _TYPE[self.kind])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +128,7 @@ class Template:
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        made = np.full(n, size, np.uint64)
+        made = np.full(n, size + 64 * self.reading, np.uint64)
         for i in range(size):
             made = mixed(made * np.uint64(0x9E3779B97F4A7C15) + self.hash[i : n + i])
         literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
@@ -122,7 +136,7 @@ class Template:
         return at, made[at]
 
 
-_SHAPE = "bigint, place bigint, key bigint, slots array<bigint>"
+_SHAPE = "bigint, reading int, place bigint, key bigint, slots array<bigint>"
 
 
 def _windowed(sizes: list[int] | None, wanted: Broadcast | None):
@@ -134,31 +148,32 @@ def _windowed(sizes: list[int] | None, wanted: Broadcast | None):
             ids = batch.column("_id")
             data, offsets = column(batch, "_text")
             for block in blocks(data, offsets):
-                words = Template(block)
-                count = np.bincount(words.text, minlength=block.texts)
-                first = np.cumsum(count) - count
-                for size in sizes or range(SHORTEST, SIZE + 1):
-                    at, key = words.windows(size)
-                    if wanted is None:
-                        own = count[words.text[at]]
-                        take = (own >= SIZE) if size == SIZE else (own == size)
-                    else:
-                        take = passes(wanted.value, key)
-                    at, key = at[take], key[take]
-                    if not len(at):
-                        continue
-                    slot = np.concatenate([[0], np.cumsum(words.kind != LITERAL)])
-                    values = words.value[words.kind != LITERAL]
-                    sizes_of = slot[at + size] - slot[at]
-                    slots = pa.ListArray.from_arrays(
-                        np.concatenate([[0], np.cumsum(sizes_of)]).astype(np.int32),
-                        pa.array(values[ranges(slot[at], sizes_of)].view(np.int64)),
-                    )
-                    owner = ids.take(pa.array(block.rows.start + words.text[at]))
-                    place = at - first[words.text[at]]
-                    yield pa.RecordBatch.from_arrays(
-                        [owner, pa.array(place), pa.array(key.view(np.int64)), slots], names=["_id", "place", "key", "slots"]
-                    )
+                template = Template(block)
+                for words in (Reading(template, r) for r in READINGS):
+                    count = np.bincount(words.text, minlength=block.texts)
+                    first = np.cumsum(count) - count
+                    for size in sizes or range(SHORTEST, SIZE + 1):
+                        at, key = words.windows(size)
+                        if wanted is None:
+                            own = count[words.text[at]]
+                            take = (own >= SIZE) if size == SIZE else (own == size)
+                        else:
+                            take = passes(wanted.value, key)
+                        at, key = at[take], key[take]
+                        if not len(at):
+                            continue
+                        slot = np.concatenate([[0], np.cumsum(words.kind != LITERAL)])
+                        values = words.value[words.kind != LITERAL]
+                        sizes_of = slot[at + size] - slot[at]
+                        slots = pa.ListArray.from_arrays(
+                            np.concatenate([[0], np.cumsum(sizes_of)]).astype(np.int32),
+                            pa.array(values[ranges(slot[at], sizes_of)].view(np.int64)),
+                        )
+                        owner = ids.take(pa.array(block.rows.start + words.text[at]))
+                        place = at - first[words.text[at]]
+                        yield pa.RecordBatch.from_arrays(
+                            [owner, pa.array(np.full(len(at), words.reading, np.int32)), pa.array(place), pa.array(key.view(np.int64)), slots], names=["_id", "reading", "place", "key", "slots"]
+                        )
 
     return run
 
@@ -170,23 +185,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     ``matched`` of the item's ``windows`` are in the document on consistent alignments; of the
     ``slots`` met, ``changed`` hold another value; ``kind`` is ``copy`` or ``reparameterised``.
     Null and empty texts have no windows. A window that an item holds twice counts at its first
-    place. Repeated rows and ids are one document. Other columns are ignored. The filter that
+    place. Of two readings that leak, the one with the greater share is reported. Repeated rows and ids are one document. Other columns are ignored. The filter that
     tasks hold has a fixed greatest size, whatever the benchmark's; what it lets through by
     chance falls out of the join.
     """
     shared_dir(docs.sparkSession)
     rows = lambda frame, i, t: frame.select(F.col(i).cast("bigint").alias("_id"), F.col(t).alias("_text"))
     items = rows(benchmark, item, item_text).mapInArrow(_windowed(None, None), "_id " + _SHAPE)
-    first = items.groupBy(F.col("_id").alias("item"), "key").agg(F.min(F.struct("place", "slots")).alias("at"))
-    known = stored(first.select("item", "key", F.col("at.place").alias("there"), F.col("at.slots").alias("ours")), "items")
+    first = items.groupBy(F.col("_id").alias("item"), "reading", "key").agg(F.min(F.struct("place", "slots")).alias("at"))
+    known = stored(first.select("item", "reading", "key", F.col("at.place").alias("there"), F.col("at.slots").alias("ours")), "items")
     # A window's key holds its size, so only sizes that short items have are looked for besides SIZE.
     lengths = rows(benchmark, item, item_text).mapInArrow(_lengths, "words bigint").distinct().where(F.col("words").between(SHORTEST, SIZE - 1))
     sizes = [SIZE, *sorted(r["words"] for r in lengths.collect())]
     wanted = key_filter(known, "key", known.count())
     found = rows(docs, id, text).mapInArrow(_windowed(sizes, wanted), "_id " + _SHAPE)
-    met = found.join(known, "key").select("_id", "item", "there", (F.col("place") - F.col("there")).alias("line"), "slots", "ours")
+    met = found.join(known, ["reading", "key"]).select("_id", "item", "reading", "there", (F.col("place") - F.col("there")).alias("line"), "slots", "ours")
     met = stored(met.distinct(), "met")
-    line = ["_id", "item", "line"]
+    line = ["_id", "item", "reading", "line"]
     pair = met.select(*line, F.explode(F.arrays_zip("ours", "slots")).alias("s")).select(*line, "s.ours", "s.slots").distinct()
     filled = pair.groupBy(*line, "ours").agg(F.count("*").alias("values"), F.max((F.col("ours") != F.col("slots")).cast("int")).alias("other"))
     slots = filled.groupBy(*line).agg(
@@ -194,15 +209,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     )
     lines = met.groupBy(*line).agg(F.count("*").alias("matched")).join(slots, line, "left")
     even = lines.where(F.coalesce("values", F.lit(1)) == 1)
-    total = known.groupBy("item").agg(F.count("*").alias("windows"))
-    sums = even.groupBy("_id", "item").agg(
+    total = known.groupBy("item", "reading").agg(F.count("*").alias("windows"))
+    sums = even.groupBy("_id", "item", "reading").agg(
         F.sum("matched").alias("matched"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"),
         F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"),
     )
-    judged = sums.join(total, "item").withColumn("matched", F.least("matched", "windows"))
+    judged = sums.join(total, ["item", "reading"]).withColumn("matched", F.least("matched", "windows"))
     judged = judged.withColumn("share", F.col("matched") / F.col("windows"))
-    return judged.where((F.col("matched") >= WINDOWS) | (F.col("share") >= SHARE)).select(
-        F.col("_id").alias(id), F.col("item").alias(item), "matched", "windows", "share", "slots", "changed",
+    leaked = judged.where((F.col("matched") >= WINDOWS) | (F.col("share") >= SHARE))
+    facts = ("matched", "windows", "share", "slots", "changed")
+    best = leaked.groupBy("_id", "item").agg(F.max_by(F.struct(*facts), F.struct("share", "matched", -F.col("reading"))).alias("best"))
+    return best.select("_id", "item", "best.*").select(
+        F.col("_id").alias(id), F.col("item").alias(item), *facts,
         F.when(F.col("changed") > 0, "reparameterised").otherwise("copy").alias("kind"),
     )
 
@@ -211,4 +229,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = column(batch, "_text")
         for block in blocks(data, offsets):
-            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(Template(block).text, minlength=block.texts))], names=["words"])
+            template = Template(block)
+            for reading in READINGS:
+                count = np.bincount(Reading(template, reading).text, minlength=block.texts)
+                yield pa.RecordBatch.from_arrays([pa.array(count)], names=["words"])

@@ -32,6 +32,18 @@ def test_slots(spark):
     assert 4 not in got and 5 not in got
 
 
+def test_names_that_open_sentences(spark):
+    """Other names at the start of sentences, also where the item's have two words, and other numbers."""
+    item = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have now?"
+    other = item.replace("Tom", "Ann").replace("5", "8").replace("3", "6")
+    rows = [(1, other), (2, f"Read this. {other} Thanks."), (3, other.replace("Ann", "Ann Lee")), (4, item), (5, item.lower()),
+            (6, other.replace("Ann buys", "Bob buys")), (7, PLAIN)]
+    got = {r.doc_id: r for r in templates.leaks(spark.createDataFrame(rows, DOC), spark.createDataFrame([(1, item)], ITEM)).collect()}
+    assert {1, 2, 3, 4, 5} == set(got)
+    assert all(got[i].kind == "reparameterised" for i in (1, 2, 3)) and got[4].kind == "copy"
+    assert got[1].share == 1
+
+
 def test_short_items_and_odd_rows(spark):
     items = spark.createDataFrame([(1, "name the longest river"), (2, "one"), (3, None), (4, ""), (None, "a b c d e f")], ITEM)
     docs = spark.createDataFrame([(1, "Please NAME the longest river now"), (2, None), (3, ""), (4, "one two")], DOC)
