@@ -4,7 +4,9 @@ Words become typed templates: numbers, quantities (a number with its unit in one
 a number, and names (capitals inside a sentence) turn into placeholders. Everything else is a
 literal without case and outer punctuation, single letters and words all in capitals too. A capital
 that opens a sentence may be a name or not, so every text is read twice: with all of these as
-literals, and with all of them as names. The readings are matched and judged apart. Windows
+literals, and with all of them as names. The readings are matched and judged apart. A third reading
+takes every word by its value: it finds items that are in a document word by word, whatever share
+of their words are literals, and items too short for templates. Windows
 of SIZE template words are joined by hash with those of the benchmark. Along an alignment of a
 document with an item the placeholders must be consistent: one value of the item is one value of
 the document wherever it comes up. So a question with other numbers or names in it is found, and
@@ -26,11 +28,12 @@ from .filters import key_filter, passes
 from .words import Block, Rolling, blocks, column, mixed, ranges
 
 SIZE = 8
-#: Items of fewer template words than this are too short to tell from chance, and are not looked for.
-SHORTEST = 4
+#: Items of fewer words than SHORTEST are too short for templates: only their own words are looked for, if
+#: there are two at least. One word alone is found by chance everywhere.
+SHORTEST, SHORTEST_COPY = 4, 2
 #: A document leaks an item if this many windows of it match (thirteen words in a row) ...
 WINDOWS = 6
-#: ... or this share of its windows.
+#: ... or this share of its windows, which hold as large a share of its words.
 SHARE = 0.5
 
 # Units that count as such after a number.
@@ -43,8 +46,8 @@ UNITS = (
 ).split()
 
 LITERAL, NUMBER, QUANTITY, UNIT, NAME = range(5)
-#: Readings of a text: capitals that open a sentence are literals, or names.
-PLAIN, NAMED = READINGS = range(2)
+#: Readings of a text: capitals that open a sentence are literals, or names; or every word is its value.
+PLAIN, NAMED, VALUES = READINGS = range(3)
 _TYPE = mixed(np.arange(101, 106, dtype=np.uint64))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -112,6 +115,10 @@ class Reading:
     def __init__(self, words: Template, reading: int):
         starts, ends, value, new = words.starts, words.ends, words.value, words.new
         self.reading, kind = reading, words.kind.copy()
+        if reading == VALUES:
+            kind[:] = LITERAL
+            self.kind, self.text, self.value, self.hash = kind, words.text, value, value
+            return
         kind[words.name & ((reading == NAMED) | ~words.opening)] = NAME
         counted = np.concatenate([[False], kind[:-1] == NUMBER])[: len(kind)] & ~new
         kind[counted & (kind == LITERAL) & np.isin(value, _UNIT_HASHES)] = UNIT
@@ -152,7 +159,10 @@ def _windowed(sizes: list[int] | None, wanted: Broadcast | None):
                 for words in (Reading(template, r) for r in READINGS):
                     count = np.bincount(words.text, minlength=block.texts)
                     first = np.cumsum(count) - count
-                    for size in sizes or range(SHORTEST, SIZE + 1):
+                    shortest = SHORTEST_COPY if words.reading == VALUES else SHORTEST
+                    for size in sizes or range(SHORTEST_COPY, SIZE + 1):
+                        if size < shortest:
+                            continue
                         at, key = words.windows(size)
                         if wanted is None:
                             own = count[words.text[at]]
@@ -195,8 +205,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     first = items.groupBy(F.col("_id").alias("item"), "reading", "key").agg(F.min(F.struct("place", "slots")).alias("at"))
     known = stored(first.select("item", "reading", "key", F.col("at.place").alias("there"), F.col("at.slots").alias("ours")), "items")
     # A window's key holds its size, so only sizes that short items have are looked for besides SIZE.
-    lengths = rows(benchmark, item, item_text).mapInArrow(_lengths, "words bigint").distinct().where(F.col("words").between(SHORTEST, SIZE - 1))
-    sizes = [SIZE, *sorted(r["words"] for r in lengths.collect())]
+    lengths = rows(benchmark, item, item_text).mapInArrow(_lengths, "item bigint, reading int, words bigint")
+    short = lengths.select("words").distinct().where(F.col("words").between(SHORTEST_COPY, SIZE - 1))
+    sizes = [SIZE, *sorted(r["words"] for r in short.collect())]
     wanted = key_filter(known, "key", known.count())
     found = rows(docs, id, text).mapInArrow(_windowed(sizes, wanted), "_id " + _SHAPE)
     met = found.join(known, ["reading", "key"]).select("_id", "item", "reading", "there", (F.col("place") - F.col("there")).alias("line"), "slots", "ours")
@@ -207,16 +218,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     slots = filled.groupBy(*line).agg(
         F.count("*").alias("slots"), F.sum("other").alias("changed"), F.max("values").alias("values")
     )
-    lines = met.groupBy(*line).agg(F.count("*").alias("matched")).join(slots, line, "left")
+    # Words of the item that the windows met on a line hold, each counted once.
+    held = F.aggregate(
+        F.array_sort(F.collect_set("there")), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto")),
+        lambda a, at: F.struct((a["n"] + at + SIZE - F.greatest(a["upto"], at)).alias("n"), (at + SIZE).alias("upto")), lambda a: a["n"],
+    )
+    lines = met.groupBy(*line).agg(F.count("*").alias("matched"), held.alias("held")).join(slots, line, "left")
     even = lines.where(F.coalesce("values", F.lit(1)) == 1)
     total = known.groupBy("item", "reading").agg(F.count("*").alias("windows"))
     sums = even.groupBy("_id", "item", "reading").agg(
         F.sum("matched").alias("matched"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"),
-        F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"),
+        F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"), F.sum("held").alias("held"), F.max("matched").alias("longest"),
     )
-    judged = sums.join(total, ["item", "reading"]).withColumn("matched", F.least("matched", "windows"))
+    words = lengths.groupBy("item", "reading").agg(F.max("words").alias("words"))
+    judged = sums.join(total, ["item", "reading"]).join(words, ["item", "reading"]).withColumn("matched", F.least("matched", "windows"))
     judged = judged.withColumn("share", F.col("matched") / F.col("windows"))
-    leaked = judged.where((F.col("matched") >= WINDOWS) | (F.col("share") >= SHARE))
+    part = (F.col("matched") >= WINDOWS) | ((F.col("share") >= SHARE) & (F.col("held") >= SHARE * F.col("words")))
+    leaked = judged.where(F.when(F.col("reading") == VALUES, F.col("longest") == F.col("windows")).otherwise(part))
     facts = ("matched", "windows", "share", "slots", "changed")
     best = leaked.groupBy("_id", "item").agg(F.max_by(F.struct(*facts), F.struct("share", "matched", -F.col("reading"))).alias("best"))
     return best.select("_id", "item", "best.*").select(
@@ -232,4 +250,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             template = Template(block)
             for reading in READINGS:
                 count = np.bincount(Reading(template, reading).text, minlength=block.texts)
-                yield pa.RecordBatch.from_arrays([pa.array(count)], names=["words"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").slice(block.rows.start, block.texts), pa.array(np.full(len(count), reading, np.int32)), pa.array(count)],
+                    names=["item", "reading", "words"],
+                )

@@ -44,6 +44,17 @@ def test_names_that_open_sentences(spark):
     assert got[1].share == 1
 
 
+def test_copies_of_items_with_few_literals(spark):
+    """Copies are found whatever their words are; a few windows of a long item are no half of it."""
+    numbers = " ".join(f"{i} + {i + 2}" for i in range(10, 40))
+    items = {1: "What is 12 + 7 * 3 - 45 / 9?", 2: "Quokka habitat", 3: numbers, 4: f"name the longest river in the whole world. {numbers}"}
+    rows = [(i, f"Well, {x} So it is.") for i, x in items.items()]
+    rows += [(5, "the longest habitat"), (6, "We name the longest river in the whole world."), (7, "What is 13 + 7 * 3 - 45 / 9?")]
+    docs, items = spark.createDataFrame(rows, DOC), spark.createDataFrame(list(items.items()), ITEM)
+    got = {(r.doc_id, r.item_id): r.kind for r in templates.leaks(docs, items).collect()}
+    assert got == {(1, 1): "copy", (2, 2): "copy", (3, 3): "copy", (4, 3): "copy", (4, 4): "copy"}
+
+
 def test_short_items_and_odd_rows(spark):
     items = spark.createDataFrame([(1, "name the longest river"), (2, "one"), (3, None), (4, ""), (None, "a b c d e f")], ITEM)
     docs = spark.createDataFrame([(1, "Please NAME the longest river now"), (2, None), (3, ""), (4, "one two")], DOC)
