@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: (rule as host/path, what it orders)
 RULES = (
     ("org/", "allow"),
@@ -26,8 +28,6 @@ RULES = (
 TRAINED_ON = 20_000
 #: A suffix must be labelled this often before its own rate outweighs the overall rate.
 PRIOR = 20.0
-#: The most frequent labelled suffixes that get a rate of their own.
-SUFFIXES = 5_000
 FEATURES = (
     "length", "host_length", "path_length", "labels", "depth", "digit_ratio", "entropy", "params",
     "hyphens", "host_digits", "has_fragment", "is_secure", "suffix_rate", "suffix_seen",
@@ -104,17 +104,22 @@ class UrlFilter:
     @classmethod
     def fit(cls, labelled: DataFrame, url: str, label: str, key: str, folds: int = 2) -> UrlFilter:
         """``label`` is 1 for URLs to block. Suffix rates for training come from the other fold,
-        so that a URL never sees its own label. No labelled row, or one class only: the filter
-        then gives that class's rate."""
-        rows = lexical(sampled(labelled.where(F.col(label).isNotNull()), key), url)
-        rows = rows.withColumns(
-            {"_label": F.col(label).cast("double"), "_fold": F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(folds))}
-        ).cache()
-        overall = rows.agg(F.avg("_label")).first()[0]
+        so that a URL never sees its own label. Rates are counted over all labelled rows; only the
+        trees are trained on a sample. No labelled row, or one class only: the filter then gives
+        that class's rate."""
+        labelled = labelled.where(F.col(label).isNotNull())
+        fold = F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(folds))
+        marked = {"_label": F.col(label).cast("double"), "_fold": fold}
+        every = labelled.select(host(F.coalesce(F.col(url), F.lit(""))).alias("_host"), *[c.alias(k) for k, c in marked.items()])
+        # A row per suffix and fold, written once: the overall rate and all suffixes' rates follow from it.
+        seen = stored(
+            every.groupBy(F.substring_index("_host", ".", -3).alias("_suffix"), "_fold")
+            .agg(F.count("*").alias("n"), F.sum("_label").alias("s")), "suffixes",
+        )
+        overall = seen.agg(F.sum("s") / F.sum("n")).first()[0]
         if overall in (None, 0.0, 1.0):
-            rows.unpersist()
             return cls(None, None, overall or 0.0)
-        seen = rows.groupBy("_suffix", "_fold").agg(F.count("*").alias("n"), F.sum("_label").alias("s"))
+        rows = lexical(sampled(labelled, key), url).withColumns(marked).cache()
         sums = seen.groupBy("_suffix").agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
         rate = lambda s, n: (s + PRIOR * overall) / (n + PRIOR)
         other = (
@@ -129,10 +134,9 @@ class UrlFilter:
         # The sample is bounded: a few partitions, so that twenty rounds are not twenty times the tasks.
         sample = gather.transform(train).select("_x", "_label").coalesce(4)
         model = PipelineModel([gather, trees.fit(sample)])
-        # The most frequent suffixes by count, a bounded table; the rest have the overall rate.
-        top = sums.orderBy(F.desc("_n"), "_suffix").limit(SUFFIXES)
-        top = top.select("_suffix", rate(F.col("_s"), F.col("_n")).alias("suffix_rate"), F.log1p("_n").alias("suffix_seen"))
-        return cls(model, top, overall)
+        # All labelled suffixes; those without a label have the overall rate.
+        rates = sums.select("_suffix", rate(F.col("_s"), F.col("_n")).alias("suffix_rate"), F.log1p("_n").alias("suffix_seen"))
+        return cls(model, rates, overall)
 
     def score(self, rows: DataFrame, url: str, out: str = "score") -> DataFrame:
         """``rows`` with ``out``, the probability that the URL is one to block."""
@@ -140,8 +144,8 @@ class UrlFilter:
             return rows.withColumn(out, F.lit(self.overall))
         kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_kept")
         plain = lexical(rows.select(kept, F.col(f"`{url}`").alias("_url")), "_url")
-        # At most SUFFIXES rows, each a name and two numbers.
-        known = plain.join(F.broadcast(self.rates), "_suffix", "left").fillna(
+        # No hint: Spark broadcasts the rates where their size allows, and joins by key otherwise.
+        known = plain.join(self.rates, "_suffix", "left").fillna(
             {"suffix_rate": self.overall, "suffix_seen": 0.0}
         )
         scored = self.model.transform(known)

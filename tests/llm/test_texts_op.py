@@ -148,6 +148,18 @@ def test_urls(spark):
     assert urls.judged(pages, none).count() == pages.count()
 
 
+def test_every_labelled_suffix_has_its_rate(spark):
+    """More labelled URLs than train the trees, and thousands of suffixes: all are counted whole."""
+    frame = spark.range(28_000).selectExpr(
+        "id AS page_id", "concat('https://www.site', id % 7000, '.com/', id) AS url", "cast(id % 7000 < 1400 AS int) AS label"
+    )
+    filter = urls.UrlFilter.fit(frame, "url", "label", "page_id")
+    got = {r["_suffix"]: (r.suffix_rate, round(np.expm1(r.suffix_seen))) for r in filter.rates.collect()}
+    assert len(got) == 7000 and {n for _, n in got.values()} == {4}
+    rates = {int(k[8:-4]): rate for k, (rate, _) in got.items()}
+    assert all(np.isclose(rate, (4 * (i < 1400) + urls.PRIOR * 0.2) / (4 + urls.PRIOR)) for i, rate in rates.items())
+
+
 def test_trees_learn(spark):
     """URLs with digits in their host are labelled to block; held-out ones are told apart."""
     rng = np.random.default_rng(6)
