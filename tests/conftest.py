@@ -10,8 +10,6 @@ from nitlake import session  # noqa: E402
 from nitlake.session import ship  # noqa: E402
 from nitlake.sinks.png import encode_png  # noqa: E402
 
-FOLDER = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -40,8 +38,3 @@ def put():
         path.write_bytes(encode_png(np.asarray(picture), depth))
 
     return write
-
-
-def ramp(offset=0.0, side=16):
-    base = np.linspace(0.02, 0.72, side * side).reshape(side, side)
-    return np.stack([np.clip(base + shift + offset, 0, 1) for shift in (0, 0.02, 0.04)])

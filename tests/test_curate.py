@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import ramp
+from samples import ramp
 from pyspark.sql import functions as F
 
 from nitlake.plans.curate import curate, plan_source

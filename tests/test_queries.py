@@ -2,7 +2,7 @@
 
 import pytest
 from check import compare, connect
-from conftest import FOLDER
+from samples import FOLDER
 
 import __spark_entry__ as entry
 
