@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, packing, planes, quality, simhash, suffixes, templates, toxicity, urls
+from . import chat, fim, licences, lines, packing, planes, quality, simhash, suffixes, templates, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,15 @@ def template_leaks(spark, folder):
 def toxicity_scores(spark, folder):
     """Toxicity of every document."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_line_dedup", lines.ORACLE)
+def line_dedup(spark, folder):
+    """What stays of every document without the lines that others repeat."""
+    return lines.digests(table(spark, folder, "documents"))
+
+
+@query("op13_fill_in_middle", fim.ORACLE)
+def middles(spark, folder):
+    """Every document rearranged for filling in its middle, and restored."""
+    return fim.digests(table(spark, folder, "documents"))
