@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, licences, lines, packing, planes, quality, simhash, suffixes, templates, toxicity, urls
+from . import chat, collocations, fim, licences, lines, packing, planes, quality, simhash, suffixes, templates, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,12 @@ def line_dedup(spark, folder):
     return lines.digests(table(spark, folder, "documents"))
 
 
+@query("op12_collocations", collocations.ORACLE)
+def collocated(spark, folder):
+    """The phrases of every language whose words belong together."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query("op13_fill_in_middle", fim.ORACLE)
 def middles(spark, folder):
     """Every document rearranged for filling in its middle, and restored."""
