@@ -7,17 +7,21 @@ and phrase is counted for one full cycle, each shard once, whenever it started;
 whole corpus, and no phrase that is frequent is missed, since its parts are at least as frequent and start
 it before they are done themselves. Scans of several lengths are the same scan.
 
-When a phrase started follows from when its parts became frequent. So no candidates are made up: a scan
-counts the phrases that are there, where a bitmap of bounded size says that their parts may be frequent,
-and Spark joins the counted ones with the parts exactly. Counts lie in a table in the shared folder that
-each scan replaces; nothing of the corpus is held in one place.
+What has become frequent is kept as bits of a map of bounded size, one for each scan. A phrase starts
+with the first scan in whose map the bits of both its parts are set, and is over when they were set a
+cycle ago; both are read off two maps where the text is, and no candidates are made up. Bits that two
+phrases share start one of them early, or in vain, but never for less or more than one cycle.
 
-Words and phrases are told apart by 64-bit hashes of all their words and the language. A phrase's row
-also has the hashes of its two parts, so 192 bits must agree for two phrases to be taken for one.
+A scan's counts go to buckets of the phrases' hashes as sorted arrays, and are merged there with what the
+bucket holds. A bucket forgets what is not frequent after its cycle. Buckets grow in number with the
+corpus; the largest thing in one place is a bucket, or a map of 8 MB.
+
+Words and phrases are told apart by 62 bits of hash and their length.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, shared_dir, stored
-from .filters import key_filter, passes
+from .filters import passes
 from .words import Block, Rolling, blocks, column, mixed, ranges
 
 LEAST = 30
@@ -37,10 +41,19 @@ SHARE = 80
 TOP = 2000
 #: Rows in a row that go to the same shard.
 DEALT = 64
+#: Bytes of text for each bucket of counts: three million words at most, fifty megabytes of arrays.
+GRAIN = 16_000_000
+#: Hashes that a task gathers before it sorts, counts and sends them.
+GATHERED = 1 << 22
+#: A map of what is frequent has at most 2^26 bits.
+MOST_BITS = 26
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = "len int, k bigint, p bigint, s bigint, lang string, word string, n bigint"
-_KEY = ["len", "k", "p", "s", "lang", "word"]
+_LENGTH = np.uint64(3)
+_NEVER = np.iinfo(np.uint16).max
+_SENT = "bucket int, keys binary, counts binary"
+_STATE = f"{_SENT}, firsts binary, steps binary, reached binary"
+_NAMED = "len int, k bigint, p bigint, s bigint, lang string, word string, n bigint"
 
 
 def _classes() -> np.ndarray:
@@ -57,19 +70,20 @@ _CLASSES = _classes()
 
 
 class Phrases:
-    """The words of a block, and of each place the hash of the phrase of any length that begins there."""
+    """The words of a block, and of each place the hash of the phrase of any length that begins there.
+    The lowest two bits of a hash are the number of words less one."""
 
     def __init__(self, block: Block, seeds: np.ndarray):
         self.block = Block(_CLASSES[block.data], block.offsets, block.rows)
         self.start, self.end, self.text = self.block.words()
         spans = Rolling(self.block.data, 21).spans(self.start, self.end)
-        self.words = mixed(spans + seeds[block.rows][self.text] * _ODD)
+        self.words = mixed(spans + seeds[block.rows][self.text] * _ODD) & ~_LENGTH
         piece = np.cumsum(self.block.data == 0x0A)[self.start] if len(self.start) else self.start
         self.joined = (self.text[1:] == self.text[:-1]) & (piece[1:] == piece[:-1])
 
     def longer(self, shorter: np.ndarray, length: int) -> np.ndarray:
         """Hashes of ``length`` words from those of one word less."""
-        return mixed(shorter[:-1] * _ODD + self.words[length - 1 :])
+        return (mixed(shorter[:-1] * _ODD + self.words[length - 1 :]) & ~_LENGTH) | np.uint64(length - 1)
 
     def spelt(self, at: np.ndarray) -> pa.Array:
         """The words at some places as strings."""
@@ -78,146 +92,279 @@ class Phrases:
         data = self.block.data[ranges(self.start[at], sizes)]
         return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
-
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each different key is first met in sorted order, how often it occurs)."""
-    order = np.argsort(keys)
+    def active(self, longest: int, now: np.ndarray, before: np.ndarray | None):
+        """(length, keys, where) for each length from two: the hash at each place, and the places whose
+        both parts are in the map ``now`` and not both in ``before`` already."""
+        shorter, valid = self.words, np.ones(len(self.words), bool)
+        for length in range(2, longest + 1):
+            often = valid & passes(now, shorter)
+            pairs = often[:-1] & often[1:]
+            if length == 2:
+                pairs &= self.joined
+            if not pairs.any():
+                return
+            keys = self.longer(shorter, length)
+            old = passes(before, shorter) if before is not None else np.zeros(len(shorter), bool)
+            yield length, keys, shorter, np.flatnonzero(pairs & ~(old[:-1] & old[1:]))
+            shorter, valid = keys, pairs
+
+
+def _summed(keys: np.ndarray, *columns: tuple[np.ufunc, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sorted different keys, and each column reduced over the rows of a key."""
+    if not len(keys):
+        return keys, *(held for _, held in columns)
+    order = np.argsort(keys, kind="stable")
     held = keys[order]
     begin = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    return order[begin], np.diff(np.append(begin, len(held)))
+    return held[begin], *(how.reduceat(values[order], begin) for how, values in columns)
+
+
+def _sent(gathered: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of hashes as sorted arrays, one row for each bucket that has any."""
+    keys = np.sort(np.concatenate(gathered))
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(begin, len(keys))).astype("<u4")
+    keys = keys[begin]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+    for few in range(0, len(first), 64):
+        cuts = [*first[few : few + 64], *(first[few + 64 : few + 65] or [len(keys)])]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[cuts[:-1]].astype(np.int32)),
+                *(pa.array([held[a:b].tobytes() for a, b in spans], pa.binary()) for held in (keys, counts)),
+            ],
+            names=["bucket", "keys", "counts"],
+        )
+
+
+def _scanned(words: bool, longest: int, buckets: int, maps: Broadcast):
+    """Counts of one shard: its words if ``words``, and the phrases that are in their cycle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = maps.value
+        gathered, size = [], 0
+        for batch in batches:
+            seeds = batch.column("seed").to_numpy().view(np.uint64)
+            for block in blocks(*column(batch, "text")):
+                found = Phrases(block, seeds)
+                some = [found.words] if words and len(found.words) else []
+                if now is not None and len(found.words):
+                    some += [keys[at] for _, keys, _, at in found.active(longest, now, before)]
+                gathered += some
+                size += sum(map(len, some))
+                if size >= GATHERED:
+                    yield from _sent(gathered, buckets)
+                    gathered, size = [], 0
+        if size:
+            yield from _sent(gathered, buckets)
 
-def _rows(length: int, k, p, s, n, lang=None, word=None) -> pa.RecordBatch:
-    size = len(n)
-    as_long = [pa.array(x.view(np.int64)) for x in (k, p, s)]
-    texts = [pa.nulls(size, pa.string()) if x is None else x for x in (lang, word)]
-    names = [c.split()[0] for c in _COUNTED.split(", ")]
-    arrays = [pa.array(np.full(size, length, np.int32)), *as_long, *texts, pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+    return run
+
+
+def _held(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    parts = [np.frombuffer(v.as_buffer(), kind) for v in table.column(name) if v.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _merged(scan: int, shards: int, least: int, longest: int):
+    """A bucket's counts with those of a scan; ``reached`` are the keys that became frequent with it."""
+
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        bucket = (old if old.num_rows else new).column("bucket")[0].as_py()
+        keys, counts = _summed(_held(new, "keys", "<u8"), (np.add, _held(new, "counts", "<u4").astype(np.int64)))
+        keys, counts, firsts, steps = _summed(
+            np.concatenate([_held(old, "keys", "<u8"), keys]),
+            (np.add, np.concatenate([_held(old, "counts", "<i8"), counts])),
+            (np.minimum, np.concatenate([_held(old, "firsts", "<u2"), np.full(len(keys), scan, np.uint16)])),
+            (np.minimum, np.concatenate([_held(old, "steps", "<u2"), np.full(len(keys), _NEVER, np.uint16)])),
+        )
+        often = counts >= least
+        steps[often & (steps == _NEVER)] = scan
+        stay = often | (scan < firsts.astype(np.int64) + shards - 1)
+        news = keys[(steps == scan) & ((keys & _LENGTH).astype(np.int64) < longest - 1)]
+        row = [keys[stay], counts[stay], firsts[stay], steps[stay], news]
+        names = [c.split()[0] for c in _STATE.split(", ")]
+        return pa.table([pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=names)
+
+    return run
 
 
-def _scanned(words: bool, longest: int, frequent: Broadcast | None, recent: Broadcast | None):
-    """Counts of one shard: words and their number if ``words``; phrases whose parts pass the filters."""
+def _unpacked(least: int | None):
+    """Rows of the keys that a scan made frequent, or of all that are frequent with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if least is None:
+                yield pa.RecordBatch.from_arrays([pa.array(_held(table, "reached", "<i8"))], names=["k"])
+                continue
+            counts = _held(table, "counts", "<i8")
+            often = counts >= least
+            made = [pa.array(_held(table, "keys", "<i8")[often]), pa.array(counts[often])]
+            yield pa.RecordBatch.from_arrays(made, names=["k", "a"])
+
+    return run
+
+
+def _marked(keys: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2^bits bits with the leading bits of each key set; the driver sees its words only."""
+    place = F.shiftrightunsigned(F.col("k"), 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(F.shiftrightunsigned(place, 6).cast("int").alias("word"), bit.alias("bit"))
+    made = np.zeros(1 << (bits - 6), np.uint64)
+    for batch in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+        made[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    return made
+
+
+class Shards:
+    """Texts written once by shard; which shard a text is in does not matter to any result."""
+
+    def __init__(self, docs: DataFrame, text: str, lang: str, shards: int):
+        named = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
+        number = F.monotonically_increasing_id()
+        run = F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / DEALT)
+        rows = docs.select(
+            F.col(text).alias("text"), named.alias("lang"), F.xxhash64(named).alias("seed"), F.octet_length(text).alias("size"),
+            F.pmod(F.shiftright(number, 33) + run, F.lit(shards)).cast("int").alias("shard"),
+        )
+        self.spark, self.number = docs.sparkSession, shards
+        self.table = stored_by(rows, "shard")
+        self.bytes = self.table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    def shard(self, scan: int) -> DataFrame:
+        return self.table.where(F.col("shard") == scan % self.number).select("text", "seed")
+
+
+def stored_by(rows: DataFrame, column: str) -> DataFrame:
+    """As ``stored``, in one folder for each value of a column."""
+    spark = rows.sparkSession
+    place = f"{shared_dir(spark)}/dealt-{uuid.uuid4().hex}"
+    rows.write.partitionBy(column).parquet(place)
+    table = spark.read.schema(rows.schema).parquet(place)
+    table._nitlake_place = place
+    return table
+
+
+def counted(texts: Shards, least: int = LEAST, longest: int = LONGEST, grain: int = GRAIN) -> tuple[DataFrame, int]:
+    """The buckets after the last scan, a stored table, and how many bits a map of its keys has."""
+    spark, shards = texts.spark, texts.number
+    buckets = max(1, -(-texts.bytes // grain))
+    bits = int(np.clip((int(texts.bytes) >> 5).bit_length(), 10, MOST_BITS))
+    state = spark.createDataFrame([], _STATE)
+    maps = [np.zeros(1 << (bits - 6), np.uint64)]
+    scan = 0
+    while True:
+        now, before = maps[-1], maps[0] if scan >= shards else None
+        if before is not None and (now == before).all():
+            return state, bits
+        sent = spark.sparkContext.broadcast((now if now.any() else None, before))
+        found = texts.shard(scan).mapInArrow(_scanned(scan < shards, longest, buckets, sent), _SENT)
+        both = state.groupBy("bucket").cogroup(found.groupBy("bucket"))
+        after = stored(both.applyInArrow(_merged(scan, shards, least, longest), _STATE), "phrases")
+        sent.destroy()
+        if scan:
+            discard(state)
+        state = after
+        reached = state.select("reached").mapInArrow(_unpacked(None), "k bigint")
+        # The maps before the scans of one cycle, and before the next.
+        maps = [*maps[-shards:], now | _marked(reached, bits)]
+        scan += 1
+
+
+def _naming(longest: int, frequent: Broadcast):
+    """Names of the words and parts of the phrases that the map holds, each once per task or so, as rows
+    of _NAMED; and, as rows of length 0, how many words each language has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = frequent.value
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
             seeds = batch.column("seed").to_numpy().view(np.uint64)
             langs = batch.column("lang")
             for block in blocks(*column(batch, "text")):
                 found = Phrases(block, seeds)
-                if not len(found.start):
+                if not len(found.words):
                     continue
-                row = found.text + block.rows.start
-                if words:
-                    at, n = _distinct(found.words)
-                    key = found.words[at]
-                    yield _rows(1, key, key, key, n, langs.take(pa.array(row[at])), found.spelt(at))
-                    at, n = _distinct(seeds[row])
-                    key = seeds[row[at]]
-                    yield _rows(0, key, key, key, n, langs.take(pa.array(row[at])))
-                if frequent is not None:
-                    yield from _longer(found, longest, frequent.value, recent.value)
+                row = pa.array(found.text + block.rows.start)
+                _, n, at = _summed(seeds[row], (np.add, np.ones(len(row), np.int64)), (np.minimum, np.arange(len(row))))
+                yield _named(0, seeds[row][at], None, None, langs.take(row.take(pa.array(at))), None, n)
+                levels = [(1, found.words, None, np.arange(len(found.words)))]
+                for length, keys, shorter, at in (*levels, *found.active(longest, held, None)):
+                    at = at[passes(held, keys[at])]
+                    key, at = _summed(keys[at], (np.minimum, at))
+                    new = ~_among(key, seen)
+                    key, at = key[new], at[new]
+                    seen = np.sort(np.concatenate([seen, key])) if len(seen) < GATHERED else key
+                    one = np.ones(len(key), np.int64)
+                    if length == 1:
+                        yield _named(1, key, None, None, langs.take(row.take(pa.array(at))), found.spelt(at), one)
+                    else:
+                        yield _named(length, key, shorter[at], shorter[at + 1], None, None, one)
 
     return run
 
 
-def _longer(found: Phrases, longest: int, frequent: np.ndarray, recent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    shorter, valid = found.words, np.ones(len(found.words), bool)
-    for length in range(2, longest + 1):
-        often = valid & passes(frequent, shorter)
-        pairs = often[:-1] & often[1:]
-        if length == 2:
-            pairs &= found.joined
-        if not pairs.any():
-            return
-        late = passes(recent, shorter)
-        keys = found.longer(shorter, length)
-        pick = np.flatnonzero(pairs & (late[:-1] | late[1:]))
-        if len(pick):
-            at, n = _distinct(keys[pick])
-            at = pick[at]
-            yield _rows(length, keys[at], shorter[at], shorter[at + 1], n)
-        shorter, valid = keys, pairs
-
-
-def _dealt(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
-    """Texts written once, by shard; which shard a text is in does not matter to any result."""
-    named = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
-    number = F.monotonically_increasing_id()
-    shard = F.pmod(F.shiftright(number, 33) + F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / DEALT), F.lit(shards))
-    rows = docs.select(F.col(text).alias("text"), named.alias("lang"), F.xxhash64(named).alias("seed"), shard.cast("int").alias("shard"))
-    place = f"{shared_dir(docs.sparkSession)}/shards-{_name()}"
-    rows.write.partitionBy("shard").parquet(place)
-    schema = "text string, lang string, seed bigint, shard int"
-    table = docs.sparkSession.read.schema(schema).parquet(place)
-    table._nitlake_place = place
-    return table
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def _name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
+def _named(length: int, k, p, s, lang, word, n) -> pa.RecordBatch:
+    size = len(n)
+    numbers = [pa.nulls(size, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (k, p, s)]
+    texts = [pa.nulls(size, pa.string()) if x is None else x for x in (lang, word)]
+    names = [c.split()[0] for c in _NAMED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, length, np.int32)), *numbers, *texts, pa.array(n)], names=names)
 
 
 def counts(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    least: int = LEAST,
+    longest: int = LONGEST,
+    shards: int = SHARDS,
+    grain: int = GRAIN,
 ) -> DataFrame:
-    """(len, k, p, s, lang, word, n) of all words and phrases of up to ``longest`` words that occur
+    """(len, k, p, s, lang, word, a) of all words and phrases of up to ``longest`` words that occur
     ``least`` times or more in a language, and one row of length 0 per language with all its words.
 
     ``k`` is the hash, ``p`` and ``s`` those of the first and last words without one; ``lang`` and
-    ``word`` are given for single words. The table is stored.
+    ``word`` are given for single words. A phrase whose parts are not frequent (its hash is that of
+    another) is not among them. The table is stored.
     """
-    spark = docs.sparkSession
-    dealt = _dealt(docs, text, lang, shards)
-    state = spark.createDataFrame([], f"{_COUNTED}, start int, step int")
-    state = stored(state, "phrases")
-    scan = 0
-    while True:
-        parts = state.where((F.col("step").isNotNull()) & F.col("len").between(1, longest - 1))
-        late = F.col("step") >= scan - shards
-        known, new = parts.agg(F.count(F.lit(1)), F.count_if(late)).first()
-        if scan >= shards and not new:
-            break
-        frequent = key_filter(parts.select("k"), "k", known) if new else None
-        recent = frequent if new == known else key_filter(parts.where(late).select("k"), "k", new)
-        mine = dealt.where(F.col("shard") == scan % shards).select("text", "lang", "seed")
-        found = mine.mapInArrow(_scanned(scan < shards, longest, frequent, recent), _COUNTED)
-        found = found.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-        reached = parts.select("k", "step")
-        first = reached.select(F.col("k").alias("p"), F.col("step").alias("step_p"))
-        last = reached.select(F.col("k").alias("s"), F.col("step").alias("step_s"))
-        start = F.when(F.col("len") < 2, F.lit(0)).otherwise(F.greatest("step_p", "step_s") + 1)
-        both = (F.col("len") < 2) | (F.col("step_p").isNotNull() & F.col("step_s").isNotNull())
-        active = found.join(first, "p", "left").join(last, "s", "left").where(both).withColumn("start", start)
-        # A phrase is counted from its start on, for one cycle.
-        active = active.where((F.col("start") <= scan) & (F.lit(scan) < F.col("start") + shards))
-        merged = state.unionByName(active.select(*_KEY, "n", "start", F.lit(None).cast("int").alias("step")))
-        merged = merged.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("step").alias("step"))
-        merged = merged.withColumn("step", F.coalesce("step", F.when(F.col("n") >= least, F.lit(scan))))
-        open_ = F.col("start") + shards - 1 > scan
-        after = stored(merged.where(open_ | F.col("step").isNotNull() | (F.col("len") == 0)), "phrases")
-        discard(state)
-        state = after
-        for filter in {id(f): f for f in (frequent, recent) if f is not None}.values():
-            filter.destroy()
-        scan += 1
-    discard(dealt)
-    return state.drop("start", "step")
+    if not 2 <= longest <= 4:
+        raise ValueError("phrases have two to four words")
+    texts = Shards(docs, text, lang, shards)
+    state, bits = counted(texts, least, longest, grain)
+    frequent = stored(state.mapInArrow(_unpacked(least), "k bigint, a bigint"), "phrases")
+    sent = docs.sparkSession.sparkContext.broadcast(_marked(frequent.select("k"), bits))
+    rows = texts.table.select("text", "lang", "seed").mapInArrow(_naming(longest, sent), _NAMED)
+    names = rows.groupBy("len", "k", "p", "s", "lang", "word").agg(F.sum("n").alias("n"))
+    found = names.join(frequent, "k", "left").where("len = 0 OR a IS NOT NULL")
+    found = found.select("len", "k", "p", "s", "lang", "word", F.when(F.col("len") == 0, F.col("n")).otherwise(F.col("a")).alias("a"))
+    made = stored(found, "phrases")
+    sent.destroy()
+    discard(state, frequent, texts.table)
+    return made
 
 
 def phrases(frequent: DataFrame, longest: int = LONGEST) -> list[DataFrame]:
     """Per length, (k, p, s, lang, phrase, a, heads, tails): ``heads`` are the counts of the first 1, 2,
     ... words, ``tails`` of the last ones. Each length is put together from the one before and stored."""
-    words = frequent.where("len = 1 AND n IS NOT NULL")
-    one = F.array("n")
-    levels = [words.select("k", "p", "s", "lang", F.col("word").alias("phrase"), F.col("n").alias("a"), one.alias("heads"), one.alias("tails"))]
+    one = F.array("a")
+    words = frequent.where("len = 1")
+    levels = [words.select("k", "p", "s", "lang", F.col("word").alias("phrase"), "a", one.alias("heads"), one.alias("tails"))]
     for length in range(2, longest + 1):
         shorter = levels[-1]
         first = shorter.select(F.col("k").alias("p"), "lang", F.col("phrase").alias("begin"), "heads")
         last = shorter.select(F.col("k").alias("s"), F.substring_index("phrase", " ", -1).alias("close"), "tails")
-        rows = frequent.where(F.col("len") == length).select("k", "p", "s", F.col("n").alias("a")).join(first, "p").join(last, "s")
+        rows = frequent.where(F.col("len") == length).select("k", "p", "s", "a").join(first, "p").join(last, "s")
         made = rows.select(
             "k", "p", "s", "lang", F.concat_ws(" ", "begin", "close").alias("phrase"), "a",
             F.concat("heads", F.array("a")).alias("heads"), F.concat("tails", F.array("a")).alias("tails"),
@@ -246,6 +393,7 @@ def collocations(
     share: int = SHARE,
     top: int = TOP,
     shards: int = SHARDS,
+    grain: int = GRAIN,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of every language.
 
@@ -257,9 +405,8 @@ def collocations(
     language is ``und``, repeated rows count again, other columns (also doc_id) are ignored; an empty
     table gives no rows. Only the report's length is limited.
     """
-    frequent = counts(docs, text, lang, least, longest, shards)
-    # Words that are not frequent are gone by now, those of the last scans included.
-    levels = phrases(frequent.where((F.col("len") == 0) | (F.col("n") >= least)), longest)
+    frequent = counts(docs, text, lang, least, longest, shards, grain)
+    levels = phrases(frequent, longest)
     scored, holders = [], []
     for length in range(2, longest + 1):
         level = levels[length - 1]
@@ -277,7 +424,7 @@ def collocations(
         candidates = candidates.join(held, "k", "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
     best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    total = frequent.where("len = 0").select("lang", F.col("n").alias("n"))
+    total = frequent.where("len = 0").select("lang", F.col("a").alias("n"))
     return ranked.join(total, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
         "n", F.col("cut.score").alias("score"),
