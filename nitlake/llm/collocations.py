@@ -8,9 +8,10 @@ whole corpus, and no phrase that is frequent is missed, since its parts are at l
 it before they are done themselves. Scans of several lengths are the same scan.
 
 What has become frequent is kept as bits of a map of bounded size, one for each scan. A phrase starts
-with the first scan in whose map the bits of both its parts are set, and is over when they were set a
-cycle ago; both are read off two maps where the text is, and no candidates are made up. Bits that two
-phrases share start one of them early, or in vain, but never for less or more than one cycle.
+with the first scan in whose map the bits of both its parts (and of theirs) are set, and is over when they
+were set a cycle ago; both are read off two maps where the text is, and no candidates are made up. Bits
+are never taken back. Those that two phrases share start one of them early, or in vain, but never for
+less or more than one cycle.
 
 A scan's counts go to buckets of the phrases' hashes as sorted arrays, and are merged there with what the
 bucket holds. A bucket forgets what is not frequent after its cycle. Buckets grow in number with the
@@ -93,9 +94,11 @@ class Phrases:
         return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
     def active(self, longest: int, now: np.ndarray, before: np.ndarray | None):
-        """(length, keys, where) for each length from two: the hash at each place, and the places whose
-        both parts are in the map ``now`` and not both in ``before`` already."""
-        shorter, valid = self.words, np.ones(len(self.words), bool)
+        """(length, keys, keys of one word less, where) for each length from two: the hashes at each place,
+        and the places whose phrase, its parts, their parts and so on are all in the map ``now``, and were
+        not all in the map ``before``."""
+        shorter = self.words
+        valid, over = np.ones(len(shorter), bool), np.full(len(shorter), before is not None)
         for length in range(2, longest + 1):
             often = valid & passes(now, shorter)
             pairs = often[:-1] & often[1:]
@@ -103,9 +106,11 @@ class Phrases:
                 pairs &= self.joined
             if not pairs.any():
                 return
+            if before is not None:
+                over = over & passes(before, shorter)
+            over = over[:-1] & over[1:]
             keys = self.longer(shorter, length)
-            old = passes(before, shorter) if before is not None else np.zeros(len(shorter), bool)
-            yield length, keys, shorter, np.flatnonzero(pairs & ~(old[:-1] & old[1:]))
+            yield length, keys, shorter, np.flatnonzero(pairs & ~over)
             shorter, valid = keys, pairs
 
 
@@ -405,7 +410,11 @@ def collocations(
     language is ``und``, repeated rows count again, other columns (also doc_id) are ignored; an empty
     table gives no rows. Only the report's length is limited.
     """
-    frequent = counts(docs, text, lang, least, longest, shards, grain)
+    return ranked(counts(docs, text, lang, least, longest, shards, grain), longest, share, top)
+
+
+def ranked(frequent: DataFrame, longest: int = LONGEST, share: int = SHARE, top: int = TOP) -> DataFrame:
+    """The report of :func:`collocations` from the table of :func:`counts`."""
     levels = phrases(frequent, longest)
     scored, holders = [], []
     for length in range(2, longest + 1):
@@ -423,9 +432,9 @@ def collocations(
         held = held.groupBy("k").agg(F.max("longer").alias("longer"))
         candidates = candidates.join(held, "k", "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
     best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    first = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     total = frequent.where("len = 0").select("lang", F.col("a").alias("n"))
-    return ranked.join(total, "lang").select(
+    return first.join(total, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
         "n", F.col("cut.score").alias("score"),
     )
