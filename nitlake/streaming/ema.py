@@ -2,56 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState
 
-from .flicker import timeout_for
+from .order import in_order
 
 APPLIED = "video bigint, ordinal bigint, applied array<double>"
 
 
-def smoothed(params: DataFrame, alpha: float, quiet_ms: int | None = None) -> DataFrame:
-    """A stream of applied parameters; the state of a video is what was applied last.
+def smoothed(params: DataFrame, alpha: float, late: str = "1 minute", quiet_ms: int | None = None) -> DataFrame:
+    """A stream of applied parameters; what a video carries on is what was applied last.
 
-    ``params`` is a stream of ``video, ts, ordinal, params`` whose rows of a video arrive in
-    order from one micro-batch to the next; the state keeps the last place, and a row that comes
-    after a later one is an error, as what was applied in between cannot be taken back. In a
-    stream that never ends, ``quiet_ms`` closes a video that has sent nothing for that long.
+    ``params`` is a stream of ``video, ts, ordinal, params``. Rows may come ``late`` behind newer ones and
+    in any order within that; they are smoothed in the order of ``(ts, ordinal)``. See :func:`in_order`.
     """
     if not 0.0 <= alpha < 1.0:
         raise ValueError("alpha must lie in [0, 1)")
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        arrived = pd.concat(list(batches)).sort_values(["ts", "ordinal"])
-        places = list(zip(arrived["ts"].astype("int64"), arrived["ordinal"]))
-        block = np.array(arrived["params"].tolist(), float)
-        start = 0
-        if state.exists:
-            last, *place = state.get
-            if places[0] <= tuple(place):
-                raise ValueError(f"row {places[0]} of video {key[0]} came after row {tuple(place)}")
-            last = np.array(last)
-        else:
-            last, start = block[0].copy(), 1
+    def advance(key: tuple, before: tuple | None, rows: list[tuple]) -> tuple[pd.DataFrame, tuple]:
+        block = np.array([np.frombuffer(row[1]) for row in rows])
+        last, start = (block[0].copy(), 1) if before is None else (np.frombuffer(before[0]), 0)
         for row in block[start:]:  # in place: row by row, all parameters of a row at once
             row *= 1 - alpha
             row += alpha * last
             last = row
-        state.update((block[-1].tolist(), int(places[-1][0]), int(places[-1][1])))
-        applied = list(block)
-        if quiet_ms is not None:
-            state.setTimeoutDuration(quiet_ms)
-        yield pd.DataFrame({"video": key[0], "ordinal": arrived["ordinal"], "applied": applied})
-
-    return params.groupBy("video").applyInPandasWithState(
-        step, APPLIED, "applied array<double>, ts bigint, ordinal bigint", "append", timeout_for(quiet_ms)
-    )
+        made = pd.DataFrame({"video": key[0], "ordinal": [row[0] for row in rows], "applied": list(block)})
+        return made, (block[-1],)
+
+    slim = params.select("video", "ts", "ordinal", "params")
+    return in_order(slim, ["video"], "ts", ["ordinal"], advance, "applied binary", APPLIED, late, quiet_ms)

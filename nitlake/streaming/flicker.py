@@ -2,62 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .order import in_order
 
 STEP = "video bigint, variant string, tile int, frame bigint, pred double, target double"
-_STATE = "frame bigint, pred binary, target binary"
 
 
-def flicker_steps(frames: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+def flicker_steps(frames: DataFrame, late: str = "1 minute", quiet_ms: int | None = None) -> DataFrame:
     """A stream of per-tile changes; sums over tiles are those of the batch form.
 
-    ``frames`` is a stream of ``video, variant, tile, frame, pred, target`` in frame order
-    from one micro-batch to the next. The state of a tile is its last frame. In a stream
-    that never ends, ``quiet_ms`` closes a tile that has sent nothing for that long; a
-    stream that runs over what is available and stops must not have such a timer.
+    ``frames`` is a stream of ``video, variant, tile, ts, frame, pred, target``. Frames may come ``late``
+    behind newer ones and in any order within that; a tile carries its last frame on. See :func:`in_order`.
     """
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        arrived = pd.concat(list(batches)).sort_values("frame")
-        last, planes = None, None
-        if state.exists:
-            last, *stored = state.get
-            planes = [np.frombuffer(data) for data in stored]
-        rows = []
-        for row in arrived.itertuples(index=False):
-            if last is not None and row.frame <= last:
-                raise ValueError(f"frame {row.frame} of {key} came after frame {last}")
-            now = [np.asarray(row.pred, float), np.asarray(row.target, float)]
+    def advance(key: tuple, before: tuple | None, rows: list[tuple]) -> tuple[pd.DataFrame, tuple]:
+        last = None if before is None else [np.frombuffer(data) for data in before]
+        made = []
+        for frame, *planes in rows:
+            now = [np.frombuffer(plane) for plane in planes]
             change = (None, None)
-            if planes is not None:
-                change = tuple(float(np.abs(a - b).sum()) for a, b in zip(now, planes))
-            rows.append((*key, row.frame, *change))
-            last, planes = row.frame, now
-        state.update((int(last), planes[0].tobytes(), planes[1].tobytes()))
-        if quiet_ms is not None:
-            state.setTimeoutDuration(quiet_ms)
-        yield pd.DataFrame(rows, columns=["video", "variant", "tile", "frame", "pred", "target"])
-
-    timer = timeout_for(quiet_ms)
-    keyed = frames.groupBy("video", "variant", "tile")
-    return keyed.applyInPandasWithState(step, STEP, _STATE, "append", timer)
-
-
-def timeout_for(quiet_ms: int | None) -> str:
-    if quiet_ms is None:
-        return GroupStateTimeout.NoTimeout
-    return GroupStateTimeout.ProcessingTimeTimeout
+            if last is not None:
+                if any(len(a) != len(b) for a, b in zip(now, last, strict=True)):
+                    raise ValueError(f"frames of {key} differ in size")
+                change = tuple(float(np.abs(a - b).sum()) for a, b in zip(now, last, strict=True))
+            made.append((*key, frame, *change))
+            last = now
+        names = ["video", "variant", "tile", "frame", "pred", "target"]
+        return pd.DataFrame(made, columns=names), tuple(last)
+
+    slim = frames.select("video", "variant", "tile", "ts", "frame", "pred", "target")
+    keys = ["video", "variant", "tile"]
+    return in_order(slim, keys, "ts", ["frame"], advance, "pred binary, target binary", STEP, late, quiet_ms)
 
 
 def frame_steps(steps: DataFrame) -> DataFrame:

@@ -31,34 +31,66 @@ def arriving(spark, df, folder, parts):
 
 
 def test_flicker_stream_equals_batch(spark, tmp_path):
+    """Frames come one micro-batch late or early; the last micro-batch only moves the watermark."""
     rng = np.random.default_rng(4)
     rows = [
-        (v, "m", n, rng.random(50).tolist(), rng.random(50).tolist(), n // 3)
+        (v, "m", n, rng.random(50).tolist(), rng.random(50).tolist(), n // 3 + int(rng.integers(0, 2)))
         for v in range(3) for n in range(9)
     ] + [(9, "m", 0, [1.0] * 50, [1.0] * 50, 0)]
-    df = spark.createDataFrame(rows, "video long, variant string, frame long, pred array<double>, target array<double>, _part int")
-    stream = arriving(spark, df, tmp_path / "in", 3)
-    stored = run(flicker_steps(tiles(stream, size=16)), tmp_path / "out")
+    end = [(99, "m", 1000, [0.0], [0.0], 4)]
+    schema = "video long, variant string, frame long, pred array<double>, target array<double>, _part int"
+    df, marked = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + end, schema)
+    timed = marked.withColumn("ts", F.timestamp_seconds(F.col("frame") + 100))
+    stream = arriving(spark, timed, tmp_path / "in", 5)
+    stored = run(flicker_steps(tiles(stream, size=16), "4 seconds"), tmp_path / "out")
     keys = ["video", "variant"]
     got = flick.flicker(frame_steps(stored), keys).orderBy("video").toPandas()
     pixels = df.select("video", "variant", "frame", F.posexplode(F.arrays_zip("pred", "target")).alias("x", "z"))
     pixels = pixels.select("video", "variant", "frame", "x", "z.pred", "z.target")
     want = flick.flicker(flick.transitions(pixels, keys, "frame", ["x"]), keys).orderBy("video").toPandas()
+    assert got["video"].tolist() == want["video"].tolist()
     np.testing.assert_allclose(got["flicker_excess"], want["flicker_excess"], rtol=1e-9)
     assert got["temporal"].iloc[-1] == flick.SINGLE
 
 
+PARAMS = "video long, ordinal long, x double, _part int"
+
+
+def params(df):
+    return df.select("video", F.timestamp_seconds(F.col("ordinal") + 100).alias("ts"), "ordinal", F.array("x").alias("params"), "_part")
+
+
 def test_ema_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(6)
-    rows = [(v, n, float(rng.normal()), n // 10) for v in range(3) for n in range(40)]
-    df = spark.createDataFrame(rows, "video long, ordinal long, x double, _part int")
-    wide = df.select("video", F.timestamp_seconds("ordinal").alias("ts"), "ordinal", F.array("x").alias("params"), "_part")
-    stored = run(smoothed(arriving(spark, wide, tmp_path / "in", 4), 0.8), tmp_path / "out")
+    rows = [(v, n, float(rng.normal()), n // 10 + int(rng.integers(0, 2))) for v in range(3) for n in range(40)]
+    df = spark.createDataFrame(rows, PARAMS)
+    stream = arriving(spark, params(spark.createDataFrame(rows + [(99, 1000, 0.0, 5)], PARAMS)), tmp_path / "in", 6)
+    stored = run(smoothed(stream, 0.8, "11 seconds"), tmp_path / "out")
     got = stored.select("video", "ordinal", F.get("applied", F.lit(0)).alias("x")).orderBy("video", "ordinal").toPandas()
     want = smooth(df, ["video"], "ordinal", ["x"], 0.8).orderBy("video", "ordinal").toPandas()
     np.testing.assert_allclose(got["x"], want["x"], rtol=1e-9)
 
 
+def test_state_is_bounded_and_late_rows_are_counted(spark, tmp_path):
+    """Rows wait no longer than the watermark; a quiet video is forgotten and starts afresh; a row behind
+    the watermark is left out and counted."""
+    rows = [(0, n, float(n), n // 10) for n in range(60)] + [(1, n, 1.0, 0) for n in range(3)] + [(1, 58, 5.0, 5)]
+    rows += [(0, 5, -1.0, 5), (99, 1000, 0.0, 6)]
+    stream = arriving(spark, params(spark.createDataFrame(rows, PARAMS)), tmp_path / "in", 7)
+    made = smoothed(stream, 0.5, "10 seconds", quiet_ms=20_000)
+    query = made.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s"))
+    query = query.trigger(availableNow=True).start(str(tmp_path / "o"))
+    assert query.awaitTermination(240)
+    told = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert sum(t.numRowsDroppedByWatermark for t in told) == 1
+    stored = spark.read.parquet(str(tmp_path / "o"))
+    got = {(r.video, r.ordinal): r.applied[0] for r in stored.collect()}
+    assert len(got) == 60 + 4 and stored.count() == 64
+    assert got[1, 2] == 1.0 and got[1, 58] == 5.0
+    # Of the 60 rows of a video no more wait than two micro-batches hold, and one state per video.
+    assert max(t.numRowsTotal for t in told) <= 40
+
+
 def test_curation_stream_takes_each_frame_once(spark, tmp_path):
     """Videos of several frames over several micro-batches, run twice on one checkpoint and once on another."""
     rows = [(v, f, f % 2) for v in "abc" for f in range(3)] + [("a", 0, 1), ("d", 7, 1)]
@@ -81,15 +113,6 @@ def test_frames_are_written_as_they_arrive(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "png").iterdir()) == [f"hdr_{n:06d}.png" for n in range(3)]
 
 
-def test_late_parameters_are_an_error(spark, tmp_path):
-    """Smoothing depends on the order: rows that come after later ones must not pass unnoticed."""
-    rows = [(0, n, [float(n)], n < 3) for n in range(6)]
-    df = spark.createDataFrame(rows, "video long, ordinal long, params array<double>, early boolean")
-    df = df.select("video", F.timestamp_seconds("ordinal").alias("ts"), "ordinal", "params", F.col("early").cast("int").alias("_part"))
-    with pytest.raises(Exception, match="came after"):
-        run(smoothed(arriving(spark, df, tmp_path / "in", 2), 0.8), tmp_path / "out")
-
-
 def test_bad_alpha(spark):
     with pytest.raises(ValueError):
         smoothed(spark.range(1), 1.0)
