@@ -36,27 +36,54 @@ def _place(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _finish(stream, place):
-    """Write a stream to the shared folder until its input is used up, and read it back."""
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state")
-    writer.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
+PARTS = 2
+
+
+def _late_by_a_part(rows, mark, place, made):
+    """Run ``made`` (a stream and a lateness to a stream) over ``rows`` that arrive out of order.
+
+    Time is cut into PARTS spans; a row arrives with its own span or, as its hash has it, with the next.
+    Each arrival is one micro-batch of a query that is started again on its checkpoint. The last one
+    brings ``mark`` alone, newer than all: it takes the watermark past what still waits.
+    """
+    spark = rows.sparkSession
+    micros = F.unix_micros("ts")
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    width = (high - low) // PARTS + 1
+    late = F.pmod(F.xxhash64("ts", "video"), F.lit(2))
+    dealt = rows.withColumn("part", F.floor((micros - low) / width) + late).persist()
+    newest = mark.withColumn("ts", F.timestamp_micros(F.lit(high + 10 * width)))
+    for part in range(PARTS + 2):
+        arrived = dealt.where(F.col("part") == part).drop("part") if part <= PARTS else newest
+        arrived.select(rows.columns).write.mode("append").parquet(f"{place}/arrived")
+        stream = made(spark.readStream.schema(rows.schema).parquet(f"{place}/arrived"), f"{width // 1000 + 1000} milliseconds")
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state")
+        writer.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()
+    dealt.unpersist()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
 @query("flicker_stream", q.rows(*_FLICKER, select=_FLICKER_SELECT))
 def flicker_stream(spark, folder):
-    planes = tables.planes_of(_stream(spark, folder, "embeddings"))
+    """Frames of all videos arrive out of order and in several micro-batches."""
+    planes = tables.planes_of(tables.table(spark, folder, "embeddings"))
     units = lambda code: pu21_encode(pq_eotf_nits(code))
     frames = planes.select(
         "video",
         F.lit("dimmed").alias("variant"),
+        F.timestamp_seconds(F.col("frame") + 86_400).alias("ts"),
         "frame",
         F.transform("plane", lambda c: units(c * num(0.9) + num(0.02))).alias("pred"),
         F.transform("plane", units).alias("target"),
     )
-    steps = stream_flicker.flicker_steps(flick.tiles(frames, size=32))
-    stored = _finish(steps, _place(spark, "flicker"))
-    found = flick.flicker(stream_flicker.frame_steps(stored), ["video"])
+    mark = spark.range(1).select(
+        F.lit(-1).cast(frames.schema["video"].dataType).alias("video"), F.lit("mark").alias("variant"),
+        F.lit(-1).cast(frames.schema["frame"].dataType).alias("frame"), F.array(F.lit(0.0)).alias("pred"), F.array(F.lit(0.0)).alias("target"),
+    )
+    steps = _late_by_a_part(
+        frames, mark, _place(spark, "flicker"), lambda arrived, late: stream_flicker.flicker_steps(flick.tiles(arrived, size=32), late)
+    )
+    found = flick.flicker(stream_flicker.frame_steps(steps), ["video"])
     return found.select(
         "video", *(round_to(F.col(n), 5).alias(n) for n in TEMPORAL_METRICS), "temporal"
     )
@@ -69,9 +96,14 @@ def flicker_stream(spark, folder):
     + " SELECT video, frame, ordinal FROM sig) s USING (video, frame)",
 )
 def tone_ema_stream(spark, folder):
-    events = tables.signal_of(_stream(spark, folder, "events"))
+    """Parameters of all videos arrive out of order and in several micro-batches."""
+    events = tables.signal_of(tables.table(spark, folder, "events"))
     params = events.select("video", "ts", "ordinal", F.array("nits").alias("params"))
-    stored = _finish(stream_ema.smoothed(params, 0.8), _place(spark, "ema"))
+    mark = spark.range(1).select(
+        F.lit(-1).cast(params.schema["video"].dataType).alias("video"),
+        F.lit(-1).cast(params.schema["ordinal"].dataType).alias("ordinal"), F.array(F.lit(0.0)).alias("params"),
+    )
+    stored = _late_by_a_part(params, mark, _place(spark, "ema"), lambda arrived, late: stream_ema.smoothed(arrived, 0.8, late))
     return stored.select("video", "ordinal", round_to(F.get("applied", F.lit(0)), 5).alias("applied"))
 
 
