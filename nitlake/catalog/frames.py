@@ -12,7 +12,7 @@ from ..functions.common import num, round_to
 from ..operators import codec, frames as fr
 from ..session import shared_dir
 from ..sinks.png import to_png, write_files
-from ..sources import png, tables
+from ..sources import pictures, png, tables
 from . import query
 from . import sqltext as q
 
@@ -385,3 +385,67 @@ def _tags(names):
             yield batch[KEYS].assign(tag=[None if t is None else t.hex() for t in found])
 
     return names.mapInPandas(run, "video bigint, frame bigint, tag string")
+
+
+def _written(spark, folder, depth, name):
+    """Frames as pictures of a folder, through the data source; the folder."""
+    pictures.register(spark)
+    planes = tables.frames(spark, folder)
+    colours = {"r": F.col("plane"), "g": F.transform("plane", lambda v: 1 - v), "b": F.transform("plane", lambda v: v * 0.5)}
+    named = planes.withColumns(colours | {"name": F.concat("video", F.lit("/"), "frame", F.lit(".png"))})
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}/{depth}"
+    writer = named.select("name", "height", "width", "r", "g", "b").write.format(pictures.FORMAT)
+    writer.mode("append").option("depth", depth).save(place)
+    return place
+
+
+def _named(path):
+    """The video and the frame that the path of a picture names."""
+    parts = F.split(F.regexp_extract(path, r"([^/]+/[^/]+)[.]png$", 1), "/")
+    return [parts[0].cast("bigint").alias("video"), parts[1].cast("bigint").alias("frame")]
+
+
+def _codes(found):
+    """Pixels of 8 by 8 pictures."""
+    spread = found.select("*", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "c"))
+    return spread.withColumns(
+        {"y": F.floor(F.col("i") / 8).cast("bigint"), "x": (F.col("i") % 8).cast("bigint")}
+        | {c: F.col(f"c.{c}").cast("bigint") for c in "rgb"}
+    )
+
+
+@query(
+    "picture_source",
+    q.rows(
+        q.PLANES,
+        select="SELECT video, frame, d.depth, y::BIGINT AS y, x::BIGINT AS x,"
+        + ",".join(
+            f" round_even(({v})*(CASE WHEN d.depth=16 THEN 65535e0 ELSE 255e0 END), 0)::BIGINT AS {c}"
+            for c, v in zip("rgb", ("code", "1e0-code", "code*5e-1"))
+        )
+        + ", CASE WHEN d.depth=16 THEN '09100001' END AS tag FROM planes, (VALUES (8),(16)) AS d(depth)",
+    ),
+)
+def picture_source(spark, folder):
+    """Frames of 8 and 16 bits written and read by the data source, all pixels."""
+    parts = []
+    for depth in (8, 16):
+        found = spark.read.format(pictures.FORMAT).load(_written(spark, folder, depth, "source"))
+        parts.append(_codes(found).select(*_named(F.col("path")), "depth", "y", "x", "r", "g", "b", "tag"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "picture_headers",
+    q.rows(
+        q.PLANES,
+        select="SELECT video, frame, max(y)::INTEGER + 1 AS height, max(x)::INTEGER + 1 AS width, 8 AS depth, 2 AS colour FROM planes"
+        " WHERE video % 2 = 0 GROUP BY video, frame",
+    ),
+)
+def picture_headers(spark, folder):
+    """What the headers say of the pictures of every other video; no plane is read."""
+    reader = spark.read.format(pictures.FORMAT).schema("path string, height int, width int, depth int, colour int")
+    found = reader.load(_written(spark, folder, 8, "headers")).where("depth = 8 AND height >= 8")
+    named = found.select(*_named(F.col("path")), "height", "width", "depth", "colour")
+    return named.where("video % 2 = 0")

@@ -13,14 +13,16 @@ from ..operators import flicker as flick
 from ..operators import pair
 from ..operators.metrics import TEMPORAL_METRICS
 from ..session import shared_dir
-from ..sources import tables
+from ..sources import pictures, tables
 from ..streaming import curate as stream_curate
 from ..streaming import ema as stream_ema
 from ..streaming import flicker as stream_flicker
+from ..streaming import pictures as stream_pictures
 from . import query
 from . import sqltext as q
 from .curation import _GRID
 from .evaluation import _FLICKER, _FLICKER_SELECT
+from .frames import _codes
 from .sampling import EMA_SQL
 
 
@@ -162,3 +164,24 @@ def curate_stream_turns(spark, folder):
         ).awaitTermination()
     stored = spark.read.parquet(f"{place}/manifest")
     return stored.select("video", "frame", "tmo", "crf", "sdr_key")
+
+
+@query(
+    "picture_stream",
+    q.rows(
+        q.PLANES,
+        select="SELECT video, frame, y::BIGINT AS y, x::BIGINT AS x, round_even(code*65535e0, 0)::BIGINT AS r,"
+        " round_even((1e0-code)*65535e0, 0)::BIGINT AS g, '09100001' AS tag FROM planes",
+    ),
+)
+def picture_stream(spark, folder):
+    """Frames arrive as a stream and leave as numbered, tagged pictures of each video."""
+    place = _place(spark, "written")
+    planes = tables.planes_of(_stream(spark, folder, "embeddings"))
+    frames = planes.withColumns({"r": F.col("plane"), "g": F.transform("plane", lambda v: 1 - v), "b": F.col("plane")})
+    stream_pictures.write_frames(frames, f"{place}/pictures", f"{place}/state", by="video").awaitTermination()
+    found = _codes(spark.read.format(pictures.FORMAT).load(f"{place}/pictures"))
+    named = F.regexp_extract("path", r"([^/]+)/hdr_([0-9]+)[.]png$", 1), F.regexp_extract("path", r"hdr_([0-9]+)[.]png$", 1)
+    return found.select(
+        named[0].cast("bigint").alias("video"), named[1].cast("bigint").alias("frame"), "y", "x", "r", "g", "tag"
+    )
