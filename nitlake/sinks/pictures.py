@@ -71,7 +71,7 @@ class _Writing:
             system.create_dir(parent, recursive=True)
         with ThreadPoolExecutor(MOVES) as pool:
             list(pool.map(lambda pair: system.move(pair[0], f"{root}/{pair[1]}"), files))
-        self._forget()
+        self._forget(messages)
 
     @staticmethod
     def _clear(system, root: str, names: set[str]) -> None:
@@ -82,14 +82,17 @@ class _Writing:
             if info.is_file and below.endswith(".png") and not below.startswith(STAGED) and below not in names:
                 system.delete_file(info.path)
 
-    def _forget(self) -> None:
-        """Remove what this job has staged, leftovers of lost tasks included."""
+    def _forget(self, messages: list[Staged | None]) -> None:
+        """Remove what the job of these messages has staged, leftovers of lost tasks included. A stream's
+        commits run in a process of their own, which knows its tasks by their messages only."""
         from pyarrow import fs
 
         system, root = opened(self.folder)
-        place = f"{root}/{STAGED}-{self.job}"
-        if system.get_file_info(place).type != fs.FileType.NotFound:
-            system.delete_dir(place)
+        places = {f"{root}/{STAGED}-{self.job}"}
+        places |= {staged.rsplit("/", 2)[0] for message in messages if message is not None for staged, _ in message.files}
+        for place in places:
+            if system.get_file_info(place).type != fs.FileType.NotFound:
+                system.delete_dir(place)
 
 
 class PictureWriter(_Writing, DataSourceArrowWriter):
@@ -97,7 +100,7 @@ class PictureWriter(_Writing, DataSourceArrowWriter):
         self._commit(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self._forget()
+        self._forget(messages)
 
 
 class PictureStreamWriter(_Writing, DataSourceStreamArrowWriter):
@@ -107,4 +110,4 @@ class PictureStreamWriter(_Writing, DataSourceStreamArrowWriter):
         self._commit(messages)
 
     def abort(self, messages: list[Staged | None], batchId: int) -> None:
-        self._forget()
+        self._forget(messages)
