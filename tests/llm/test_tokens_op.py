@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from helpers import SMALL, clashing, odd, odd_rows, rows_of, small
+from helpers import PLAIN, SMALL, clashing, odd, odd_rows, rows_of, small
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from nitlake.llm import packing, planes, queries, tokens
@@ -25,6 +25,16 @@ def test_pretokens_give_the_librarys_ids():
         assert ENCODER(text).tolist() == ENCODER.whole(text)
 
 
+def test_added_tokens_are_the_librarys():
+    """A tokenizer of its own with its default settings: an added token inside a text is one id."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "a <|endoftext |> b", PLAIN):
+        assert ENCODER(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert ENCODER("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text())
 def test_any_text(text):
