@@ -35,7 +35,7 @@ def _lists(planes) -> pd.Series:
     return pd.Series([np.ascontiguousarray(plane).ravel() for plane in planes], dtype=object)
 
 
-def _pu21_units(codes: np.ndarray) -> np.ndarray:
+def pu21_units(codes: np.ndarray) -> np.ndarray:
     """PU21 of gray PQ codes, scaled to its peak."""
     root = np.clip(codes, 1e-8, 1.0) ** (1 / M2)
     nits = PQ_NITS * (np.maximum(root - C1, 0) / (C2 - C3 * root)) ** (1 / M1)
@@ -65,13 +65,18 @@ def _blur(plane: np.ndarray) -> np.ndarray:
     return plane
 
 
-def _similarity(one: np.ndarray, other: np.ndarray) -> float:
+def similarity_map(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Structural similarity around every pixel of two planes of units."""
     mean_one, mean_other = _blur(one), _blur(other)
     spread = _blur(one * one) - mean_one**2 + _blur(other * other) - mean_other**2
     common = _blur(one * other) - mean_one * mean_other
     top = (2 * mean_one * mean_other + SSIM_C1) * (2 * common + SSIM_C2)
     bottom = (mean_one**2 + mean_other**2 + SSIM_C1) * (spread + SSIM_C2)
-    return float(np.mean(top / bottom))
+    return top / bottom
+
+
+def _similarity(one: np.ndarray, other: np.ndarray) -> float:
+    return float(np.mean(similarity_map(one, other)))
 
 
 @F.pandas_udf(NUMBER)
@@ -84,30 +89,32 @@ def ssim_of_units(one: pd.Series, other: pd.Series, h: pd.Series, w: pd.Series)
 def ssim_of_codes(one: pd.Series, other: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """As :func:`ssim_of_units`, for gray planes of PQ codes."""
     pairs = zip(_planes(one, h, w), _planes(other, h, w))
-    return pd.Series([_similarity(_pu21_units(a), _pu21_units(b)) for a, b in pairs])
+    return pd.Series([_similarity(pu21_units(a), pu21_units(b)) for a, b in pairs])
+
+
+def sobel_log(wide: np.ndarray) -> np.ndarray:
+    """log(1 + Sobel magnitude) of all but the outermost pixels."""
+    rows, columns = wide.shape[0] - 2, wide.shape[1] - 2
+    part = lambda dy, dx: wide[dy : dy + rows, dx : dx + columns]
+    across = part(0, 2) + 2 * part(1, 2) + part(2, 2) - part(0, 0) - 2 * part(1, 0) - part(2, 0)
+    down = part(2, 0) + 2 * part(2, 1) + part(2, 2) - part(0, 0) - 2 * part(0, 1) - part(0, 2)
+    return np.log1p(np.sqrt((across / 4) ** 2 + (down / 4) ** 2 + 1e-12))
 
 
 @F.pandas_udf(PLANE)
 def log_gradient(plane: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """log(1 + Sobel magnitude); edges repeat their last value."""
+    return _lists(sobel_log(np.pad(y, 1, mode="edge")) for y in _planes(plane, h, w))
 
-    def one(y: np.ndarray) -> np.ndarray:
-        wide = np.pad(y, 1, mode="edge")
-        rows, columns = y.shape
-        part = lambda dy, dx: wide[dy : dy + rows, dx : dx + columns]
-        across = part(0, 2) + 2 * part(1, 2) + part(2, 2) - part(0, 0) - 2 * part(1, 0) - part(2, 0)
-        down = part(2, 0) + 2 * part(2, 1) + part(2, 2) - part(0, 0) - 2 * part(0, 1) - part(0, 2)
-        return np.log1p(np.sqrt((across / 4) ** 2 + (down / 4) ** 2 + 1e-12))
 
-    return _lists(one(y) for y in _planes(plane, h, w))
-
-
-def band_index(height: int, width: int, bands: int) -> np.ndarray:
-    """Ring of every coefficient of the half spectrum, by distance from zero frequency."""
+def band_index(height: int, width: int, bands: int, left: int = 0, right: int | None = None) -> np.ndarray:
+    """Ring of every coefficient of the half spectrum (or some of its columns), by distance from
+    zero frequency."""
     down = np.abs(np.fft.fftfreq(height))[:, None]
     across = np.fft.rfftfreq(width)[None, :]
-    radius = np.sqrt(down**2 + across**2)
-    radius = np.minimum(radius / max(radius.max(), 1e-8), 1 - 1e-6)
+    most = np.sqrt(down.max() ** 2 + across.max() ** 2)
+    radius = np.sqrt(down**2 + across[:, left:right] ** 2)
+    radius = np.minimum(radius / max(most, 1e-8), 1 - 1e-6)
     return (radius * bands).astype(int)
 
 
@@ -216,6 +223,13 @@ def mirrored(plane: Column, h: Column, w: Column) -> Column:
     return picked(plane, h, w, lambda y, x: y * w + (w - 1 - x))
 
 
+@F.pandas_udf(PLANE)
+def turned_units(plane: pd.Series, h: pd.Series, w: pd.Series, flipped: pd.Series, top: pd.Series) -> pd.Series:
+    """Codes over ``top``, mirrored where ``flipped``."""
+    turns = zip(_planes(plane, h, w), flipped, top)
+    return _lists((y[:, ::-1] if turn else y) / most for y, turn, most in turns)
+
+
 def padded_size(length: Column, multiple: int) -> Column:
     return (F.ceil(length / F.lit(multiple)) * multiple).cast("int")
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, draws, labels
-from ..operators import frames as fr
+from ..operators import frames as fr, tiles
 from ..operators.attach import attach
 from ..operators.pair import must_match
 from ..operators.sampling import epoch_batches
+from ..session import cut
 
 
 def training_epoch(
@@ -38,7 +39,7 @@ def training_epoch(
         size = [F.col(n).alias(f"{name}_{n}") for n in ("height", "width")]
         return frames.select(F.col("key").alias(f"{name}_key"), *size, *planes)
 
-    def cut(frames: DataFrame, name: str, top: int) -> DataFrame:
+    def taken(frames: DataFrame, name: str, top: int) -> DataFrame:
         h, w = F.col(f"{name}_height"), F.col(f"{name}_width")
         planes = {f"{name}_{c}": F.col(f"{name}_{c}") for c in "rgb"}
         side_h, side_w = (F.lit(crop), F.lit(crop)) if crop else (h, w)
@@ -52,10 +53,53 @@ def training_epoch(
     wants = chosen.groupBy("hdr_key").agg(F.collect_list("sdr_key").alias("_wants"))
     wanted = attach(side(hdr, "hdr"), wants, ["hdr_key"])
     wanted = wanted.withColumn("sdr_key", F.explode("_wants")).drop("_wants", "hdr_key")
-    pairs = chosen.join(cut(side(sdr, "sdr"), "sdr", codes.SDR_CODES), "sdr_key")
-    pairs = must_match(pairs.join(cut(wanted, "hdr", codes.HDR_CODES), "sdr_key"))
+    pairs = chosen.join(taken(side(sdr, "sdr"), "sdr", codes.SDR_CODES), "sdr_key")
+    pairs = must_match(pairs.join(taken(wanted, "hdr", codes.HDR_CODES), "sdr_key"))
     pairs = pairs.withColumn("flipped", flipped)
     side_h, side_w = (F.lit(crop), F.lit(crop)) if crop else (F.col("sdr_height"), F.col("sdr_width"))
+    return _batched(pairs, side_h, side_w)
+
+
+def stored_epoch(
+    records: DataFrame,
+    hdr: DataFrame,
+    sdr: DataFrame,
+    seed: int,
+    epoch: int,
+    batch: int,
+    crop: int = 512,
+    flip: bool = True,
+    batches: tuple[int, int] | None = None,
+) -> DataFrame:
+    """:func:`training_epoch` from tile stores of integer planes ``r g b`` by ``key``: the same rows.
+
+    Sizes are read from first tiles alone, cuts are drawn from them, and only tiles that a cut meets
+    are joined. ``batches`` takes the batches from the first number up to the second, not included:
+    a loader that asks for a few at a time has its keys and places pushed to the scan. Records whose
+    frames are not stored have no row; a pair whose sides differ in size is an error.
+    """
+    chosen = epoch_batches(records, ["sdr_key"], seed, epoch, batch)
+    if batches is not None:
+        chosen = chosen.where(F.col("batch_id").between(batches[0], batches[1] - 1))
+    chosen = cut(chosen)
+    ticket = lambda tag: draws.ticket(f"{seed}:{epoch}:{tag}", F.col("sdr_key"))
+    sized = chosen
+    for name, store in (("hdr", hdr), ("sdr", sdr)):
+        sizes = tiles.frame_sizes(store, ["key"]).drop("tile")
+        sized = sized.join(sizes.toDF(f"{name}_key", f"{name}_height", f"{name}_width"), f"{name}_key")
+    at = {n: fr.crop_offset(ticket(n), F.col(f"sdr_{s}"), crop) for n, s in (("top", "height"), ("left", "width"))}
+    drawn = cut(must_match(sized).withColumns(at | {"flipped": F.lit(flip) & (draws.uniform(ticket("flip")) < 0.5)}))
+
+    pairs, side = drawn.drop("top", "left"), F.lit(crop)
+    for name, store, top in (("sdr", sdr, codes.SDR_CODES), ("hdr", hdr, codes.HDR_CODES)):
+        windows = drawn.select("sdr_key", F.col(f"{name}_key").alias("key"), "top", "left", "flipped")
+        found = tiles.crops(store, ["key"], windows, ["sdr_key", "flipped"], list("rgb"), crop)
+        units = [fr.turned_units(c, side, side, "flipped", F.lit(top)).alias(f"{name}_{c}") for c in "rgb"]
+        pairs = pairs.join(found.select("sdr_key", *units), "sdr_key")
+    return _batched(pairs, side, side)
+
+
+def _batched(pairs: DataFrame, side_h, side_w) -> DataFrame:
     planes = [f"{name}_{c}" for name in ("sdr", "hdr") for c in "rgb"]
     row_id = F.concat_ws(":", "video", F.col("frame").cast("string"))
     label = labels.variant_label(F.col("tmo"), F.col("crf"))

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # A top-k of up to this many rows per group is cut before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Up to this many named keys reach a Parquet scan one by one, and not as the range they span.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
     # Rows with a text or a picture each go to Python in batches of a few megabytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
@@ -57,6 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
 TUNING = (
     "spark.sql.codegen.hugeMethodLimit",
     "spark.sql.optimizer.windowGroupLimitThreshold",
+    "spark.sql.parquet.pushdown.inFilterThreshold",
     "spark.sql.execution.arrow.maxBytesPerBatch",
 )
 
