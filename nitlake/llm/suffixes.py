@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
 from ..session import discard, shared_dir, stored
 from .filters import key_filter, passes
 from .words import BLOCK, Block, Rolling, blocks, column, mixed, ranges
@@ -214,7 +215,7 @@ def _candidates(repeated, hot):
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, int, np.ndarray]]:
     for batch in batches:
-        ids = batch.column("_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+        ids = batch.column("_id").to_numpy()
         for block, before in pieces(*column(batch, "_text")):
             yield block, before, ids[block.rows]
 
@@ -376,10 +377,30 @@ def _after_first(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     return least, rows.join(least, by).where(F.struct("id", "start") != F.col("least"))
 
 
-def removals(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """(id, start, end): byte spans to remove, in any order, touching or overlapping ones not yet merged."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text")).where(F.octet_length("_text") >= LENGTH)
+def documents(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_id`` and ``_text``, and ``_own``: a number of each document, in the order in
+    which documents come.
+
+    That is the id where each id has one text. Where an id has several, or is null, documents are
+    numbered by (id, SHA-256 of the text), null ids first: each text of an id is a document of its own,
+    and rows that repeat id and text are one. A null text is an empty one.
+    """
+    held = F.coalesce(F.col("_text"), F.lit(""))
+    texts = rows.groupBy("_id").agg(F.min(F.xxhash64(held)).alias("low"), F.max(F.xxhash64(held)).alias("high"))
+    if texts.where("_id IS NULL OR low != high").isEmpty():
+        return rows.withColumn("_own", F.col("_id"))
+    marked = rows.withColumns({"_digest": F.sha2(held, 256), "_none": F.col("_id").isNull(), "_at": F.coalesce("_id", F.lit(0))})
+    order = ["_none", "_at", "_digest"]
+    found = marked.select((~F.col("_none")).alias("_some"), *order).distinct()
+    numbers = number_rows(found, ["_some", "_at", "_digest"], out="_own").drop("_some")
+    return stored(marked.join(numbers, order).drop(*order), "documents")
+
+
+def removals(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(id, start, end) for rows of :func:`documents`: byte spans to remove from the texts numbered ``id``,
+    in any order, touching or overlapping ones not yet merged."""
+    spark = rows.sparkSession
+    rows = rows.select(F.col("_own").alias("_id"), "_text").where(F.octet_length("_text") >= LENGTH)
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 26))
     cuts = rows.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.02)
@@ -446,7 +467,7 @@ def _lighten(touched):
         for batch in batches:
             data, offsets = column(batch, "_text")
             held = data.tobytes()
-            ids = batch.column("_id").fill_null(0).to_numpy()
+            ids = batch.column("_own").to_numpy()
             # What Spark's xxhash64 makes of a bigint.
             keys = [xxhash.xxh64_intdigest(i.tobytes(), 42) for i in ids]
             keep = passes(touched.value, np.array(keys, np.uint64))
@@ -457,8 +478,8 @@ def _lighten(touched):
                 digest.append(None if keep[i] else hashlib.sha256(one).hexdigest())
                 text.append(one if keep[i] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary())],
-                names=["_id", "n_bytes", "digest", "_text"],
+                [batch.column("_id"), batch.column("_own"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.binary())],
+                names=["_id", "_own", "n_bytes", "digest", "_text"],
             )
 
     return run
@@ -494,15 +515,18 @@ def passages_by_text(found: DataFrame) -> DataFrame:
 def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
-    Null and empty texts have no bytes and lose none; texts under LENGTH bytes lose none. Rows that
-    repeat an id and text are one document: they lose the same and none of it to each other. Other
-    columns are ignored. Only texts that lose something are shuffled.
+    Ids are integers; a null id comes before all others. Null and empty texts have no bytes and lose
+    none; texts under LENGTH bytes lose none. Rows that repeat an id and text are one document: they
+    lose the same and none of it to each other. Other texts of an id are documents of their own, that
+    with the smaller SHA-256 is the earlier one. Other columns are ignored. Only texts that lose
+    something are shuffled, or all where ids repeat with other texts or are null.
     """
-    spans = stored(passages_by_text(removals(docs, id, text)), "spans")
+    rows = documents(docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text")))
+    spans = stored(passages_by_text(removals(rows)), "spans")
     touched = key_filter(spans.select(F.xxhash64("id").alias("key")), "key", spans.count())
-    rows = docs.select(F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    light = rows.mapInArrow(_lighten(touched), "_id bigint, n_bytes bigint, digest string, _text binary")
-    joined = light.join(spans, F.col("_id") == F.col("id"), "left").drop("id")
+    shape = "_id bigint, _own bigint, n_bytes bigint, digest string, _text binary"
+    light = rows.select("_id", "_own", "_text").mapInArrow(_lighten(touched), shape)
+    joined = light.join(spans, F.col("_own") == F.col("id"), "left").drop("id")
     made = joined.mapInArrow(_digests, "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return made.withColumnRenamed("_id", id)
 
@@ -528,9 +552,10 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the same columns, repeated passages removed from ``text`` in whole characters:
     a character that is removed in part stays. Nulls, short and repeated rows as in :func:`removal_digests`."""
-    spans = stored(passages_by_text(removals(docs, id, text)), "spans")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(id).cast("bigint").alias("own"), F.col(text).alias("text"))
-    joined = rows.join(spans, F.col("own") == F.col("id"), "left").select("row", "text", "spans")
-    made = joined.mapInArrow(_whole_characters, rows.select("row", "text").schema)
+    rows = documents(docs.select(row, F.col(id).cast("bigint").alias("_id"), F.col(text).alias("_text")))
+    spans = stored(passages_by_text(removals(rows)), "spans")
+    texts = rows.select("row", F.col("_text").alias("text"), "_own")
+    joined = texts.join(spans, F.col("_own") == F.col("id"), "left").select("row", "text", "spans")
+    made = joined.mapInArrow(_whole_characters, texts.select("row", "text").schema)
     return made.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
