@@ -50,13 +50,7 @@ def balanced_draw(spark, folder):
     )
 
 
-_EPOCH = [
-    q.CORPUS,
-    f"t AS (SELECT *, {_hash(f"'{SEED}:{EPOCH}'", 'doc_id')} AS t FROM corpus)",
-    "n AS (SELECT *, row_number() OVER (ORDER BY t, doc_id) - 1 AS n FROM t)",
-    f"b AS (SELECT *, n // {BATCH} AS batch_id, n % {BATCH} AS place FROM n"
-    f" WHERE n // {BATCH} < (SELECT count(*) FROM corpus) // {BATCH})",
-]
+_EPOCH = [q.CORPUS, q.epoch("corpus", "doc_id", SEED, EPOCH, BATCH)]
 
 
 def _epoch(spark, folder):
@@ -64,7 +58,7 @@ def _epoch(spark, folder):
     return sampling.epoch_batches(corpus, ["doc_id"], SEED, EPOCH, BATCH)
 
 
-@query("epoch_batches", q.rows(*_EPOCH, select="SELECT doc_id, video, batch_id, place FROM b"))
+@query("epoch_batches", q.rows(*_EPOCH, select="SELECT doc_id, video, batch_id, place FROM placed", recursive=True))
 def epoch_batches(spark, folder):
     return _epoch(spark, folder).select("doc_id", "video", "batch_id", "place")
 
@@ -73,9 +67,10 @@ def epoch_batches(spark, folder):
     "collate_batch",
     q.rows(
         *_EPOCH,
-        "c AS (SELECT batch_id, place, video, round((bytes % 256)/255e0,8) AS sdr FROM b)",
+        "c AS (SELECT batch_id, place, video, round((bytes % 256)/255e0,8) AS sdr FROM placed)",
         select="SELECT batch_id, count(*) AS size, string_agg(video, ',' ORDER BY place) AS videos,"
         " round(sum(sdr),6) AS sdr_sum, arg_min(sdr, place) AS sdr_first FROM c GROUP BY batch_id",
+        recursive=True,
     ),
 )
 def collate_batch(spark, folder):

@@ -132,5 +132,26 @@ LIT = "lit AS (SELECT video, frame, variant, track, " + ", ".join(
 ) + " FROM coded)"
 
 
-def rows(*parts: str, select: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + select
+def rows(*parts: str, select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + select
+
+
+def epoch(records: str, key: str, seed: int, number: int, batch: int) -> str:
+    """``placed``: ``records`` with the batch and the place that the epoch gives them; ``key`` tells them apart."""
+
+    def ticket(tag: str, value: str) -> str:
+        return f"('0x'||substring(sha256('{tag}:'||{value}),1,12))::BIGINT"
+
+    rounds = f"SELECT {key}, step, n, a, b, x % a AS l, x // a AS h FROM walk, sized WHERE step = 0 OR x >= n"
+    for turn in range(4):
+        moved = f"(l + {ticket(f'{seed}:{number}:{turn}', 'h')}) % {'b' if turn % 2 else 'a'}"
+        rounds = f"SELECT {key}, step, n, a, b, h AS l, {moved} AS h FROM ({rounds})"
+    return (
+        f"sized AS (SELECT n, a, greatest((n + a - 1) // a, 1) AS b FROM (SELECT count(*) AS n,"
+        f" greatest(ceil(sqrt(count(*))), 1)::BIGINT AS a FROM {records})),"
+        f" numbered AS (SELECT *, row_number() OVER (ORDER BY {ticket('ordinal', key)}, {key}) - 1 AS o FROM {records}),"
+        f" walk({key}, step, x) AS (SELECT {key}, 0, o FROM numbered"
+        f" UNION ALL SELECT {key}, step + 1, a * h + l FROM ({rounds})),"
+        f" placed AS (SELECT r.*, x // {batch} AS batch_id, x % {batch} AS place FROM {records} r"
+        f" JOIN walk USING ({key}), sized WHERE step > 0 AND x < n AND x // {batch} < n // {batch})"
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from .attach import attach
 from .numbering import number_rows
+from .permute import permuted
 
 
 def balanced_draw(
@@ -44,24 +45,48 @@ def drawn_key(variants: Column, drawn: Column) -> Column:
     return F.get(keys, (drawn % F.size(keys)).cast("int"))
 
 
+def ordinals(records: DataFrame, ids: Sequence[str], out: str = "ordinal") -> DataFrame:
+    """Number records 0, 1, 2, ... by a keyed hash of ``ids``, which tell them apart.
+
+    Made once for a corpus and kept with it: the orders of all epochs follow from these numbers. The
+    leading bits of the hash spread records evenly over the buckets in which they are numbered.
+    """
+    ticketed = records.withColumn("_t", draws.ticket("ordinal", *(F.col(name) for name in ids)))
+    return number_rows(ticketed, ["_t", *ids], buckets=[F.shiftright("_t", 32)], out=out).drop("_t")
+
+
 def epoch_batches(
-    records: DataFrame, ids: Sequence[str], seed: int, epoch: int, batch: int
+    records: DataFrame,
+    ids: Sequence[str],
+    seed: int,
+    epoch: int,
+    batch: int,
+    ordinal: str | None = None,
+    batches: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Shuffled batches ``batch_id`` of exactly ``batch`` records; the rest is left out.
 
-    The order is that of a keyed hash, whose leading bits spread records evenly over the
-    buckets in which they are numbered.
+    A record's place follows from its number in ``ordinal`` by a keyed permutation, so an epoch
+    sorts and shuffles nothing. Without ``ordinal`` records are numbered here, by :func:`ordinals`,
+    and come in the same batches. ``batches`` takes the batches from the first number up to the
+    second, not included: their places say which numbers they need, and only these records are placed.
     """
-    ticketed = records.withColumn(
-        "_t", draws.ticket(f"{seed}:{epoch}", *(F.col(name) for name in ids))
-    )
-    bucket = F.shiftright("_t", 32)
-    numbered = number_rows(ticketed, ["_t", *ids], buckets=[bucket], out="_n")
-    whole = records.agg(F.floor(F.count(F.lit(1)) / F.lit(batch))).scalar()
-    placed = numbered.withColumns(
+    if batch < 1:
+        raise ValueError("a batch has at least one record")
+    key, size = f"{seed}:{epoch}", records.count()
+    numbered = records if ordinal else ordinals(records, ids, "_ordinal")
+    number, whole = ordinal or "_ordinal", size // batch
+    if batches is None:
+        placed = permuted(numbered, number, size, key, "_n")
+    else:
+        first, last = max(batches[0], 0), min(batches[1], whole)
+        places = records.sparkSession.range(first * batch, max(last, first) * batch).withColumnRenamed("id", "_n")
+        wanted = permuted(places, "_n", size, key, number, inverse=True) if first < last else places.withColumn(number, F.col("_n"))
+        placed = attach(numbered, wanted, [number])
+    placed = placed.withColumns(
         {"batch_id": F.floor(F.col("_n") / F.lit(batch)), "place": F.col("_n") % F.lit(batch)}
     )
-    return placed.where(F.col("batch_id") < whole).drop("_t", "_n")
+    return placed.where(F.col("batch_id") < whole).drop("_n", "_ordinal")
 
 
 def collate(batches: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -22,15 +22,17 @@ def training_epoch(
     batch: int,
     crop: int | None = 512,
     flip: bool = True,
+    ordinal: str | None = None,
 ) -> DataFrame:
     """Shuffled batches of cut, flipped and scaled pairs.
 
     ``records`` is a manifest; ``hdr`` and ``sdr`` hold integer planes ``r g b`` by ``key``.
     Records are shuffled and batched while they are only names. Cut and flip are drawn per
     record, the same for both sides, so frames are cut where they are read: an SDR frame by its
-    own key, an HDR frame once for every record that wants it. Only cuts are joined.
+    own key, an HDR frame once for every record that wants it. Only cuts are joined. ``ordinal``
+    is a column of numbers that :func:`ordinals` gave the records once.
     """
-    chosen = epoch_batches(records, ["sdr_key"], seed, epoch, batch)
+    chosen = epoch_batches(records, ["sdr_key"], seed, epoch, batch, ordinal)
     ticket = lambda tag: draws.ticket(f"{seed}:{epoch}:{tag}", F.col("sdr_key"))
     flipped = F.lit(flip) & (draws.uniform(ticket("flip")) < 0.5)
 
@@ -70,6 +72,7 @@ def stored_epoch(
     crop: int = 512,
     flip: bool = True,
     batches: tuple[int, int] | None = None,
+    ordinal: str | None = None,
 ) -> DataFrame:
     """:func:`training_epoch` from tile stores of integer planes ``r g b`` by ``key``: the same rows.
 
@@ -78,10 +81,7 @@ def stored_epoch(
     a loader that asks for a few at a time has its keys and places pushed to the scan. Records whose
     frames are not stored have no row; a pair whose sides differ in size is an error.
     """
-    chosen = epoch_batches(records, ["sdr_key"], seed, epoch, batch)
-    if batches is not None:
-        chosen = chosen.where(F.col("batch_id").between(batches[0], batches[1] - 1))
-    chosen = cut(chosen)
+    chosen = cut(epoch_batches(records, ["sdr_key"], seed, epoch, batch, ordinal, batches))
     ticket = lambda tag: draws.ticket(f"{seed}:{epoch}:{tag}", F.col("sdr_key"))
     sized = chosen
     for name, store in (("hdr", hdr), ("sdr", sdr)):
