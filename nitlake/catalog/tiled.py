@@ -24,11 +24,8 @@ def _tiled(spark, folder, size=SIDE):
     return tiles.to_tiles(frames, KEYS, ["plane", "dimmed"], size)
 
 
-@query("tile_gradient", ORACLES["log_gradient"])
-def tile_gradient(spark, folder):
-    """The gradient, with one pixel of the tiles around."""
-    found = tiles.log_gradient(_tiled(spark, folder), KEYS, "plane", "out")
-    spread = found.select(*KEYS, *tiles.GRID, F.posexplode("out").alias("i", "v"))
+def _pixels(tiled):
+    spread = tiled.select(*KEYS, *tiles.GRID, F.posexplode("out").alias("i", "v"))
     across = F.least(F.col("tile"), F.col("width") - F.col("tile_column") * F.col("tile"))
     y, x = F.floor(F.col("i") / across), F.col("i") % across
     return spread.select(
@@ -39,6 +36,13 @@ def tile_gradient(spark, folder):
     )
 
 
+@query("tile_gradient", ORACLES["log_gradient"])
+def tile_gradient(spark, folder):
+    """The gradient, with one pixel of the tiles around."""
+    found = tiles.log_gradient(_tiled(spark, folder), KEYS, "plane", "out")
+    return _pixels(found)
+
+
 @query("tile_ssim", ORACLES["pu21_ssim"])
 def tile_ssim(spark, folder):
     """Similarity whose window reaches over two tiles."""
@@ -53,6 +57,18 @@ def tile_bands(spark, folder):
     return found.select(*KEYS, "band", round_to(F.col("energy"), 8).alias("energy"))
 
 
+@query("tile_resize", ORACLES["bilinear_resize"])
+def tile_resize(spark, folder):
+    """Bilinear taps that lie in two tiles."""
+    return _pixels(tiles.resized(_tiled(spark, folder), KEYS, "plane", 5, 11, size=4))
+
+
+@query("tile_pool", ORACLES["grid_pool"])
+def tile_pool(spark, folder):
+    """Cells that overlap and reach over several tiles."""
+    return _pixels(tiles.pooled(_tiled(spark, folder, 3), KEYS, "plane", 3, 3, size=2))
+
+
 def _hash(tag):
     return "('0x'||substring(sha256('" + f"{SEED}:{EPOCH}{tag}" + "'||':'||sdr_key),1,12))::BIGINT"
 
@@ -71,13 +87,13 @@ _CODES = ", ".join(
         q.PLANES,
         "r AS (SELECT DISTINCT video, frame, v.tmo, v.crf FROM planes, (VALUES ('reinhard',23),('expert',NULL)) AS v(tmo, crf)),"
         "k AS (SELECT *, 'sdr/'||video||'/'||frame||'/'||tmo||'/'||coalesce(crf::VARCHAR,'none') AS sdr_key FROM r)",
-        f"n AS (SELECT *, row_number() OVER (ORDER BY {_hash('')}, sdr_key) - 1 AS n FROM k)",
-        f"w AS (SELECT *, n // {BATCH} AS batch_id, n % {BATCH} AS place, {_hash(':top')} % {8 - CROP + 1} AS t,"
-        f" {_hash(':left')} % {8 - CROP + 1} AS l, {_hash(':flip')}/{float(2**48)!r}::DOUBLE < 5e-1 AS flipped FROM n"
-        f" WHERE n // {BATCH} < (SELECT count(*) FROM k) // {BATCH})",
+        q.epoch("k", "sdr_key", SEED, EPOCH, BATCH),
+        f"w AS (SELECT *, {_hash(':top')} % {8 - CROP + 1} AS t,"
+        f" {_hash(':left')} % {8 - CROP + 1} AS l, {_hash(':flip')}/{float(2**48)!r}::DOUBLE < 5e-1 AS flipped FROM placed)",
         select="SELECT batch_id, place, w.video||':'||w.frame AS id, CASE WHEN crf IS NULL THEN tmo ELSE tmo||'_crf'||crf END AS variant,"
         f" flipped, oy.y::BIGINT AS y, ox.x::BIGINT AS x, {_CODES} FROM w, range({CROP}) oy(y), range({CROP}) ox(x), planes p"
         f" WHERE p.video = w.video AND p.frame = w.frame AND p.y = w.t+oy.y AND p.x = w.l+(CASE WHEN flipped THEN {CROP - 1}-ox.x ELSE ox.x END)",
+        recursive=True,
     ),
 )
 def training_epoch_rows(spark, folder):

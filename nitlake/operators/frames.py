@@ -142,6 +142,25 @@ def _taps(count: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.minimum(low + 1, count - 1), place - low
 
 
+def tap_weights(count: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(out, in, weight) of a bilinear resize along one axis: two taps, one where they fall together."""
+    low, high, share = _taps(count, wanted)
+    outs = np.repeat(np.arange(wanted), 2)
+    ins, weights = np.stack([low, high], 1).ravel(), np.stack([1 - share, share], 1).ravel()
+    used = weights > 0
+    return outs[used], ins[used], weights[used]
+
+
+def pool_weights(count: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(out, in, weight) of the means over ``wanted`` cells of one axis; a cell has all it overlaps."""
+    cells = np.arange(wanted)
+    first, last = cells * count // wanted, -(-(cells + 1) * count // wanted)
+    sizes = last - first
+    outs = np.repeat(cells, sizes)
+    ins = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+    return outs, ins, np.repeat(1 / sizes, sizes)
+
+
 @F.pandas_udf(PLANE)
 def bilinear(
     plane: pd.Series, h: pd.Series, w: pd.Series, to_h: pd.Series, to_w: pd.Series

@@ -11,6 +11,7 @@ by the task that uses it, and is as large as a tile with its edges, or as a crop
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut
 from .attach import attach
-from .frames import SSIM_TAPS, band_index, pu21_units, similarity_map, sobel_log
+from .frames import SSIM_TAPS, band_index, pool_weights, pu21_units, similarity_map, sobel_log, tap_weights
 
 TILE = 256
 GRID = ("height", "width", "tile", "tile_row", "tile_column")
@@ -327,6 +328,106 @@ def _own_pieces(tiles: DataFrame, keys: Sequence[str], planes: Sequence[str]) ->
     return tiles.select(*keys, *GRID, *places, *planes)
 
 
+def _along(plane: np.ndarray, table: tuple, first: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """Weighted sums along the last axis of a tile whose columns begin at ``first`` of the frame.
+
+    ``table`` is (out, in, weight), sorted by out. Gives the sums of all outs that the tile has a part
+    in, the first of these, and the weight that the tile has in each.
+    """
+    outs, ins, weights = table
+    met = (ins >= first) & (ins < first + plane.shape[-1])
+    outs, ins, weights = outs[met], ins[met] - first, weights[met]
+    if not len(outs):
+        return np.zeros((plane.shape[0], 0)), 0, np.zeros(0)
+    starts = np.flatnonzero(np.diff(outs, prepend=-1))
+    sums = np.zeros((plane.shape[0], outs[-1] + 1 - outs[0]))
+    sums[:, outs[starts] - outs[0]] = np.add.reduceat(plane[:, ins] * weights, starts, axis=1)
+    return sums, int(outs[0]), np.bincount(outs - outs[0], weights)
+
+
+def weighted(
+    tiles: DataFrame,
+    keys: Sequence[str],
+    plane: str,
+    weights: Callable[[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    height: int,
+    width: int,
+    out: str = "out",
+    size: int | None = None,
+) -> DataFrame:
+    """Frames in tiles of another size, ``height`` by ``width``, as weighted sums along both axes.
+
+    ``weights(count, wanted)`` is the sparse table of an axis: (out, in, weight), sorted by out, where
+    the weights of an out add up to one. A tile sums its own pixels along its columns, then its rows;
+    only these sums leave it, cut by the tiles (of ``size``, as before if not given) they belong to,
+    and are added by key. So a frame that shrinks sends less than it has, and no task holds one.
+    """
+    if height < 1 or width < 1:
+        raise ValueError("a frame has at least one row and one column")
+    own = [*keys, *GRID]
+    schema = pa.schema([*_arrow(tiles, keys), *[pa.field(n, pa.int32()) for n in GRID], *[pa.field(n, t) for n, t in _PIECE], pa.field("_weight", pa.float64()), pa.field(out, pa.list_(pa.float64()))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        axis = functools.lru_cache(maxsize=64)(weights)
+        for batch in batches:
+            held = _lists(batch.column(plane))
+            names = [batch.column(name).to_pylist() for name in own]
+            for i in range(batch.num_rows):
+                *head, h, w, tile, row, column = (values[i] for values in names)
+                top, left, bottom, right = _rect(h, w, tile, row, column)
+                values = held[i].reshape(bottom - top, right - left).astype(float)
+                across, x, part_x = _along(values, axis(w, width), left)
+                down, y, part_y = _along(across.T, axis(h, height), top)
+                sums, side = down.T, size or tile
+                rows, columns = sums.shape
+                for r in range(y // side, -(-(y + rows) // side) if columns else 0):
+                    a, b = max(r * side, y), min((r + 1) * side, y + rows)
+                    for c in range(x // side, -(-(x + columns) // side) if rows else 0):
+                        d, e = max(c * side, x), min((c + 1) * side, x + columns)
+                        part = float(part_y[a - y : b - y].sum() * part_x[d - x : e - x].sum())
+                        cut_out = sums[a - y : b - y, d - x : e - x].ravel()
+                        yield *head, height, width, side, r, c, a, d, b - a, e - d, part, cut_out
+
+    grid = ", ".join(f"{name} int" for name in GRID)
+    shape = f"{_fields(tiles, keys)}, {grid}, {_PIECE_SQL}, _weight double, `{out}` array<double>"
+    sent = tiles.select(*own, plane).mapInArrow(lambda batches: _batches(send(batches), schema), shape)
+    made = pa.schema([*_arrow(tiles, keys), *[pa.field(n, pa.int32()) for n in GRID], pa.field(out, pa.list_(pa.float64()))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            names = [batch.column(name).to_pylist() for name in own]
+            pieces = batch.column("_pieces")
+            ends = np.cumsum(pieces.value_lengths().to_numpy(zero_copy_only=False))
+            fields = pieces.flatten().flatten()
+            tops, lefts, rows, columns, parts = (f.to_numpy(zero_copy_only=False) for f in fields[:5])
+            held = _lists(fields[5])
+            for i, (start, end) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+                head = [values[i] for values in names]
+                a, b, y, x = _rect(*head[-5:])
+                total = np.zeros((y - a, x - b))
+                # In order of place, so that the sum is the same whatever the order of arrival.
+                for j in start + np.lexsort((parts[start:end], lefts[start:end], tops[start:end])):
+                    at_y, at_x = tops[j] - a, lefts[j] - b
+                    total[at_y : at_y + rows[j], at_x : at_x + columns[j]] += held[j].reshape(rows[j], columns[j])
+                if abs(parts[start:end].sum() - total.size) > 1e-6 * total.size:
+                    raise ValueError("tiles of a frame are missing or repeated")
+                yield *head, total.ravel()
+
+    parts = F.collect_list(F.struct(*(n for n, _ in _PIECE), "_weight", F.col(f"`{out}`"))).alias("_pieces")
+    grouped = sent.groupBy(*own).agg(parts)
+    return grouped.mapInArrow(lambda batches: _batches(add(batches), made), f"{_fields(tiles, keys)}, {grid}, `{out}` array<double>")
+
+
+def resized(tiles: DataFrame, keys: Sequence[str], plane: str, height: int, width: int, out: str = "out", size: int | None = None) -> DataFrame:
+    """Bilinear resize with half-pixel centres, of frames in tiles."""
+    return weighted(tiles, keys, plane, tap_weights, height, width, out, size)
+
+
+def pooled(tiles: DataFrame, keys: Sequence[str], plane: str, rows: int, columns: int, out: str = "out", size: int | None = None) -> DataFrame:
+    """Mean over the cells of a grid, of frames in tiles; cells overlap where the size does not divide."""
+    return weighted(tiles, keys, plane, pool_weights, rows, columns, out, size)
+
+
 def crops(
     store: DataFrame,
     keys: Sequence[str],

@@ -61,6 +61,31 @@ def test_spectrum(frames, size):
             assert got[r["key"], band] == pytest.approx(energy, abs=1e-12)
 
 
+@pytest.mark.parametrize(("size", "made"), [(1, 3), (4, 5), (5, None), (64, 2)])
+@pytest.mark.parametrize("wanted", [(3, 3), (8, 21), (13, 17), (1, 1)])
+def test_resize_and_pooling(frames, size, made, wanted):
+    """Larger, smaller, of the same size, and down to one pixel."""
+    cut = tl.to_tiles(frames, ["key"], ["p", "n"], size)
+    h, w, to_h, to_w = F.col("height"), F.col("width"), F.lit(wanted[0]), F.lit(wanted[1])
+    for plane, run, same in (("p", tl.resized, fr.bilinear), ("n", tl.resized, fr.bilinear), ("p", tl.pooled, fr.grid_pool)):
+        found = whole(run(cut, ["key"], plane, *wanted, size=made), "out")
+        plain = frames.select("key", same(F.col(plane).cast("array<double>"), h, w, to_h, to_w).alias("o")).collect()
+        assert sorted(found) == list(range(len(SIZES)))
+        for r in plain:
+            assert found[r["key"]].shape == wanted
+            np.testing.assert_allclose(found[r["key"]].ravel(), r["o"], atol=1e-11)
+
+
+def test_resize_needs_all_tiles(frames):
+    cut = tl.to_tiles(frames, ["key"], ["p"], 4)
+    for wrong in (cut.where("NOT (tile_row = 1 AND tile_column = 1)"), cut.union(cut)):
+        with pytest.raises(Exception, match="missing or repeated"):
+            tl.pooled(wrong, ["key"], "p", 3, 3).collect()
+    assert tl.pooled(cut.limit(0), ["key"], "p", 3, 3).count() == 0
+    with pytest.raises(ValueError, match="at least one row"):
+        tl.resized(cut, ["key"], "p", 0, 3)
+
+
 @pytest.mark.parametrize(("size", "asked", "named"), [(4, 64, 1000), (5, 1, 2)])
 def test_crops(spark, frames, monkeypatch, tmp_path, size, asked, named):
     """Cuts at every kind of place, several of one frame, larger than the frame, and of no frame."""
