@@ -21,6 +21,7 @@ from ..operators.attach import attach
 from ..operators.exposure import fit_gains
 from ..operators.frames import bilinear, predict_frames, repack, spread_pixels, ssim_of_units, to_pixels
 from ..operators.metrics import CORE_METRICS, OPTIONAL_METRICS, pixel_scores
+from ..operators.models import Model, model_frames, model_scores
 from ..operators.numbering import every_nth, first_rows, number_rows
 from ..operators.select import too_short, variants_only
 from ..session import stored
@@ -96,11 +97,18 @@ def calibrated_scores(frames: DataFrame) -> DataFrame:
     return renamed.join(joined.select("ordinal", "exposure_gain"), "ordinal")
 
 
-def optional_scores(frames: DataFrame, scorers: Mapping[str, Callable]) -> DataFrame:
+def optional_scores(frames: DataFrame, scorers: Mapping[str, Callable | Model]) -> DataFrame:
     """One row per ``ordinal`` with a column per scorer.
 
-    A scorer takes prediction and target as (3, height, width) arrays and returns a number.
+    A scorer takes prediction and target as (3, height, width) arrays and returns a number; a
+    :class:`Model` takes arrays of many frames of one shape.
     """
+    batched = {name: score for name, score in scorers.items() if isinstance(score, Model)}
+    if batched:
+        sides = [[s + c for c in "rgb"] for s in "pt"]
+        found = model_scores(frames, ["ordinal"], batched, *sides)
+        rest = {name: score for name, score in scorers.items() if name not in batched}
+        return found.join(optional_scores(frames, rest), "ordinal") if rest else found
     schema = "ordinal bigint" + "".join(f", {name} double" for name in scorers)
 
     def run(batches):
@@ -144,7 +152,7 @@ def evaluate(
     max_records: int | None = None,
     optional: bool = True,
     probes: Mapping[str, Callable[[], None]] | None = None,
-    scorers: Mapping[str, Callable] | None = None,
+    scorers: Mapping[str, Callable | Model] | None = None,
 ) -> Scores:
     """Score frame rows that hold a prediction and its target.
 
@@ -229,7 +237,7 @@ def select_records(records: DataFrame, subsample: int, video_mode: bool) -> Data
 
 def evaluate_with(
     frames: DataFrame,
-    predict: Callable,
+    predict: Callable | Model,
     variants: Sequence[str] | None = None,
     subsample: int = 1,
     video_mode: bool = False,
@@ -238,6 +246,8 @@ def evaluate_with(
 ) -> Scores:
     """Run ``predict`` (SDR frame to HDR frame) on every selected row and score the result.
 
+    A :class:`Model` is loaded once a worker and runs on batches of frames of one shape.
+
     ``frames`` has SDR planes ``sr sg sb`` of height ``height`` and width ``width``, the
     target planes ``tr tg tb`` of the same size, and fields as for :func:`evaluate`; a
     variant that is not given is named after ``tmo`` and ``crf``. The first ``max_records``
@@ -264,7 +274,8 @@ def evaluate_with(
         }
     )
     planes, out = ("sr", "sg", "sb"), ("pr", "pg", "pb")
-    predicted = predict_frames(chosen, predict, planes, out).drop(*planes)
+    run = model_frames if isinstance(predict, Model) else predict_frames
+    predicted = run(chosen, predict, planes, out).drop(*planes)
     # The model runs once; scoring passes over its frames several times.
     predicted = stored(predicted, "predicted")
     sized = predicted.withColumnsRenamed({"out_height": "p_height", "out_width": "p_width"})
