@@ -27,11 +27,14 @@ from ..session import discard, shared_dir, stored
 from .filters import key_filter, passes
 from .words import SPACE, Block, Rolling, blocks, column, mixed
 
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from one window to the next: what has at most half as many words lies in one whole.
+WINDOW, STRIDE = 32, 16
 HIDDEN, EMBEDDED = 8, 4
 WORD_BITS, CHAR_BITS = 18, 18
 #: The network is fitted on at most about this many labelled texts, half of them toxic if there are enough.
 TRAINED_ON = 4_000
+#: A longer text teaches by about this many bytes around its worst window by the words' log odds.
+EXCERPT = 20_000
 ROUNDS, RATE, SEED = 5, 0.01, 17
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -298,10 +301,38 @@ def log_odds(labelled: DataFrame, strength: float = 4.0) -> list[np.ndarray]:
     return out
 
 
+def excerpt(text: bytes, odds: np.ndarray) -> bytes:
+    """The words within EXCERPT bytes around the window of the largest log odds; a shorter text is whole."""
+    if len(text) <= EXCERPT:
+        return text
+    data = np.frombuffer(text, np.uint8)
+    words = Words(Block(data, np.array([0, len(data)]), slice(0, 1)))
+    if not len(words.starts):
+        return b""
+    start, size, _ = windows(words.text, 1)
+    sums = np.concatenate([[0], np.cumsum(np.maximum(odds[words.word], 0))])
+    best = int(np.argmax(sums[start + size] - sums[start]))
+    first, last = int(words.starts[start[best]]), int(words.ends[start[best] + size[best] - 1])
+    room = max(EXCERPT - (last - first), 0) // 2
+    inside = np.flatnonzero((words.starts >= first - room) & (words.ends <= last + room))
+    # A window of words that are themselves too long is cut where the bytes end.
+    return text[words.starts[inside[0]] : words.ends[inside[-1]]][:EXCERPT]
+
+
+def _excerpts(odds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = batch.column("fold").to_pylist()
+            texts = [excerpt(t.encode(), odds.value[1 + fold]) for t, fold in zip(batch.column("_text").to_pylist(), folds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("_order", "label", "fold")], pa.array(texts, pa.binary())], names=["_order", "label", "fold", "_text"])
+
+    return run
+
+
 def _fit_one(odds):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["fold", "_order", "_text"])
-        texts = [t.encode() for t in frame["_text"]]
+        texts = [bytes(t) for t in frame["_text"]]
         network = fitted(texts, frame["label"].to_numpy(), frame["fold"].to_numpy(), odds.value)
         held = io.BytesIO()
         np.savez(held, **network.w)
@@ -341,18 +372,18 @@ class Scorer:
         fold = F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(2)).cast("int")
         train = stored(some.join(marks.hint("merge"), "_id").withColumn("fold", fold), "labelled")
         odds = log_odds(train.select("label", "fold", "_text"))
-        # A bounded sample by hash, toxic texts and others alike; very long texts stay out of it.
-        short = train.where(F.octet_length("_text") <= 20_000)
+        # A bounded sample by hash, toxic texts and others alike; very long texts teach by an excerpt.
         order = F.xxhash64(F.lit("sample"), "_id")
-        sizes = {r["label"]: r["count"] for r in short.groupBy("label").count().collect()}
+        sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
         share = lambda kind: min(1.0, TRAINED_ON / 2 / max(1, sizes.get(kind, 0)))
         lucky = F.pmod(order, F.lit(1 << 20)) < F.when(F.col("label") == 1, int(share(1) * (1 << 20))).otherwise(int(share(0) * (1 << 20)))
-        sample = short.where(lucky).select(order.alias("_order"), "label", "fold", "_text")
         sent = spark.sparkContext.broadcast(odds)
+        sample = train.where(lucky).select(order.alias("_order"), "label", "fold", "_text")
+        sample = sample.mapInArrow(_excerpts(sent), "_order bigint, label int, fold int, _text binary")
         made = sample.groupBy(F.lit(1).alias("_all")).applyInPandas(_fit_one(sent), "weights binary").collect()
+        discard(marks, train)
         if not made:
             return cls(Network.fresh(), odds[0])
-        discard(marks, train)
         held = np.load(io.BytesIO(bytes(made[0]["weights"])))
         return cls(Network({k: held[k] for k in held.files}), odds[0])
 

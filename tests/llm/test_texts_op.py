@@ -76,6 +76,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert (bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2 > 0.8
 
 
+def test_long_texts_teach(spark):
+    """The excerpt holds the worst window; a passage of half a window lies in one whole."""
+    word = lambda w: toxicity.Words(next(toxicity.blocks(np.frombuffer(w, np.uint8), np.array([0, len(w)])))).word[0]
+    odds = np.zeros(1 << toxicity.WORD_BITS, np.float32)
+    odds[word(b"vile")] = 3
+    for at in (0, 7_000, 20_000, 39_999):
+        words = ["calm"] * 40_000
+        words[at] = "vile"
+        found = toxicity.excerpt(" ".join(words).encode(), odds)
+        assert b"vile" in found and len(found) <= toxicity.EXCERPT and set(found.split()) == {b"calm", b"vile"}
+    assert toxicity.excerpt(b"short text", odds) == b"short text"
+    assert toxicity.excerpt(b" " * 30_000, odds) == b""
+    assert len(toxicity.excerpt(b"x" * 30_000 + b" y", odds)) == toxicity.EXCERPT
+    start, size, _ = toxicity.windows(np.zeros(500, int), 1)
+    for first in range(500 - 15):
+        assert ((start <= first) & (start + size >= first + 16)).any()
+    long = "calm words stand here " * 2_000
+    docs = spark.createDataFrame([(i, long + ("vile brute " * 20 if i % 2 else "")) for i in range(40)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == 40 and all((r.score >= 0.7) == bool(r.doc_id % 2) for r in got)
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (7, None), (9, 1), (11, 0), (None, 1)], "doc_id bigint, toxic int")
     got = toxicity.toxicity(odd(spark), labels).collect()
