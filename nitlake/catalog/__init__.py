@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import colour, curation, evaluation, frames, modelled, sampling, streams, tiled, tone  # noqa: F401
+    from . import aggregates, colour, curation, evaluation, frames, modelled, sampling, streams, tiled, tone  # noqa: F401
