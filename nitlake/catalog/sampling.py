@@ -67,24 +67,23 @@ def epoch_batches(spark, folder):
     "collate_batch",
     q.rows(
         *_EPOCH,
-        "c AS (SELECT batch_id, place, video, round((bytes % 256)/255e0,8) AS sdr FROM placed)",
+        "c AS (SELECT batch_id, place, video, (bytes % 256)/255e0 AS sdr FROM placed)",
         select="SELECT batch_id, count(*) AS size, string_agg(video, ',' ORDER BY place) AS videos,"
-        " round(sum(sdr),6) AS sdr_sum, arg_min(sdr, place) AS sdr_first FROM c GROUP BY batch_id",
+        " round(sum(sdr),6) AS sdr_sum, round(arg_min(sdr, place),8) AS sdr_first FROM c GROUP BY batch_id",
         recursive=True,
     ),
 )
 def collate_batch(spark, folder):
     """Batches as lists in batch order, codes scaled to [0, 1]."""
-    scaled = _epoch(spark, folder).withColumn(
-        "sdr", round_to(codes.scale(F.col("bytes") % 256, codes.SDR_CODES), 8)
-    )
+    # Rounded after the sum only: a sum of rounded numbers may lie on a tie, which the order of addition decides.
+    scaled = _epoch(spark, folder).withColumn("sdr", codes.scale(F.col("bytes") % 256, codes.SDR_CODES))
     lists = sampling.collate(scaled, ["video", "sdr"])
     return lists.select(
         "batch_id",
         F.size("video").cast("bigint").alias("size"),
         F.array_join("video", ",").alias("videos"),
         round_to(F.aggregate("sdr", num(0), lambda a, x: a + x), 6).alias("sdr_sum"),
-        F.get("sdr", F.lit(0)).alias("sdr_first"),
+        round_to(F.get("sdr", F.lit(0)), 8).alias("sdr_first"),
     )
 
 
