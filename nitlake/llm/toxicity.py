@@ -209,7 +209,7 @@ def scored_windows(network: Network, words: Words, features: np.ndarray, texts:
 
 def fitted(texts: list[bytes], label: np.ndarray, fold: np.ndarray, odds: list[np.ndarray]) -> Network:
     """A network from texts sorted by fold. Each round, every text teaches by its worst window as scored now, and a text that is not
-    toxic by one more, drawn from all its windows. Steps by Adam."""
+    toxic by the next worst and by one more, drawn from all its windows. Steps by Adam."""
     network, rng = Network.fresh(), np.random.default_rng(SEED)
     held = []
     for part in (0, 1):
@@ -234,10 +234,11 @@ def fitted(texts: list[bytes], label: np.ndarray, fold: np.ndarray, odds: list[n
                 sums = np.concatenate([[0], np.cumsum(np.maximum(features[:, 0], 0))])
                 rank = sums[start + size] - sums[start]
             order = np.lexsort((-rank, of))
-            worst = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
+            opens = np.concatenate([[True], of[order][1:] != of[order][:-1]])
+            worst, next_worst = order[opens], order[1:][opens[:-1] & ~opens[1:]]
             other = rng.permutation(len(of))
             other = other[np.unique(of[other], return_index=True)[1]]
-            pick = rng.permutation(np.concatenate([worst, other[toxic[of[other]] == 0]]))
+            pick = rng.permutation(np.concatenate([worst, *(some[toxic[of[some]] == 0] for some in (next_worst, other))]))
             for a in range(0, len(pick), 64):
                 rows = pick[a : a + 64]
                 x, mask, word = gathered(features, words.word, network.w["embedding"], start[rows], size[rows])
