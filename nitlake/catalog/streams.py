@@ -27,11 +27,11 @@ from .sampling import EMA_SQL
 
 
 def _stream(spark, folder, name):
-    """One table as a file stream; the folder holds other tables too."""
+    """One table as a file stream, be the table one file or a folder of files."""
     schema = tables.table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    # A stream takes a plain path for a folder. A pattern (here of the one name) may fit a file, too.
     # Files are in no order of time, so what is there is one micro-batch, sorted by its keys.
-    return reader.parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _place(spark, name):

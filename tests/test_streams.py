@@ -1,9 +1,13 @@
 """Streams in several micro-batches against their batch forms."""
 
+import duckdb
 import numpy as np
 import pytest
+from check import compare
 from pyspark.sql import functions as F
+from samples import FOLDER
 
+from nitlake import catalog
 from nitlake.operators import flicker as flick
 from nitlake.operators.scan import smooth
 from nitlake.streaming.curate import curate_stream
@@ -113,6 +117,20 @@ def test_frames_are_written_as_they_arrive(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "png").iterdir()) == [f"hdr_{n:06d}.png" for n in range(3)]
 
 
+@pytest.mark.parametrize(
+    ("name", "read"), [("curate_stream", "documents"), ("curate_stream_turns", "conversations"), ("picture_stream", "embeddings")]
+)
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path, name, read):
+    """Larger tables come as several files each, and every row of them arrives."""
+    catalog.load()
+    table = spark.read.parquet(f"{FOLDER}/{read}.parquet")
+    table.repartition(3).write.parquet(str(tmp_path / f"{read}.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {read} AS SELECT * FROM '{FOLDER}/{read}.parquet'")
+    count, wrong = compare(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name])
+    assert not wrong and count > 0
+
+
 def test_bad_alpha(spark):
     with pytest.raises(ValueError):
         smoothed(spark.range(1), 1.0)
