@@ -19,11 +19,16 @@ BINS = 4
 _NAMES = ["n", "total", "gap", *(f"h{i}" for i in range(BINS))]
 
 
-def _gaps(columns):
-    """Count, sum of target light, sum of the gap, and a histogram of target over prediction."""
+def _each(columns):
+    """What each row adds to the sums."""
     target, prediction = columns
     ratio = np.clip((target / prediction * 2).astype(int), 0, BINS - 1)
-    return np.array([len(target), target.sum(), np.abs(target - prediction).sum(), *np.bincount(ratio, minlength=BINS)])
+    return np.column_stack([np.ones(len(target)), target, np.abs(target - prediction), *(ratio == i for i in range(BINS))])
+
+
+def _gaps(columns):
+    """Count, sum of target light, sum of the gap, and a histogram of target over prediction."""
+    return _each(columns).sum(0)
 
 
 def _finish(state):
@@ -31,8 +36,8 @@ def _finish(state):
 
 
 GAPS = summed(
-    ["tr", "pr"], 3 + BINS, _gaps, _finish, "n bigint, total double, gap double, " + ", ".join(f"h{i} bigint" for i in range(BINS))
-)
+    ["tr", "pr"], 3 + BINS, _gaps, _finish, "n bigint, total double, gap double, " + ", ".join(f"h{i} bigint" for i in range(BINS)), _each,
+)
 _BIN = f"least(floor(tr/pr*2),{BINS - 1})"
 _SQL = q.rows(
     q.PX,

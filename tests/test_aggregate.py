@@ -55,3 +55,33 @@ def test_only_states_are_shuffled(df):
     states = ag.partials(df, ["k"], SPREAD)
     assert states.count() <= 7 * 22
     assert set(states.columns) == {"k", "_part", "_state"}
+
+
+BY_ROW = ag.summed(
+    ["v"], 3, None, SPREAD.finish, SPREAD.made, lambda c: np.column_stack([np.ones(len(c[0])), np.nan_to_num(c[0]), np.nan_to_num(c[0]) ** 2])
+)
+
+
+@pytest.mark.parametrize(("fan", "rows"), [(64, 1 << 18), (2, 5)])
+def test_sums_row_by_row(df, monkeypatch, fan, rows):
+    """Summands of many keys at a time give what the function of one key's rows gives."""
+    want = sorted(map(str, ag.aggregated(df, ["k", "j"], SPREAD).collect()))
+    monkeypatch.setattr(ag, "FAN", fan)
+    monkeypatch.setattr(ag, "ROWS", rows)
+    assert sorted(map(str, ag.aggregated(df, ["k", "j"], BY_ROW).collect())) == want
+    assert ag.aggregated(df.limit(0), [], BY_ROW).collect() == []
+
+
+@pytest.mark.parametrize("aggregate", [SPREAD, BY_ROW])
+def test_no_call_of_pandas_per_key(df, aggregate, monkeypatch):
+    """A table of many keys has no group function that Spark calls key by key, in no round."""
+    monkeypatch.setattr(ag, "FAN", 2)
+    plan = ag.aggregated(df, ["k", "j"], aggregate)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_minus_zero_and_not_a_number_are_one_key_each(spark):
+    rows = [(0.0, 1.0), (-0.0, 2.0), (float("nan"), 4.0), (None, 8.0), (float("nan"), 16.0)]
+    df = spark.createDataFrame(rows, "k double, v double").repartition(3)
+    for aggregate in (SPREAD, BY_ROW):
+        assert sorted(r["total"] for r in ag.aggregated(df, ["k"], aggregate).collect()) == [3.0, 8.0, 20.0]
