@@ -63,8 +63,10 @@ def user_aggregate_stream(spark, folder):
     """The same aggregate over three micro-batches."""
     place = f"{shared_dir(spark)}/aggregate-{uuid.uuid4().hex}"
     px = tables.px(spark, folder).select("video", "variant", "tr", "pr")
-    px.repartition(3, F.xxhash64("tr", "pr")).write.parquet(f"{place}/arrived")
-    arrived = spark.readStream.schema(px.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrived")
+    # A micro-batch of one file would be work for one task.
+    files = max(1, spark.sparkContext.defaultParallelism)
+    px.repartition(3 * files).write.parquet(f"{place}/arrived")
+    arrived = spark.readStream.schema(px.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/arrived")
     stream = aggregated_stream(arrived, ["video", "variant"], GAPS)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state")
     writer.trigger(availableNow=True).start(f"{place}/rows").awaitTermination()

@@ -9,7 +9,9 @@ from samples import FOLDER
 
 from nitlake import catalog
 from nitlake.operators import flicker as flick
+from nitlake.operators.aggregate import summed
 from nitlake.operators.scan import smooth
+from nitlake.streaming import aggregate as stream_aggregate
 from nitlake.streaming.curate import curate_stream
 from nitlake.streaming.ema import smoothed
 from nitlake.operators.flicker import tiles
@@ -117,6 +119,23 @@ def test_frames_are_written_as_they_arrive(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "png").iterdir()) == [f"hdr_{n:06d}.png" for n in range(3)]
 
 
+def test_aggregate_on_a_stream_calls_python_by_bucket(spark, tmp_path, monkeypatch):
+    """Keys with nulls over three micro-batches; state rows are as many as buckets, not as many as keys."""
+    monkeypatch.setattr(stream_aggregate, "BUCKETS", 2)
+    rows = [(None if v == 3 else v, f"k{v % 2}", float(n), n % 3) for v in range(2**53, 2**53 + 9) for n in range(7)] + [(None, None, 5.0, 2)]
+    df = spark.createDataFrame(rows, "v long, k string, x double, _part int")
+    total = summed(["x"], 2, lambda c: np.array([len(c[0]), c[0].sum()]), lambda s: [int(s[0]), s[1]], "n bigint, total double")
+    stream = stream_aggregate.aggregated_stream(arriving(spark, df, tmp_path / "in", 3), ["v", "k"], total)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s"))
+    query = query.trigger(availableNow=True).start(str(tmp_path / "o"))
+    assert query.awaitTermination(120)
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 2
+    given = spark.read.parquet(str(tmp_path / "o"))
+    got = given.groupBy("v", "k").agg(F.max_by(F.struct("n", "total"), "updates").alias("l")).select("v", "k", "l.*")
+    want = df.groupBy("v", "k").agg(F.count("x").alias("n"), F.sum("x").alias("total"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize(
     ("name", "read"), [("curate_stream", "documents"), ("curate_stream_turns", "conversations"), ("picture_stream", "embeddings")]
 )
