@@ -595,8 +595,8 @@ def _records(spark, folder):
     )
 
 
-def _all_records(spark, folder):
-    frames, listed = _records(spark, folder), _listed(spark, folder)
+def _all_records(spark, folder, frames=None):
+    frames, listed = _records(spark, folder) if frames is None else frames, _listed(spark, folder)
     return pair.pair_records(
         frames,
         frames.join(listed.where("quality = 1"), "video", "left_semi"),
@@ -643,9 +643,10 @@ def manifest_order(spark, folder):
 )
 def manifest_merge(spark, folder):
     """Records of an earlier run kept, records of videos it lacks appended."""
-    every, done = _all_records(spark, folder), _listed(spark, folder)
-    existing = every.join(done, "video", "left_semi").withColumn("existing", F.lit(True))
-    fresh = select.without(every, done).withColumn("existing", F.lit(False))
+    frames, done = _records(spark, folder), _listed(spark, folder)
+    # A frame is looked up once, before the grid makes many records of it.
+    existing = _all_records(spark, folder, frames.join(done, "video", "left_semi")).withColumn("existing", F.lit(True))
+    fresh = _all_records(spark, folder, select.without(frames, done)).withColumn("existing", F.lit(False))
     return existing.unionByName(fresh)
 
 

@@ -23,3 +23,14 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert {r["variant"] for r in entry.entry(spark).collect()} == {"A", "N", "R", "ALL"}
+
+
+def test_merge_looks_frames_up_before_the_grid(spark):
+    """No join of a manifest's merge has records of the whole grid on a side."""
+    plan = QUERIES["manifest_merge"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for at, line in enumerate(plan):
+        if line.lstrip(" :+-").startswith("Join"):
+            below = plan[at + 1 :]
+            end = next((i for i, other in enumerate(below) if depth(other) <= depth(line)), len(below))
+            assert not any("Generate" in other for other in below[:end]), line
