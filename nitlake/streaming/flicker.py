@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .order import in_order
 
-STEP = "video bigint, variant string, tile int, frame bigint, pred double, target double"
+STEP = "frame bigint, pred double, target double"
 
 
 def flicker_steps(frames: DataFrame, late: str = "1 minute", quiet_ms: int | None = None) -> DataFrame:
@@ -19,7 +18,7 @@ def flicker_steps(frames: DataFrame, late: str = "1 minute", quiet_ms: int | Non
     behind newer ones and in any order within that; a tile carries its last frame on. See :func:`in_order`.
     """
 
-    def advance(key: tuple, before: tuple | None, rows: list[tuple]) -> tuple[pd.DataFrame, tuple]:
+    def advance(key: tuple, before: tuple | None, rows: list[tuple]) -> tuple[dict[str, list], tuple]:
         last = None if before is None else [np.frombuffer(data) for data in before]
         made = []
         for frame, *planes in rows:
@@ -29,14 +28,13 @@ def flicker_steps(frames: DataFrame, late: str = "1 minute", quiet_ms: int | Non
                 if any(len(a) != len(b) for a, b in zip(now, last, strict=True)):
                     raise ValueError(f"frames of {key} differ in size")
                 change = tuple(float(np.abs(a - b).sum()) for a, b in zip(now, last, strict=True))
-            made.append((*key, frame, *change))
+            made.append((frame, *change))
             last = now
-        names = ["video", "variant", "tile", "frame", "pred", "target"]
-        return pd.DataFrame(made, columns=names), tuple(last)
+        return dict(zip(("frame", "pred", "target"), map(list, zip(*made, strict=True)), strict=True)), tuple(last)
 
     slim = frames.select("video", "variant", "tile", "ts", "frame", "pred", "target")
     keys = ["video", "variant", "tile"]
-    return in_order(slim, keys, "ts", ["frame"], advance, "pred binary, target binary", STEP, late, quiet_ms)
+    return in_order(slim, keys, "ts", ["frame"], advance, STEP, late, quiet_ms)
 
 
 def frame_steps(steps: DataFrame) -> DataFrame:

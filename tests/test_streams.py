@@ -12,6 +12,7 @@ from nitlake.operators import flicker as flick
 from nitlake.operators.aggregate import summed
 from nitlake.operators.scan import smooth
 from nitlake.streaming import aggregate as stream_aggregate
+from nitlake.streaming import order
 from nitlake.streaming.curate import curate_stream
 from nitlake.streaming.ema import smoothed
 from nitlake.operators.flicker import tiles
@@ -97,6 +98,23 @@ def test_state_is_bounded_and_late_rows_are_counted(spark, tmp_path):
     assert max(t.numRowsTotal for t in told) <= 40
 
 
+def test_rows_in_order_call_python_by_bucket(spark, tmp_path, monkeypatch):
+    """Many videos, one of them null, over several micro-batches: state rows are as many as buckets."""
+    monkeypatch.setattr(order, "BUCKETS", 2)
+    rows = [(None if v == 3 else 2**53 + v, n, float(v + n), n // 3) for v in range(30) for n in range(9)] + [(99, 1000, 0.0, 3)]
+    stream = arriving(spark, params(spark.createDataFrame(rows, PARAMS)), tmp_path / "in", 4)
+    query = smoothed(stream, 0.5, "2 seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "s"))
+    query = query.trigger(availableNow=True).start(str(tmp_path / "o"))
+    assert query.awaitTermination(240)
+    # A bucket has what came with three micro-batches at most, what its videos left, and two kinds of timers.
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 2 * 12
+    got = {(r.video, r.ordinal): r.applied[0] for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    want = {}
+    for video, n, value, _ in rows[:-1]:
+        want[video, n] = value if n == 0 else 0.5 * want[video, n - 1] + 0.5 * value
+    assert got == want
+
+
 def test_curation_stream_takes_each_frame_once(spark, tmp_path):
     """Videos of several frames over several micro-batches, run twice on one checkpoint and once on another."""
     rows = [(v, f, f % 2) for v in "abc" for f in range(3)] + [("a", 0, 1), ("d", 7, 1)]
