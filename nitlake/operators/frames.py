@@ -51,10 +51,10 @@ def _window() -> np.ndarray:
 
 
 def _blur(plane: np.ndarray) -> np.ndarray:
-    """Gaussian blur, rows then columns; what lies outside counts as zero."""
+    """Gaussian blur of a plane or a stack of planes, rows then columns; what lies outside counts as zero."""
     reach = SSIM_TAPS // 2
-    for axis in (1, 0):
-        margin = [(0, 0), (0, 0)]
+    for axis in (-1, -2):
+        margin = [(0, 0)] * plane.ndim
         margin[axis] = (reach, reach)
         wide = np.pad(plane, margin)
         length = plane.shape[axis]

@@ -30,6 +30,8 @@ GRID = ("height", "width", "tile", "tile_row", "tile_column")
 NAMED = 200
 #: Pixels of one batch that is made here.
 PIXELS = 500_000
+#: Pixels of small tiles that are worked on together, as one call for each tile costs more than its pixels.
+STACKED = 20_000
 #: About as many windows of one tile travel with it in one row; a tile that more ask for is joined again.
 ASKED = 64
 
@@ -206,13 +208,16 @@ def with_edges(
     reach: int,
     work: Callable[[list[np.ndarray], tuple[tuple[int, int], tuple[int, int]]], Sequence],
     out: Sequence[tuple[str, pa.DataType, str]],
+    stacked: bool = False,
 ) -> DataFrame:
     """Run ``work`` on every tile with ``reach`` pixels of its neighbours around it.
 
     Each tile sends itself to its own place and its edges to the tiles around it, as far as ``reach``
     goes. ``work(planes, missing)`` gets the planes as far as they lie in the frame and, per axis, how
     many pixels are missing before and after: only at the frame's edge. What it returns are the ``out``
-    fields (name, Arrow type, SQL type) of the tile's row, which keeps its keys and place.
+    fields (name, Arrow type, SQL type) of the tile's row, which keeps its keys and place. With ``stacked``
+    it gets the planes of several tiles that are alike in size and place in the frame, one behind the
+    other, and returns the fields of each.
     """
     own = [*keys, *GRID]
     schema = pa.schema([*_arrow(tiles, own, _PIECE), *_arrow(tiles, planes)])
@@ -239,12 +244,26 @@ def with_edges(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             names = [batch.column(name).to_pylist() for name in own]
+            alike: dict[tuple, list] = {}
             for top, left, i, whole in _put_together(batch, planes):
                 head = tuple(values[i] for values in names)
                 a, b, y, x = _rect(*head[-5:])
                 bottom, right = top + whole[0].shape[0], left + whole[0].shape[1]
                 missing = (reach - (a - top), reach - (bottom - y)), (reach - (b - left), reach - (right - x))
-                yield *head, *work(whole, missing)
+                if not stacked:
+                    yield *head, *work(whole, missing)
+                    continue
+                held = alike.setdefault((whole[0].shape, missing), [])
+                held.append((head, whole))
+                if len(held) * whole[0].size >= STACKED:
+                    yield from together(alike.pop((whole[0].shape, missing)), missing)
+            for (_, missing), held in alike.items():
+                yield from together(held, missing)
+
+    def together(held: list, missing: tuple) -> Iterator[tuple]:
+        heads, wholes = zip(*held, strict=True)
+        for head, fields in zip(heads, work([np.stack(plane) for plane in zip(*wholes, strict=True)], missing), strict=True):
+            yield *head, *fields
 
     fields = ", ".join(f"`{name}` {kind}" for name, _, kind in out)
     grouped = _grouped(sent, own, planes, [])
@@ -269,11 +288,11 @@ def ssim(tiles: DataFrame, keys: Sequence[str], one: str, other: str, codes: boo
 
     def work(planes, missing):
         units = [pu21_units(p.astype(float)) if codes else p.astype(float) for p in planes]
-        alike = similarity_map(*(np.pad(p, missing) for p in units))[reach:-reach, reach:-reach]
-        return [float(alike.sum()), alike.size]
+        alike = similarity_map(*(np.pad(p, ((0, 0), *missing)) for p in units))[:, reach:-reach, reach:-reach]
+        return [(float(one.sum()), one.size) for one in alike]
 
     fields = [("_sum", pa.float64(), "double"), ("_pixels", pa.int64(), "bigint")]
-    found = with_edges(tiles, keys, [one, other], reach, work, fields)
+    found = with_edges(tiles, keys, [one, other], reach, work, fields, stacked=True)
     return found.groupBy(*keys).agg((F.sum("_sum") / F.sum("_pixels")).alias(out))
 
 

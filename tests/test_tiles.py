@@ -143,3 +143,20 @@ def test_missing_tiles_are_an_error(frames):
         tl.spectral_bands(cut, ["key"], "p").collect()
     with pytest.raises(ValueError, match="at least 1"):
         tl.to_tiles(frames, ["key"], ["p"], 0)
+
+
+def test_similarity_of_small_tiles_is_taken_together(spark, monkeypatch):
+    """Tiles alike in size and place in the frame are one call, and the result is that of whole frames."""
+    rng, calls, whole = np.random.default_rng(3), [], tl.similarity_map
+    rows = [(n, 8, 8, rng.random(64).tolist(), rng.random(64).tolist()) for n in range(40)]
+    frames = spark.createDataFrame(rows, "id long, height int, width int, a array<double>, b array<double>")
+    cut = tl.to_tiles(frames, ["id"], ["a", "b"], 5).coalesce(1)
+    got = {r.id: r.ssim for r in tl.ssim(cut, ["id"], "a", "b").collect()}
+    want = [float(np.mean(whole(*(fr.pu21_units(np.array(p).reshape(8, 8)) for p in r[3:])))) for r in rows]
+    assert np.allclose([got[n] for n in range(40)], want, atol=1e-12)
+    made = {}
+    monkeypatch.setattr(tl, "with_edges", lambda t, k, p, r, work, out, **more: made.update(work=work, **more) or t.selectExpr("id", "0D _sum", "1 _pixels"))
+    tl.ssim(cut, ["id"], "a", "b")
+    monkeypatch.setattr(tl, "similarity_map", lambda one, other: calls.append(one.shape) or whole(one, other))
+    stack = np.array([r[3] for r in rows]).reshape(40, 8, 8)
+    assert made["stacked"] and len(made["work"]([stack, stack], ((5, 5), (5, 5)))) == 40 and len(calls) == 1
