@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.numbering import number_rows
 from ..schemas import HEADER, MANIFEST, SHARD_KEYS
 
+#: Lines of a split that are sorted together.
+LINES = 1 << 14
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
@@ -34,8 +37,9 @@ def read_manifest(
 ) -> DataFrame:
     """Records without blank lines and headers.
 
-    ``ordinal`` adds the place of a record in the manifest. Lines are numbered inside their
-    file split and splits by name and offset, so that no task reads the whole manifest.
+    ``ordinal`` adds the place of a record in the manifest. Lines are numbered inside some thousands
+    of lines of their file split and splits by name and offset, so that no task reads the whole manifest,
+    or a whole split of it after the shuffle.
     ``strict`` makes a record without ``hdr_shard`` an error: shard records and older
     picture records must not be mixed.
     """
@@ -50,7 +54,8 @@ def read_manifest(
         lines = number_rows(
             lines,
             ["_path", "_start", "_line"],
-            buckets=[F.struct("_path", "_start")],
+            # The line numbers of a split count on within their partition, from a multiple of 2^33.
+            buckets=[F.struct("_path", "_start"), F.floor(F.col("_line") / LINES)],
             out=ordinal,
         )
     fields = [] if ordinal is None else [ordinal]

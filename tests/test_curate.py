@@ -174,3 +174,12 @@ def test_other_pictures_are_refused_by_name(spark, tmp_path, put):
     (tmp_path / "in" / "v" / "1.tiff").write_bytes(b"II*")
     with pytest.raises(NotImplementedError, match="1.tiff"):
         plan_source(spark, made({"name": "s", "path": str(tmp_path / "in")}))
+
+
+def test_lines_are_numbered_in_small_blocks(spark, tmp_path, monkeypatch):
+    """A split of more lines than a block: places as in the file, without headers and blank lines."""
+    monkeypatch.setattr("nitlake.sources.manifest.LINES", 8)
+    lines = ['{"type": "header"}', *(x for n in range(50) for x in (f'{{"video": "v{n}", "frame": {n}}}', "")[: 1 + n % 2])]
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    read = read_manifest(spark, str(tmp_path / "m.jsonl"), ordinal="ordinal")
+    assert sorted((r.ordinal, r.frame) for r in read.collect()) == [(n, n) for n in range(50)]
