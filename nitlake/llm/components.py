@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, stored
+from ..session import by_key, discard, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         while True:
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("top"))
             jumped = stored(
-                parents.join(above, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")),
+                parents.join(by_key(above), "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")),
                 "parents",
             )
             discard(parents)
@@ -37,7 +37,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         steps.append(jumped)
         one = parents.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         other = parents.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = edges.join(one, "a").join(other, "b").where("ra <> rb")
+        left = edges.join(by_key(one), "a").join(by_key(other), "b").where("ra <> rb")
         left = left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         redrawn = stored(left, "links")
         discard(edges)
@@ -47,5 +47,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     found = steps[0].select("node", "root")
     for step in steps[1:]:
         later = step.select(F.col("node").alias("root"), F.col("root").alias("later"))
-        found = found.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+        found = found.join(by_key(later), "root", "left").select("node", F.coalesce("later", "root").alias("root"))
     return found

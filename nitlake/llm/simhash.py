@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, stored
+from ..session import by_key, shared_dir, stored
 from .components import components
 from .words import column, mixed
 
@@ -154,10 +154,11 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[str, int, int,
     # No hint: Spark broadcasts the hot keys where their size allows, and joins by key otherwise.
     cold = homes.join(hot, "key", "left_anti")
     other = lambda frame, name: frame.withColumnsRenamed({"node": name} | {w: f"{name}_{w}" for w in words})
-    met = other(probes, "a").join(other(cold if few else cold.select("node", "key"), "b"), "key").where("a < b")
+    filed = other(cold if few else cold.select("node", "key"), "b")
+    met = other(probes, "a").join(by_key(filed), "key").where("a < b")
     if not few:
         plain = prints.select("node", *words)
-        met = met.select("a", "b").distinct().join(other(plain, "a"), "a").join(other(plain, "b"), "b")
+        met = met.select("a", "b").distinct().join(by_key(other(plain, "a")), "a").join(by_key(other(plain, "b")), "b")
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
     met = met.where(apart <= distance).select("a", "b")
     if hot.isEmpty():
@@ -169,7 +170,7 @@ def links(prints: DataFrame, distance: int, segments: list[tuple[str, int, int,
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(F.col("block"), o).alias("one"), F.greatest(F.col("block"), o).alias("two")),
     )
-    pairs = dealt.join(prints, "node").select("key", "node", *words, F.explode(every).alias("pair"))
+    pairs = dealt.join(by_key(prints), "node").select("key", "node", *words, F.explode(every).alias("pair"))
     trees = pairs.groupBy("key", "pair").applyInPandas(
         lambda frame: _forest(frame, words, distance), "a bigint, b bigint"
     )
@@ -190,11 +191,11 @@ def classes(rows: DataFrame, distance: int, segments) -> DataFrame:
     node = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
     distinct = stored(rows.groupBy(*words).agg(F.min("_id").alias("first")).withColumn("node", node), "distinct")
     found = links(distinct.select("node", *words), distance, segments(distinct.count()))
-    linked = stored(components(found).join(distinct.select("node", "first"), "node"), "linked")
+    linked = stored(components(found).join(by_key(distinct.select("node", "first")), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    of = linked.join(least, "root").select("node", "least")
-    first = distinct.join(of, "node", "left").select(*words, F.coalesce("least", "first").alias("component_id"))
-    return rows.join(first, words)
+    of = linked.join(by_key(least), "root").select("node", "least")
+    first = distinct.join(by_key(of), "node", "left").select(*words, F.coalesce("least", "first").alias("component_id"))
+    return rows.join(by_key(first), words)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from helpers import SMALL, clashing, odd, odd_rows, rows_of, small
 from nitlake.llm import queries, simhash
+from pyspark.sql import functions as F
 
 
 def fingerprint(text, k=4):
@@ -95,3 +96,11 @@ def test_similar_texts_meet(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert sum(got[i] == truth[i] for i in truth) >= 58
     assert all(got[i] // 10 == i // 10 for i in truth)
+
+
+def test_what_an_explode_makes_is_not_broadcast(spark):
+    """Spark takes the probes, some seventy rows of each fingerprint, to be as small as the fingerprints."""
+    prints = spark.range(1000).select(F.col("id").alias("node"), F.xxhash64("id").alias("w0"))
+    found = simhash.links(prints, 4, simhash.cut("w0", 4, 1000))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search("BroadcastHashJoin .*Inner", plan)
