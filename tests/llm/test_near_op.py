@@ -1,5 +1,6 @@
 """Near duplicates beside all pairs' Jaccard similarity."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -173,3 +174,20 @@ def test_a_frequent_passage_chains_no_texts_of_other_sizes(spark, monkeypatch):
     assert got == brute(rows)
     spans = written["placed"].groupBy("root").agg({"n": "max"}).join(written["placed"].groupBy("root").agg({"n": "min"}), "root")
     assert spans.count() > 8 and all(r["max(n)"] <= near.WIDTH**2 * r["min(n)"] + 1 for r in spans.collect())
+
+
+def test_tables_that_grow_with_the_corpus_are_joined_by_key(spark, monkeypatch):
+    """Spark takes a table to be as small as its compressed files, or as what an explode was given."""
+    rng, vocabulary, plans = np.random.default_rng(12), [f"w{i}" for i in range(500)], {}
+    base = list(rng.choice(vocabulary, 100))
+    rows = [(n, " ".join(changed(rng, base, 1, f"c{n}_"))) for n in range(60)]
+    keep = near.stored
+
+    def stored(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(near, "stored", stored)
+    assert {r.component_id for r in near.similar(spark.createDataFrame(rows, DOC)).collect()} == {0}
+    assert sum("SortMergeJoin" in plan for plan in plans.values()) > 3
+    assert [name for name, plan in plans.items() if re.search("BroadcastHashJoin .*Inner", plan)] == []
