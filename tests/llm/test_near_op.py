@@ -1,6 +1,7 @@
 """Near duplicates beside all pairs' Jaccard similarity."""
 
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from helpers import clashing, odd, odd_rows, rows_of
 from nitlake.llm import near
+from nitlake.session import FREED, stored
 
 DOC = "doc_id bigint, text string"
 
@@ -191,3 +193,33 @@ def test_tables_that_grow_with_the_corpus_are_joined_by_key(spark, monkeypatch):
     assert {r.component_id for r in near.similar(spark.createDataFrame(rows, DOC)).collect()} == {0}
     assert sum("SortMergeJoin" in plan for plan in plans.values()) > 3
     assert [name for name, plan in plans.items() if re.search("BroadcastHashJoin .*Inner", plan)] == []
+
+
+def test_strangers_that_are_gathered_are_not_compared_whole(spark, monkeypatch):
+    """Texts of one group of which few are similar: prefixes tell the others apart, and only similar texts' sets are dealt."""
+    rng, vocabulary, written = np.random.default_rng(13), [f"w{i}" for i in range(20_000)], {}
+    passages = [list(rng.choice(vocabulary, 60)) for _ in range(10)]
+    rows = [(n, " ".join([*passages[n % 10], *rng.choice(vocabulary, 300)])) for n in range(300)]
+    rows += [(1000 + n, rows[n][1] + " end") for n in range(0, 300, 30)]
+    keep = near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name: written.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(near, "discard", lambda *tables: None)
+    star = lambda prints: prints.selectExpr("node AS a").crossJoin(prints.selectExpr("min(node) AS b"))
+    monkeypatch.setattr(near, "links", lambda prints, *_: star(prints))
+    got = {r.doc_id: r.component_id for r in near.similar(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {n: n % 1000 for n, _ in rows}
+    assert written["placed"].count() < 60  # of 310
+
+
+def test_what_a_stored_table_shuffled_is_removed(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", held.getAllFiles().toString()))
+    old, seen = files(), spark.conf.get(FREED)
+    grouped = spark.range(10_000).selectExpr("id % 5000 AS key").groupBy("key").count()
+    table = stored(grouped, "grouped")
+    until = time.time() + 20
+    while files() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - old and spark.conf.get(FREED) == seen
+    assert len(grouped.collect()) == 5000 and files() - old  # what else a caller runs is left alone
+    assert table.count() == 5000
